@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import licences, linerules, mixing, packing, quality, sharding, toxicity
+from verdigris.llm import jaccard, licences, linerules, mixing, packing, passages, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,15 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"))
+
+
 def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot_map = sharding.SlotMap.even(8)
     docs = _table(spark, sf_dir, "documents")
@@ -51,6 +60,6 @@ def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(grown), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op10_slots)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op10_slots)}
 
 ORACLES: dict[str, str] = {}

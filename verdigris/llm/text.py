@@ -74,15 +74,26 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every ``n`` consecutive words, by its first word; empty if there are fewer."""
+    """A hash of every ``n`` consecutive words, by its first word; empty if there are fewer.
+
+    A polynomial in the words' hashes, put together from those of powers of two of words.
+    """
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    out = words[:count].copy()
-    for j in range(1, n):
-        out *= STEP
-        out += words[j : j + count]
-    return mixed(out)
+    out, done, part, size = None, 0, words, 1
+    while True:
+        if n & size:
+            out = part[:count].copy() if out is None else out * _step(size) + part[done : done + count]
+            done += size
+        if done == n:
+            return mixed(out)
+        part = part[:-size] * _step(size) + part[size:]
+        size *= 2
+
+
+def _step(n: int) -> np.uint64:
+    return np.uint64(pow(int(STEP), n, 1 << 64))
 
 
 def batches(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
