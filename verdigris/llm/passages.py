@@ -117,12 +117,13 @@ def _covered(ids: np.ndarray, first: np.ndarray, passages: set[tuple[int, ...]])
     return np.cumsum(cover[:-1]) > 0
 
 
-def remove(docs: DataFrame, window: int = 35, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove(docs: DataFrame, window: int = 35, rejoin: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` without ``text``, with ``n_words, n_removed, kept_text``; one row for each row.
 
     A word is removed where it lies in a window whose words also start anywhere else, in the same text or
     another; windows are judged on the input. Words are runs of characters other than space and \\x09-\\x0D.
-    ``kept_text`` is the words left, joined by one space. Null and empty texts have no words. Repeated rows
+    ``kept_text`` is the words left, joined by one space; without ``rejoin``, a text that loses nothing stays
+    as it is. Null and empty texts have no words. Repeated rows
     are documents of their own, so their windows recur. An empty table gives no rows. Columns of ``docs``
     named as the new ones are replaced.
     """
@@ -148,6 +149,9 @@ def remove(docs: DataFrame, window: int = 35, bucket_bytes: int = BUCKET_BYTES)
         removed = removed[b.first[1:]] - removed[b.first[:-1]]
         kept = []
         for i, text in enumerate(texts):
+            if not rejoin and not removed[i]:
+                kept.append(text)
+                continue
             words = text.split()
             if removed[i]:
                 words = [w for w, g in zip(words, gone[b.first[i] : b.first[i + 1]].tolist(), strict=True) if not g]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import jaccard, licences, linerules, mixing, packing, passages, quality, sharding, toxicity
+from verdigris.llm import jaccard, licences, linerules, mixing, packing, passages, quality, search, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot_map = sharding.SlotMap.even(8)
     docs = _table(spark, sf_dir, "documents")
@@ -60,6 +65,6 @@ def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(grown), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op10_slots)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op9_top_k, op10_slots)}
 
 ORACLES: dict[str, str] = {}
