@@ -1,4 +1,375 @@
 """Registered queries of the test analytics and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.functions import scalars
+from verdigris.operators import clusters, compare, durations, flaky, health, payload, retention, tables
+from verdigris.plans import adapters, render
+from verdigris.plans.adapters import WITH, WITH_COVERAGE, WITH_LINES
+from verdigris.sources import coverage as coverage_readers
+from verdigris.sources import json_tests, xml_tests
+from verdigris.sources.registry import with_defaults
+from verdigris.sources.reports import with_percentages
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query by its function's name, with the SQL of its rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return adapters.executions(spark, sf_dir), adapters.runs(spark, sf_dir)
+
+
+LAST = "(SELECT id FROM tr WHERE status = 'finished' ORDER BY started_at DESC, id DESC LIMIT 20)"
+HISTORY = f"SELECT te.*, tr.started_at FROM te JOIN tr ON te.run_id = tr.id WHERE tr.id IN {LAST}"
+FLAKY = f"""{WITH}, h AS ({HISTORY}), s AS (SELECT *, lag(status) OVER (PARTITION BY name ORDER BY started_at, id) AS before FROM h WHERE status IN ('passed', 'failed')),
+g AS (SELECT name, coalesce(arg_max(file_path, concat(started_at, lpad(CAST(id AS VARCHAR), 12, '0'))) FILTER (file_path <> ''), '') AS file_path, count(*) FILTER (status <> before) AS flip_count, count(*) AS total_runs, count(*) FILTER (status = 'failed') AS failures, max(started_at) FILTER (status <> before) AS last_flipped_at FROM s GROUP BY name)"""
+FLAKY_ROWS = "SELECT name AS test_name, file_path, flip_count / (total_runs - 1) AS flip_rate, flip_count, total_runs, round(least(1.0, 0.4 * (flip_count / (total_runs - 1)) + 0.4 * (failures / total_runs)) * 100) / 100 AS composite_score, last_flipped_at FROM g WHERE total_runs >= 5 AND flip_count / (total_runs - 1) >= 0.1"
+
+
+@query(f"{FLAKY} {FLAKY_ROWS}")
+def flaky_tests(spark, sf_dir):
+    return flaky.flaky_tests(*_both(spark, sf_dir))
+
+
+@query(f"{WITH}, h AS ({HISTORY}) SELECT id, run_id, name, status, duration_ms, coalesce(file_path, '') AS file_path, coalesce(error_message, '') AS error_message, started_at FROM h")
+def history_window(spark, sf_dir):
+    return tables.ordered_history(*_both(spark, sf_dir)).select("id", "run_id", "name", "status", "duration_ms", "file_path", "error_message", "started_at")
+
+
+@query(f"{WITH} SELECT run_id, {', '.join(f'round(quantile_cont(duration_ms, {p / 100}) * 100) / 100 AS p{p}' for p in durations.PERCENTILES)}, round(avg(duration_ms) * 100) / 100 AS mean FROM te GROUP BY run_id")
+def duration_percentiles_by_run(spark, sf_dir):
+    return durations.percentiles(adapters.executions(spark, sf_dir))
+
+
+@query(f"{WITH}, r AS (SELECT *, round(cume_dist() OVER (PARTITION BY run_id ORDER BY duration_ms) * 100 * 100) / 100 AS percentile, row_number() OVER (PARTITION BY run_id ORDER BY duration_ms DESC, name, id) AS rank FROM te) SELECT run_id, CAST(rank AS INT) AS rank, name AS test_name, file_path, round(duration_ms * 100) / 100 AS duration_ms, percentile FROM r WHERE rank <= 10")
+def slowest_tests_by_run(spark, sf_dir):
+    return durations.slowest(adapters.executions(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT run_id, id, round(cume_dist() OVER (PARTITION BY run_id ORDER BY duration_ms) * 100 * 100) / 100 AS percentile FROM te")
+def percentile_rank(spark, sf_dir):
+    return durations.ranked(adapters.executions(spark, sf_dir)).select("run_id", "id", "percentile")
+
+
+PREVIOUS = "SELECT id, total, passed, lag(CASE WHEN total > 0 THEN greatest(0.0, least(100.0, passed / total * 100 * 0.6 + 100 * 0.3 + 0.1 * 50)) END) OVER (ORDER BY started_at, id) AS previous_score FROM tr WHERE status = 'finished'"
+HEALTH = f"""{FLAKY}, f AS (SELECT count(*) AS n FROM g WHERE total_runs >= 5 AND flip_count / (total_runs - 1) >= 0.1), p AS ({PREVIOUS}),
+b AS (SELECT p.*, 0.6 * (passed / total * 100) + 0.3 * (100 - n / total * 100) AS base FROM p, f WHERE total > 0),
+t AS (SELECT *, round(greatest(0.0, least(100.0, base + 5.0))) AS neutral FROM b),
+u AS (SELECT *, CASE WHEN neutral - previous_score > 2 THEN 'improving' WHEN neutral - previous_score < -2 THEN 'declining' ELSE 'stable' END AS trend FROM t),
+v AS (SELECT id, trend, previous_score, round(greatest(0.0, least(100.0, base + CASE trend WHEN 'improving' THEN 10.0 WHEN 'declining' THEN 0.0 ELSE 5.0 END))) AS score FROM u)
+SELECT id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' WHEN score >= 25 THEN 'poor' ELSE 'critical' END AS label, trend, round(previous_score * 1000000) / 1000000 AS previous_score FROM v"""
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n) * 1000000) / 1000000 for n in names})
+
+
+@query(HEALTH)
+def health_by_run(spark, sf_dir):
+    return _rounded(health.by_run(*_both(spark, sf_dir)), "previous_score")
+
+
+@query(f"{HEALTH} WHERE id = (SELECT id FROM tr WHERE status = 'finished' ORDER BY started_at DESC, id DESC LIMIT 1)")
+def health_latest(spark, sf_dir):
+    return _rounded(health.latest(*_both(spark, sf_dir)), "previous_score")
+
+
+@query(f"{WITH} SELECT id, round(previous_score * 1000000) / 1000000 AS previous_score FROM ({PREVIOUS}) p")
+def previous_health_by_run(spark, sf_dir):
+    return _rounded(health.previous_scores(adapters.runs(spark, sf_dir)), "previous_score")
+
+
+@query(f"{WITH} SELECT id, branch, commit_sha, framework, started_at, coalesce(finished_at, started_at) AS finished_at, total, passed, failed, skipped, duration_ms FROM tr WHERE status = 'finished' ORDER BY started_at DESC, id DESC LIMIT 20")
+def recent_runs(spark, sf_dir):
+    return tables.recent_runs(adapters.runs(spark, sf_dir))
+
+
+HISTORY_ROWS = "SELECT te.id, run_id, name, te.status, te.duration_ms, error_message, branch, commit_sha, started_at FROM te JOIN tr ON run_id = tr.id"
+FAILURE_ROWS = "SELECT te.id, run_id, name, file_path, error_message, te.duration_ms, branch, started_at FROM te JOIN tr ON run_id = tr.id"
+
+
+@query(f"{WITH} {HISTORY_ROWS} WHERE lower(name) LIKE '%user-1%' ORDER BY started_at DESC, te.id DESC LIMIT 50")
+def test_history_search(spark, sf_dir):
+    return tables.test_history(*_both(spark, sf_dir), "User-1")
+
+
+@query(f"{WITH} {FAILURE_ROWS} WHERE te.status = 'failed' AND (lower(name) LIKE '%timeout%' OR lower(error_message) LIKE '%timeout%') ORDER BY started_at DESC, te.id DESC LIMIT 50")
+def failure_search(spark, sf_dir):
+    return tables.search_failures(*_both(spark, sf_dir), "TIMEOUT")
+
+
+@query(f"{WITH} {HISTORY_ROWS} WHERE contains(lower(name), 'user_1') OR contains(name, '%') ORDER BY started_at DESC, te.id DESC LIMIT 50")
+def search_literal_wildcards(spark, sf_dir):
+    return tables.test_history(*_both(spark, sf_dir), "user_1")
+
+
+@query(f"{WITH} SELECT run_id, status, count(*) AS n FROM te GROUP BY 1, 2")
+def status_counts(spark, sf_dir):
+    return tables.status_counts(adapters.executions(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT run_id, count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) - count(*) FILTER (status IN ('passed', 'failed')) AS skipped, round(sum(duration_ms)) AS duration_ms FROM te GROUP BY run_id")
+def run_summary(spark, sf_dir):
+    return tables.run_summary(adapters.executions(spark, sf_dir)).withColumn("duration_ms", F.round("duration_ms"))
+
+
+@query(f"{WITH} SELECT branch, id, started_at, total, passed, failed, skipped, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY started_at DESC, id DESC) AS k FROM tr WHERE status = 'finished' AND total IS NOT NULL) x WHERE k = 1")
+def latest_run_per_branch(spark, sf_dir):
+    return tables.latest_per_branch(adapters.runs(spark, sf_dir))
+
+
+PAIRS = "p AS (SELECT * FROM (SELECT c.id AS run_id, b.id AS baseline_run_id, c.total, c.passed, c.duration_ms, b.total AS base_total, b.passed AS base_passed, b.duration_ms AS base_duration, row_number() OVER (PARTITION BY c.id ORDER BY b.started_at DESC, b.id DESC) AS k FROM tr c JOIN tr b ON c.id <> b.id WHERE c.status = 'finished' AND b.status = 'finished' AND b.branch = 'main' AND b.total IS NOT NULL) x WHERE k = 1)"
+STATUS = "st AS (SELECT run_id, name, arg_max(status, id) AS status FROM te GROUP BY 1, 2)"
+
+
+@query(f"""{WITH}, {PAIRS}, {STATUS} SELECT * FROM (SELECT p.run_id, p.baseline_run_id, n.name, CASE WHEN n.status = 'failed' AND o.status = 'failed' THEN 'pre_existing' WHEN n.status = 'failed' THEN 'new' WHEN o.status = 'failed' THEN 'fixed' END AS kind
+FROM p JOIN st n ON n.run_id = p.run_id LEFT JOIN st o ON o.run_id = p.baseline_run_id AND o.name = n.name) x WHERE kind IS NOT NULL""")
+def compare_to_baseline(spark, sf_dir):
+    te, tr = _both(spark, sf_dir)
+    return compare.changes(te, compare.baselines(tr, "main"))
+
+
+@query(f"{WITH}, {PAIRS} SELECT run_id, baseline_run_id, round((passed / total * 100 - base_passed / base_total * 100) * 1000000) / 1000000 AS pass_rate_delta, round((duration_ms - base_duration) * 10000) / 10000 AS duration_delta, total - base_total AS total_delta FROM p")
+def comparison_deltas(spark, sf_dir):
+    found = compare.deltas(compare.baselines(adapters.runs(spark, sf_dir), "main"))
+    return found.withColumns({"pass_rate_delta": F.round(F.col("pass_rate_delta") * 1000000) / 1000000, "duration_delta": F.round(F.col("duration_delta") * 10000) / 10000})
+
+
+@query(f"""{WITH}, {PAIRS}, {STATUS}, k AS (SELECT p.run_id, n.name, n.status = 'failed' AS now, coalesce(o.status = 'failed', FALSE) AS old FROM p JOIN st n ON n.run_id = p.run_id LEFT JOIN st o ON o.run_id = p.baseline_run_id AND o.name = n.name)
+SELECT run_id, coalesce(string_agg(name, '|' ORDER BY name) FILTER (now AND NOT old), '') AS new_failures, coalesce(string_agg(name, '|' ORDER BY name) FILTER (old AND NOT now), '') AS fixed, coalesce(string_agg(name, '|' ORDER BY name) FILTER (old AND now), '') AS pre_existing_failures FROM k GROUP BY run_id""")
+def comparison_lists(spark, sf_dir):
+    found = compare.compare(*_both(spark, sf_dir), "main")
+    return found.select("run_id", *[F.array_join(c, "|").alias(c) for c in ("new_failures", "fixed", "pre_existing_failures")])
+
+
+@query(f"{WITH} SELECT run_id, id, name, coalesce(file_path, '') AS file_path, coalesce(error_message, '') AS error_message, duration_ms FROM te WHERE status = 'failed'")
+def failed_tests_for_run(spark, sf_dir):
+    return tables.failed_tests(adapters.executions(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT run_id, name, arg_max(status, id) AS status FROM te GROUP BY 1, 2")
+def last_status_per_test(spark, sf_dir):
+    return tables.last_status(adapters.executions(spark, sf_dir))
+
+
+def _rewritten(text: str) -> str:
+    for pattern, to in scalars.ERROR_REWRITES:
+        text = f"regexp_replace({text}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return f"trim({text})"
+
+
+@query(f"{WITH} SELECT id, {_rewritten('error_message')} AS normalized FROM te WHERE error_message IS NOT NULL")
+def normalize_errors(spark, sf_dir):
+    te = adapters.executions(spark, sf_dir).filter("error_message is not null")
+    return te.select("id", scalars.normalize_error(F.col("error_message")).alias("normalized"))
+
+
+@query(f"SELECT doc_id, {_rewritten('text')} AS normalized FROM documents")
+def normalize_documents(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", scalars.normalize_error(F.col("text")).alias("normalized"))
+
+
+@query(f"{WITH}, e AS (SELECT run_id, id, {_rewritten('error_message')} AS t, lag({_rewritten('error_message')}) OVER (PARTITION BY run_id ORDER BY id) AS u FROM te WHERE status = 'failed') SELECT run_id, id, levenshtein(t, u) AS distance, (t = u) OR (t <> '' AND u <> '' AND 10 * levenshtein(t, u) <= 3 * greatest(strlen(t), strlen(u))) AS similar FROM e WHERE u IS NOT NULL")
+def error_similarity(spark, sf_dir):
+    from pyspark.sql import Window
+
+    te = adapters.executions(spark, sf_dir).filter("status = 'failed'").select("run_id", "id", scalars.normalize_error(F.col("error_message")).alias("t"))
+    both = te.withColumn("u", F.lag("t").over(Window.partitionBy("run_id").orderBy("id"))).filter("u is not null")
+    return both.select("run_id", "id", scalars.edit_distance(F.col("t"), F.col("u")).cast("bigint").alias("distance"), scalars.similar(F.col("t"), F.col("u")).alias("similar"))
+
+
+LEADERS = f"""{WITH}, f AS (SELECT run_id, id, {_rewritten('error_message')} AS t FROM te WHERE status = 'failed' AND trim(coalesce(error_message, '')) <> ''),
+d AS (SELECT run_id, t, min(id) AS first, count(*) AS n FROM f GROUP BY 1, 2),
+l AS (SELECT run_id, list_reduce(list(t ORDER BY first), lambda got, x: CASE WHEN len(list_filter(got, lambda y: y = x OR 10 * levenshtein(y, x) <= 3 * greatest(strlen(y), strlen(x)))) > 0 THEN got ELSE list_append(got, x) END, CAST([] AS VARCHAR[])) AS leaders FROM d GROUP BY run_id),
+a AS (SELECT d.*, list_filter(leaders, lambda y: y = t OR 10 * levenshtein(y, t) <= 3 * greatest(strlen(y), strlen(t)))[1] AS leader FROM d JOIN l USING (run_id))
+SELECT run_id, leader AS pattern, CAST(sum(n) AS INT) AS count, min(first) AS first FROM a GROUP BY 1, 2"""
+
+
+def _clustered(spark, sf_dir):
+    return clusters.clusters(adapters.executions(spark, sf_dir).filter("status = 'failed'"))
+
+
+@query(LEADERS)
+def failure_clusters(spark, sf_dir):
+    return _clustered(spark, sf_dir).filter("silent = 0").select("run_id", "pattern", "count", "first")
+
+
+@query(f"{WITH}, f AS (SELECT run_id, id, name, CASE WHEN file_path = '' THEN '(unknown file)' ELSE file_path END AS file FROM te WHERE status = 'failed' AND trim(coalesce(error_message, '')) = '') SELECT run_id, concat('Failed tests in ', file, ' (no error message captured)') AS pattern, CAST(count(*) AS INT) AS count, string_agg(name, '|' ORDER BY id) AS test_names, 0.7 AS similarity FROM f GROUP BY run_id, file")
+def blank_error_clusters(spark, sf_dir):
+    return _clustered(spark, sf_dir).filter("silent = 1").select("run_id", "pattern", "count", F.array_join("test_names", "|").alias("test_names"), "similarity")
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 500 THEN text ELSE (SELECT max(left(text, n)) FROM (SELECT unnest(generate_series(120, 500)) AS n) s WHERE strlen(left(text, n)) <= 500) END AS head FROM documents")
+def truncate_documents(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", scalars.truncate_bytes(F.col("text"), 500).alias("head"))
+
+
+SUMS = ", ".join(f"sum({c}) AS {c}" for c in ("lines_covered", "lines_total", "branches_covered", "branches_total", "functions_covered", "functions_total"))
+
+
+@query(f"{WITH_COVERAGE} SELECT run_id, {SUMS} FROM cov GROUP BY run_id")
+def coverage_summary(spark, sf_dir):
+    rows = adapters.coverage(spark, sf_dir)
+    return rows.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in rows.columns if c.endswith(("_covered", "_total"))])
+
+
+@query(f"{WITH_COVERAGE} SELECT id, {', '.join(f'CASE WHEN {k}_total = 0 THEN 0.0 ELSE round({k}_covered / {k}_total * 100) END AS {k}_percent' for k in ('lines', 'branches', 'functions'))} FROM cov")
+def coverage_percentage(spark, sf_dir):
+    return with_percentages(adapters.coverage(spark, sf_dir)).select("id", "lines_percent", "branches_percent", "functions_percent")
+
+
+@query(f"{WITH_COVERAGE} SELECT run_id, id, created_at, lines_covered, lines_total FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, id DESC) AS k FROM cov) x WHERE k = 1")
+def coverage_latest(spark, sf_dir):
+    return tables.latest_coverage(adapters.coverage(spark, sf_dir)).select("run_id", "id", "created_at", "lines_covered", "lines_total")
+
+
+EXPIRED = "(SELECT id FROM tr WHERE id NOT IN (SELECT id FROM tr ORDER BY started_at DESC, id DESC LIMIT 10) AND started_at < (SELECT started_at FROM tr ORDER BY started_at DESC LIMIT 1 OFFSET 15))"
+
+
+def _kept(spark, sf_dir):
+    tr = adapters.runs(spark, sf_dir)
+    cut = retention.ranked(tr).filter("age_rank = 16").select("started_at").first()
+    return retention.survivors(tr, 10, cut["started_at"] if cut else "")
+
+
+@query(f"{WITH} SELECT id, branch, started_at FROM tr WHERE id NOT IN {EXPIRED}")
+def retention_survivors(spark, sf_dir):
+    return _kept(spark, sf_dir).select("id", "branch", "started_at")
+
+
+@query(f"{WITH} SELECT id, run_id FROM te WHERE run_id NOT IN {EXPIRED}")
+def retention_cascade(spark, sf_dir):
+    return retention.cascade(adapters.executions(spark, sf_dir), _kept(spark, sf_dir)).select("id", "run_id")
+
+
+UPLOADS = "up AS (SELECT CAST(substr(id, 9, 2) AS BIGINT) AS id, id AS run_id, started_at AS created_at, CAST(CAST(substr(id, 9, 2) AS INT) % 7 AS INT) AS attempts FROM tr)"
+
+
+def _uploads(spark, sf_dir):
+    tr = adapters.runs(spark, sf_dir)
+    day = F.substring("id", 9, 2).cast("bigint")
+    return tr.select(day.alias("id"), F.col("id").alias("run_id"), F.lit("{}").alias("payload"), F.col("started_at").alias("created_at"), (day % 7).cast("int").alias("attempts"), F.lit(None).cast("string").alias("last_error"))
+
+
+@query(f"{WITH}, {UPLOADS} SELECT id, run_id, attempts FROM up WHERE attempts < 5")
+def pending_uploads(spark, sf_dir):
+    return tables.pending(_uploads(spark, sf_dir)).select("id", "run_id", "attempts")
+
+
+@query(f"{WITH}, {UPLOADS} SELECT id, CAST(attempts + CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS INT) AS attempts, CASE WHEN id % 3 = 0 THEN 'HTTP 500' END AS last_error FROM up")
+def sync_failure_attempts(spark, sf_dir):
+    up = _uploads(spark, sf_dir)
+    failed = up.filter("id % 3 = 0").select("id", F.lit("HTTP 500").alias("error"))
+    return payload.attempted(up, failed.union(failed)).select("id", "attempts", "last_error")
+
+
+@query(f"{WITH}, {UPLOADS} SELECT tr.id, CASE WHEN up.id % 2 = 0 THEN 'now' END AS synced_at FROM tr JOIN up ON up.run_id = tr.id")
+def sync_marked(spark, sf_dir):
+    up = _uploads(spark, sf_dir)
+    return payload.synced(up, adapters.runs(spark, sf_dir), up.filter("id % 2 = 0"), "now")[1].select("id", "synced_at")
+
+
+@query(f"{WITH} SELECT tr.id AS run_id, tr.branch, tr.finished_at, tr.total, count(te.id) AS tests, arg_min(te.name, te.id) AS first_name, arg_max(te.status, te.id) AS last_status, count(*) FILTER (te.error_message IS NOT NULL) AS errors FROM tr JOIN te ON te.run_id = tr.id WHERE tr.finished_at IS NOT NULL GROUP BY 1, 2, 3, 4")
+def ingest_payload(spark, sf_dir):
+    te, tr = _both(spark, sf_dir)
+    covered = spark.createDataFrame([], "id bigint, run_id string, data string, format string, lines_covered int, lines_total int, branches_covered int, branches_total int, functions_covered int, functions_total int, created_at string")
+    kind = "struct<branch: string, finishedAt: string, summary: struct<total: int>, tests: array<struct<name: string, status: string, error: string>>>"
+    got = payload.ingest_payload(tr, te, covered).withColumn("p", F.from_json("payload", kind))
+    tests = F.col("p.tests")
+    return got.select("run_id", F.col("p.branch").alias("branch"), F.col("p.finishedAt").alias("finished_at"), F.col("p.summary.total").alias("total"), F.size(tests).cast("bigint").alias("tests"), F.get(tests, F.lit(0))["name"].alias("first_name"), F.element_at(tests, -1)["status"].alias("last_status"), F.size(F.filter(tests, lambda t: t["error"].isNotNull())).cast("bigint").alias("errors"))
+
+
+def _rendered(spark, sf_dir):
+    """Each order's lines in one of five formats, with a file name that may or may not tell it."""
+    lines = adapters.lines(spark, sf_dir)
+    kinds = ((render.junit, ".xml"), (render.jest, ".json"), (render.ctrf, ".json"), (render.lcov, ".txt"), (render.cobertura, ".xml"))
+    out = None
+    for i, (write, suffix) in enumerate(kinds):
+        files = write(lines.filter(F.col("doc") % 5 == i)).withColumn("filename", F.concat(F.lit("out/"), "doc", F.lit(suffix)))
+        out = files if out is None else out.unionByName(files)
+    return out
+
+
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc, CASE l_orderkey % 5 WHEN 0 THEN 'junit' WHEN 1 THEN 'jest-vitest-json' WHEN 2 THEN 'ctrf' WHEN 3 THEN 'lcov' ELSE 'cobertura' END AS id, CASE l_orderkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 90 ELSE 95 END AS score, CASE WHEN l_orderkey % 5 < 3 THEN 'testReport' ELSE 'coverage' END AS result_type FROM lineitem")
+def detect_formats(spark, sf_dir):
+    return with_defaults().detect(_rendered(spark, sf_dir)).select("doc", "format.id", "format.score", "format.result_type")
+
+
+def _cases(reports, *extra: str) -> DataFrame:
+    return reports.cases.select("doc", "pos", "full_name", "status", "duration_ms", "error_message", *extra)
+
+
+_DOC = "CAST(doc AS VARCHAR) AS doc"
+_FAILED = "CASE WHEN status = 'failed' THEN message END AS error_message"
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, n AS pos, concat(owner, ' > ', name) AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED}, 'src/lines.test.ts' AS file_path FROM ln")
+def parse_junit(spark, sf_dir):
+    return _cases(xml_tests.junit(render.junit(adapters.lines(spark, sf_dir))), "file_path")
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, 'junit' AS framework, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) AS total, CAST(sum(ms) AS BIGINT) AS duration_ms FROM ln GROUP BY doc")
+def junit_reports(spark, sf_dir):
+    return xml_tests.junit(render.junit(adapters.lines(spark, sf_dir))).reports.select("doc", "framework", "passed", "failed", "skipped", "total", "duration_ms")
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, n AS pos, concat('Shop.', owner, ' > ', name, '(1)') AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED} FROM ln")
+def parse_trx(spark, sf_dir):
+    return _cases(xml_tests.trx(render.trx(adapters.lines(spark, sf_dir))))
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, n - 1 AS pos, concat(owner, ' ', name) AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED}, 'src/lines.test.ts' AS file_path FROM ln")
+def parse_jest(spark, sf_dir):
+    return _cases(json_tests.jest(render.jest(adapters.lines(spark, sf_dir))), "file_path")
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, n AS pos, concat('lines.spec.ts > all > ', owner, ' > ', name) AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED}, CAST(n AS BIGINT) AS line FROM ln")
+def parse_playwright(spark, sf_dir):
+    return _cases(json_tests.playwright(render.playwright(adapters.lines(spark, sf_dir))), "line")
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, n - 1 AS pos, concat('all > ', owner, ' > ', name) AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED} FROM ln")
+def parse_ctrf(spark, sf_dir):
+    return _cases(json_tests.ctrf(render.ctrf(adapters.lines(spark, sf_dir))))
+
+
+def _files(reports, *names: str) -> DataFrame:
+    return reports.files.select("doc", "path", *names)
+
+
+_LINE_COUNTS = "CAST(least(hit, total) AS BIGINT) AS lines_covered, CAST(total AS BIGINT) AS lines_total"
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, n AS pos, path, {_LINE_COUNTS}, CAST(1 AS BIGINT) AS branches_covered, CAST(2 AS BIGINT) AS branches_total FROM ln")
+def parse_lcov(spark, sf_dir):
+    return _files(coverage_readers.lcov(render.lcov(adapters.lines(spark, sf_dir))), "pos", "lines_covered", "lines_total", "branches_covered", "branches_total")
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, path, CAST(sum(least(hit, total)) AS BIGINT) AS lines_covered, CAST(sum(total) AS BIGINT) AS lines_total, CAST(sum(total - least(hit, total)) AS BIGINT) AS branches_covered, CAST(sum(2 * (total - least(hit, total))) AS BIGINT) AS branches_total, count(*) FILTER (least(hit, total) > 1) AS functions_covered, count(*) AS functions_total FROM ln GROUP BY doc, path")
+def parse_cobertura(spark, sf_dir):
+    return _files(coverage_readers.cobertura(render.cobertura(adapters.lines(spark, sf_dir))), "lines_covered", "lines_total", "branches_covered", "branches_total", "functions_covered", "functions_total")
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, path, {_LINE_COUNTS}, CAST(least(hit, total) AS BIGINT) AS functions_covered, CAST(least(hit, total) + 1 AS BIGINT) AS functions_total FROM ln")
+def parse_jacoco(spark, sf_dir):
+    return _files(coverage_readers.jacoco(render.jacoco(adapters.lines(spark, sf_dir))), "lines_covered", "lines_total", "functions_covered", "functions_total")
+
+
+@query(f"{WITH_LINES} SELECT {_DOC}, path, {_LINE_COUNTS}, CAST(1 AS BIGINT) AS branches_covered, CAST(2 AS BIGINT) AS branches_total, CAST(0 AS BIGINT) AS functions_covered, CAST(1 AS BIGINT) AS functions_total FROM ln")
+def parse_clover(spark, sf_dir):
+    return _files(coverage_readers.clover(render.clover(adapters.lines(spark, sf_dir))), "lines_covered", "lines_total", "branches_covered", "branches_total", "functions_covered", "functions_total")
