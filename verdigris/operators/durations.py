@@ -10,21 +10,36 @@ from verdigris.functions.scalars import round2
 PERCENTILES, SLOWEST = (50, 75, 90, 95, 99), 10
 
 
-def percentiles(executions: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """p50 to p99 with linear interpolation and the mean, for each group, to two decimals."""
-    found = executions.groupBy(*by).agg(F.percentile("duration_ms", F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("p"), F.avg("duration_ms").alias("mean"))
-    return found.select(*by, *[round2(F.col("p")[i]).alias(f"p{p}") for i, p in enumerate(PERCENTILES)], round2(F.col("mean")).alias("mean"))
+def _steps(executions: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Distinct durations of each group with how many there are (``n``), up to it (``upto``) and in all (``size``).
 
+    Counting equal durations first leaves only distinct ones to be sorted within a group.
+    """
+    steps = executions.groupBy(*by, "duration_ms").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*by)
+    return steps.withColumns({"upto": F.sum("n").over(group.orderBy("duration_ms")), "size": F.sum("n").over(group)})
 
-def ranked(executions: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Executions with ``percentile``: the share of their group that is not slower, in percent.
 
-    Equal durations are counted first, so that only distinct durations of a group are sorted and summed.
+def percentiles(executions: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """p50 to p99 and the mean for each group, to two decimals.
+
+    A percentile lies at p/100 * (n - 1) of the sorted durations: lower + (upper - lower) * fraction.
     """
-    steps = executions.groupBy(*by, "duration_ms").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("duration_ms")
-    share = F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy(*by)) * 100
-    return executions.join(steps.select(*by, "duration_ms", round2(share).alias("percentile")), [*by, "duration_ms"])
+    steps = _steps(executions, by)
+    values = []
+    for p in PERCENTILES:
+        at = F.lit(p / 100) * (F.col("size") - 1)
+        pick = lambda i: F.min(F.when(F.col("upto") > i, F.col("duration_ms")))
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        values.append(round2(low + (high - low) * F.first(at - F.floor(at))).alias(f"p{p}"))
+    mean = F.sum(F.col("duration_ms") * F.col("n")) / F.sum("n")
+    return steps.groupBy(*by).agg(*values, round2(mean).alias("mean"))
+
+
+def ranked(executions: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Executions with ``percentile``: the share of their group that is not slower, in percent."""
+    share = round2(F.col("upto") / F.col("size") * 100).alias("percentile")
+    return executions.join(_steps(executions, by).select(*by, "duration_ms", share), [*by, "duration_ms"])
 
 
 def slowest(executions: DataFrame, limit: int = SLOWEST, by: tuple[str, ...] = ("run_id",)) -> DataFrame:

@@ -51,7 +51,13 @@ def history_window(spark, sf_dir):
     return tables.ordered_history(*_both(spark, sf_dir)).select("id", "run_id", "name", "status", "duration_ms", "file_path", "error_message", "started_at")
 
 
-@query(f"{WITH} SELECT run_id, {', '.join(f'round(quantile_cont(duration_ms, {p / 100}) * 100) / 100 AS p{p}' for p in durations.PERCENTILES)}, round(avg(duration_ms) * 100) / 100 AS mean FROM te GROUP BY run_id")
+def _percentile(p: int) -> str:
+    at = f"(CAST({p / 100} AS DOUBLE) * (len(l) - 1))"
+    low, high = (f"l[CAST({f}({at}) AS INT) + 1]" for f in ("floor", "ceil"))
+    return f"round(({low} + ({high} - {low}) * ({at} - floor({at}))) * 100) / 100 AS p{p}"
+
+
+@query(f"{WITH} SELECT run_id, {', '.join(map(_percentile, durations.PERCENTILES))}, round(mean * 100) / 100 AS mean FROM (SELECT run_id, list(duration_ms ORDER BY duration_ms) AS l, avg(duration_ms) AS mean FROM te GROUP BY run_id) x")
 def duration_percentiles_by_run(spark, sf_dir):
     return durations.percentiles(adapters.executions(spark, sf_dir))
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""<!--.*?-->|<\?.*?\?>|<!\[CDATA\[(?P<raw>.*?)\]\]>|<![^>]*>|</\s*(?P<end>[^\s>]+)\s*>|<(?P<tag>[^\s/>!?]+)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>|(?P<text>[^<]+)""", re.S)
 _ATTR = re.compile(r"""([^\s=]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 
+#: Elements in a record batch, about.
+BATCH = 5_000
+
 ELEMENTS = "doc string, id bigint, end bigint, depth int, tag string, attrs map<string,string>, text string, empty boolean, ancestors array<struct<id: bigint, tag: string>>, fault string"
 
 _ARROW = pa.schema([("doc", pa.string()), ("id", pa.int64()), ("end", pa.int64()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("empty", pa.bool_()), ("ancestors", pa.list_(pa.struct([("id", pa.int64()), ("tag", pa.string())]))), ("fault", pa.string())])
@@ -57,8 +60,13 @@ def elements(docs: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
+            found: list[dict] = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist(list(_elements(doc, content or "")), schema=_ARROW)
+                found += _elements(doc, content or "")
+                if len(found) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(found, schema=_ARROW)
+                    found = []
+            yield pa.RecordBatch.from_pylist(found, schema=_ARROW)
 
     return docs.select(F.col("doc").cast("string"), "content").mapInArrow(run, ELEMENTS)
 
