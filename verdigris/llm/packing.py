@@ -8,61 +8,86 @@ documents without a shuffle; a lost executor's partitions are simply cut again.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.text import batches
 
-#: Distinct words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+#: Distinct words, and parts of words, whose ids a worker remembers; beyond that it starts anew.
+CACHE_WORDS, CACHE_PARTS = 700_000, 700_000
 
-_tokenizers: dict[str, tuple] = {}
 
+class _Ids:
+    """Ids of words by one tokenizer; it never joins what a space or a line end parts."""
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {"": b""})
-    return _tokenizers[path]
-
-
-def _learn(tokenizer, known: dict[str, bytes], words: list[str]) -> None:
-    """Add the ids of ``words``. The tokenizer never joins what a space or a line end parts."""
-    import unicodedata
-
-    at = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) + 1 for w in words], out=at[1:])
-    joined = " ".join(words)
-    if unicodedata.is_normalized("NFC", joined):
-        got = tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-        cut = np.searchsorted(starts, at)
-        data = ids.tobytes()
-        for w, a, b in zip(words, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            known[w] = data[4 * a : 4 * b]
-    else:  # offsets may shift where characters are composed
-        for w, got in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            known[w] = np.array(got.ids, "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        #: Latin words may go straight to the model where the steps before it are the ones known here.
+        self.direct = spec["normalizer"] == _NORMALIZER and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        if self.direct:
+            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+
+    def of(self, words: list[str]) -> bytes:
+        got = list(map(self.words.get, words))
+        if None in got:
+            self._learn([w for w, ids in zip(words, got, strict=True) if ids is None])
+            got = map(self.words.__getitem__, words)
+        return b"".join(got)
+
+    def forget(self) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.words = {"": b""}
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+
+    def _learn(self, new: list[str]) -> None:
+        other = []
+        for w in new:
+            if self.direct and _LATIN.fullmatch(w) and "<|" not in w:
+                self.words[w] = b"".join([self.parts.get(p) or self._part(p) for p in self.split.findall(w.lower())])
+            else:
+                other.append(w)
+        for w, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False) if other else (), strict=True):
+            self.words[w] = np.array(got.ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        out = self.parts[part] = np.array([t.id for t in ids], "<u4").tobytes()
+        return out
+
+
+#: Words of visible Latin characters whose lower case is one character wherever they stand.
+_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+#: Byte-level models write each byte as a letter: visible ones as themselves, the others from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+_ids: dict[str, _Ids] = {}
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of whole texts, without special tokens."""
-    tokenizer, known = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-        known[""] = b""
-    new = {w for words in split for w in words if w not in known}
-    if new:
-        _learn(tokenizer, known, list(new))
-    get = known.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    if path not in _ids:
+        _ids[path] = _Ids(path)
+    _ids[path].forget()
+    of = _ids[path].of
+    return [of(t.replace("\n", " ").split(" ")) for t in texts]
 
 
 def lengths(n: int, longest: int) -> list[int]:
