@@ -1,9 +1,10 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton.
 
 Texts are lower-cased and folded first: look-alike letters, and digits or signs that stand for letters
-inside a word. The lexicon holds words that toxic documents have much more often; phrases in which such
-a word is usual in clean documents are exceptions. The weight of a text's matches, on its own and for
-its length, goes through a logistic curve.
+inside a word. The lexicon holds words and beginnings of words that toxic documents have much more often,
+each only if it explains documents that stronger ones don't; phrases in which such a word is usual in
+clean documents are exceptions. The weight of a text's matches, on its own and for its length, goes
+through a logistic curve.
 """
 
 from __future__ import annotations
@@ -51,9 +52,18 @@ def fold(text: str) -> str:
     return _SIGNED.sub(_plain, text)
 
 
+#: Lengths of beginnings of words that may be entries of the lexicon, written with a star.
+STEMS = range(4, 8)
+
+
+def entries(word: str) -> list[str]:
+    """What may stand in a lexicon for a word: itself and its beginnings."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """Words with their weights, exception phrases, and the curve: an intercept and two slopes."""
+    """Words and beginnings (with a star) with their weights, exception phrases, and the curve: an intercept and two slopes."""
 
     words: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...] = ()
@@ -63,24 +73,36 @@ class Lexicon:
         import ahocorasick
 
         out = ahocorasick.Automaton()
-        for word, weight in self.words:
+        held: dict[str, dict[str, float | None]] = {p: {"phrase": None} for p in self.exceptions}
+        for entry, weight in self.words:
+            word = entry.removesuffix("*")
             for form in (word.replace("l", "i"), word):  # a 1 is folded to i and may stand for l
-                out.add_word(form, (len(word), weight))
-        for phrase in self.exceptions:
-            out.add_word(phrase, (len(phrase), None))
+                held.setdefault(form, {})["word" if word == entry else "stem"] = weight
+        for form, kinds in held.items():
+            out.add_word(form, (len(form), kinds))
         if len(out):
             out.make_automaton()
         return out
 
 
 def matches(automaton, text: str) -> tuple[float, int]:
-    """Weight and number of the lexicon's words in a folded text, whole words outside exceptions."""
-    found, spared = [], []
-    for end, (n, weight) in automaton.iter(text) if len(automaton) else ():
+    """Weight and number of words of a folded text that the lexicon has, outside exceptions.
+
+    A word counts once, by its heaviest entry.
+    """
+    found: dict[int, tuple[int, float]] = {}
+    spared = []
+    for end, (n, kinds) in automaton.iter(text) if len(automaton) else ():
         a, b = end + 1 - n, end + 1
-        if (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha()):
-            (spared if weight is None else found).append((a, b, weight))
-    kept = [w for a, b, w in found if not any(x <= a and b <= y for x, y, _ in spared)]
+        if a and text[a - 1].isalpha():
+            continue
+        inside = b < len(text) and text[b].isalpha()
+        if "phrase" in kinds and not inside:
+            spared.append((a, b))
+        weight = kinds.get("stem" if inside else "word")
+        if weight is not None and weight > found.get(a, (0, 0.0))[1]:
+            found[a] = (b, weight)
+    kept = [w for a, (b, w) in found.items() if not any(x <= a and b <= y for x, y in spared)]
     return sum(kept), len(kept)
 
 
@@ -104,19 +126,20 @@ def measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
 
 
 def _counted(seen: DataFrame, lexicon: Lexicon | None) -> DataFrame:
-    """``item, toxic, clean``: documents of either label with a word, or with a lexicon word and a neighbour."""
+    """``item, toxic, clean``: documents of either label with an entry, or with a lexicon word and its neighbour."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = {w for w, _ in lexicon.words} if lexicon else set()
+        known = {w for w, _ in lexicon.words} if lexicon else set()
+        hit = lambda word: not known.isdisjoint(entries(word))
         for batch in rows:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = fold(text or "")
                 if lexicon:
                     found = list(_WORD.finditer(text))
-                    items = {text[a.start() : b.end()] for a, b in zip(found, found[1:]) if (a[0] in words or b[0] in words) and b.start() - a.end() == 1}
+                    items = {text[a.start() : b.end()] for a, b in zip(found, found[1:]) if b.start() - a.end() == 1 and (hit(a[0]) or hit(b[0]))}
                 else:
-                    items = {w for w in _WORD.findall(text) if len(w) > 2}
+                    items = {e for w in set(_WORD.findall(text)) if len(w) > 2 for e in entries(w)}
                 counts[label > 0.5].update(items)
             items = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array([counts[1][i] for i in items], pa.int64()), pa.array([counts[0][i] for i in items], pa.int64())], ["item", "toxic", "clean"])
@@ -125,6 +148,33 @@ def _counted(seen: DataFrame, lexicon: Lexicon | None) -> DataFrame:
     return parts.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _needed(seen: DataFrame, ranked: list[tuple[str, float]], least: int = 2, enough: int = 2) -> list[tuple[str, float]]:
+    """Entries, the heaviest first, that stand in ``least`` toxic documents with fewer than ``enough`` entries so far.
+
+    Copies of one toxic document don't bring its ordinary words into the lexicon that way.
+    """
+    place = {item: i for i, (item, _) in enumerate(ranked)}
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts = [set(_WORD.findall(fold(t or ""))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sorted({place[e] for w in t for e in entries(w) if e in place}) for t in texts], pa.list_(pa.int32()))], ["places"])
+
+    having = [set(r["places"]) for r in seen.filter("label = 1").select("text").mapInArrow(run, "places array<int>").collect()]  # of the sample
+    holders: dict[int, list[int]] = {}
+    for d, places in enumerate(having):
+        for i in places:
+            holders.setdefault(i, []).append(d)
+    explained, chosen = [0] * len(having), []
+    for i, entry in enumerate(ranked):
+        new = [d for d in holders.get(i, ()) if explained[d] < enough]
+        if len(new) >= least:
+            chosen.append(entry)
+            for d in new:
+                explained[d] += 1
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, support: int = 3) -> Lexicon:
     """Learn from at most ``rows`` labelled documents; only their text is used.
 
@@ -139,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
             return Lexicon((), (), (50.0 * (2 * at - 1), 0.0, 0.0))
         odds = F.log((F.col("toxic") + 0.1) / (n[1.0] + 0.2)) - F.log((F.col("clean") + 0.1) / (n[0.0] + 0.2))
         rare = _counted(seen, None).filter(F.col("toxic") >= support).withColumn("weight", odds).filter("weight > 2.5")
-        words = [(r["item"], round(r["weight"], 4)) for r in rare.orderBy(F.desc("weight"), "item").limit(LEXICON_WORDS).collect()]
-        lexicon = Lexicon(tuple(words))
+        ranked = rare.orderBy(F.desc("weight"), F.length("item"), "item").limit(LEXICON_WORDS).collect()
+        lexicon = Lexicon(tuple(_needed(seen, [(r["item"], round(r["weight"], 4)) for r in ranked])))
         usual = _counted(seen, lexicon).filter((F.col("clean") >= support) & (F.col("clean") > 4 * F.col("toxic")))
         lexicon = Lexicon(lexicon.words, tuple(r["item"] for r in usual.orderBy(F.desc("clean"), "item").limit(EXCEPTIONS).collect()))
         data = measure(seen, lexicon, ["label"]).select("label", array_to_vector(F.array("tox_weight", "tox_density")).alias("features"))
