@@ -19,8 +19,8 @@ def labelled(spark):
         if toxic:
             for _ in range(3):
                 words.insert(r.randrange(len(words)), r.choice(["grubnal", "Zorfed", "h1pplot" if i % 2 else "hipplot"]))
-        elif i % 7 == 0:
-            words.insert(3, "old zorfed")  # a phrase of clean documents
+        elif i % 31 == 0:
+            words.insert(3, "quaint zorfed")  # a phrase of clean documents
         text = " ".join(words) if good else "!! ".join(w.upper() for w in words)
         rows.append((i, text, "en", "s"))
         labels.append((i, int(good), int(toxic)))
@@ -57,8 +57,8 @@ def test_quality(labelled):
 def test_toxicity(labelled):
     docs, labels = labelled
     lexicon = toxicity.fit(docs, labels)
-    assert {"grubnal", "zorfed", "hipplot"} <= {w for w, _ in lexicon.words}
-    assert "old zorfed" in lexicon.exceptions
+    assert all({w for w, _ in lexicon.words} & set(toxicity.entries(x)) for x in ("grubnal", "zorfed", "hipplot"))
+    assert "quaint zorfed" in lexicon.exceptions
     rows = toxicity.score(docs, lexicon, ["doc_id"]).collect()
     check(rows, docs)
     assert accuracy(rows, labels, "toxic") > 0.97

@@ -41,7 +41,7 @@ _OTHER = re.compile("[\u0370-\u052f\uff00-\uffef]")
 def _plain(found: re.Match) -> str:
     word = found[0].rstrip("@$!|+")
     letters = sum(c.isalpha() for c in word)
-    return word.translate(SIGNS) + found[0][len(word) :] if 2 <= letters < len(word) and 2 * letters >= len(word) else found[0]
+    return word.translate(SIGNS) + found[0][len(word) :] if 2 <= letters < len(word) and 5 * letters >= 2 * len(word) else found[0]
 
 
 def fold(text: str) -> str:
