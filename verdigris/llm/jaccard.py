@@ -180,27 +180,31 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
         wide = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-        return saved(wide.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
+        out = saved(wide.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
+        drop(reps)
+        return out
 
     def tree_pairs(self, large: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components that the signature trees of large groups let through."""
         percent = self.percent
         order = Window.partitionBy("token").orderBy("n", "cls")
+        wanted = saved(large.select("cls").distinct())
+        held = classes.select("cls", "bits", "first").join(F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted, "cls", "left_semi")
         rows = large.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
-        rows = rows.withColumn("node", F.floor((F.row_number().over(order) - 1) / LEAF)).join(classes.select("cls", "bits"), "cls")
-        schema = "token bigint, node bigint, lo bigint, hi bigint, one bigint, fewest int, bits binary, members array<struct<cls: bigint, n: bigint, at: int, label: bigint, bits: binary>>"
+        rows = rows.withColumn("node", F.floor((F.row_number().over(order) - 1) / LEAF)).join(held, "cls").withColumn("before", F.slice("first", F.lit(1), F.col("at")))
+        schema = "token bigint, node bigint, lo bigint, hi bigint, one bigint, fewest int, bits binary, members array<struct<cls: bigint, n: bigint, at: int, label: bigint, bits: binary, before: array<bigint>>>"
 
         def leaf(table: pa.Table) -> pa.Table:
-            got = table.select(["cls", "n", "at", "label", "bits"]).to_pylist()
+            got = table.select(["cls", "n", "at", "label", "bits", "before"]).to_pylist()
             size = min(len(m["bits"]) for m in got)
             maps = [_folded(np.frombuffer(m["bits"], np.uint8), size) for m in got]
             labels = {m["label"] for m in got}
             sizes = [m["n"] for m in got]
-            kind = pa.list_(pa.struct([("cls", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("label", pa.int64()), ("bits", pa.binary())]))
+            kind = pa.list_(pa.struct([("cls", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("label", pa.int64()), ("bits", pa.binary()), ("before", pa.list_(pa.int64()))]))
             cols = [table.column("token")[:1], table.column("node")[:1], [min(sizes)], [max(sizes)], pa.array([labels.pop() if len(labels) == 1 else None], pa.int64()), pa.array([min(int(np.bitwise_count(m).sum()) for m in maps)], pa.int32()), pa.array([np.bitwise_or.reduce(maps).tobytes()], pa.binary()), pa.array([got], kind)]
             return pa.table(cols, ["token", "node", "lo", "hi", "one", "fewest", "bits", "members"])
 
-        nodes = saved(rows.select("token", "node", "cls", "n", "at", "label", "bits").groupBy("token", "node").applyInArrow(leaf, schema))
+        nodes = saved(rows.select("token", "node", "cls", "n", "at", "label", "bits", "before").groupBy("token", "node").applyInArrow(leaf, schema))
         left = nodes.select("token", *[F.col(c).alias(f"{c}_a") for c in nodes.columns[1:]])
         right = nodes.select("token", *[F.col(c).alias(f"{c}_b") for c in nodes.columns[1:]])
         # nodes lie in the order of sizes
@@ -216,7 +220,7 @@ class _Join:
                         b.append(max(x, y))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return both.mapInArrow(traverse, "a bigint, b bigint").distinct()
+        return both.mapInArrow(traverse, "a bigint, b bigint")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """``doc_id, cls, n`` of all rows, and ``node, component`` of linked classes."""
@@ -229,20 +233,26 @@ class _Join:
         right = in_leaf.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
         pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & _sized(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), percent)).select("a", "b")
         large = saved(groups.filter(F.col("size") > LEAF))
-        after = F.lead("cls").over(Window.partitionBy("token").orderBy("n", "cls"))
+        # a chain through each large group, in an order of its own, joins most of what links there
+        after = F.lead("cls").over(Window.partitionBy("token").orderBy(F.xxhash64("token", "cls")))
         chain = large.select("cls", after.alias("next")).filter("next is not null").select(F.least("cls", "next").alias("a"), F.greatest("cls", "next").alias("b"))
-        links = self.verified(saved(self.pruned(pairs.union(chain).distinct(), classes)), members)
-        found = components(links)
+        close = saved(self.pruned(pairs.union(chain).distinct(), classes))
+        found = saved(components(self.verified(close, members)))
+        drop(close)
         if not large.isEmpty():
-            found = saved(found)
-            more = saved(self.pruned(self.tree_pairs(large, classes, found), classes))
-            links = links.union(self.verified(more, members))
-            found = components(links)
+            close = saved(self.pruned(self.tree_pairs(large, classes, found), classes))
+            more = self.verified(close, members)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+            drop(close)
+        drop(classes, large)
         return members, found
 
 
 def _leaf_pairs(r: dict, percent: int) -> Iterator[tuple[int, int]]:
-    """Member pairs of two nodes that sizes, bitmaps and components let through."""
+    """Member pairs of two nodes that sizes, bitmaps and components let through.
+
+    A pair comes out only in the group of its first common token, so once at most.
+    """
     a, b = np.frombuffer(r["bits_a"], np.uint8), np.frombuffer(r["bits_b"], np.uint8)
     size = min(len(a), len(b))
     a, b = _folded(a, size), _folded(b, size)
@@ -251,6 +261,7 @@ def _leaf_pairs(r: dict, percent: int) -> Iterator[tuple[int, int]]:
     if len(r["bits_a"]) == len(r["bits_b"]) and r["hi_a"] - max(0, r["fewest_a"] - common) < need:
         return  # even the member with the fewest bits has too many outside the other node
     maps = [np.frombuffer(m["bits"], np.uint8) for m in r["members_b"]]
+    before = [set(m["before"]) for m in r["members_b"]]
     for i, x in enumerate(r["members_a"]):
         bits = np.frombuffer(x["bits"], np.uint8)
         if x["n"] - _missing(bits, b) < _needed(x["n"] + max(r["lo_b"], -(-percent * x["n"] // 100)), percent):
@@ -258,7 +269,7 @@ def _leaf_pairs(r: dict, percent: int) -> Iterator[tuple[int, int]]:
         for j, y in enumerate(r["members_b"]):
             if r["node_a"] == r["node_b"] and j <= i or x["label"] == y["label"] or x["cls"] == y["cls"]:
                 continue
-            if 100 * min(x["n"], y["n"]) >= percent * max(x["n"], y["n"]) and min(x["n"] - x["at"], y["n"] - y["at"]) >= _needed(x["n"] + y["n"], percent) and _possible(x["n"], bits, y["n"], maps[j], percent):
+            if 100 * min(x["n"], y["n"]) >= percent * max(x["n"], y["n"]) and min(x["n"] - x["at"], y["n"] - y["at"]) >= _needed(x["n"] + y["n"], percent) and before[j].isdisjoint(x["before"]) and _possible(x["n"], bits, y["n"], maps[j], percent):
                 yield x["cls"], y["cls"]
 
 
