@@ -50,3 +50,18 @@ def test_lines_are_counted_for_each_host_over_distinct_documents(spark):
     assert all(got[100 + i]["n_removed_words"] == 2 * n and not got[100 + i]["kept"] for i in range(10))
     assert all(got[200 + i]["n_removed_words"] == 0 and got[200 + i]["kept"] for i in range(5))
     assert got[300]["kept"] and got[400]["n_removed_words"] == 0
+
+
+def test_lines_of_a_few_documents_of_large_and_small_hosts(spark):
+    own = lambda i: " ".join(f"v{i}x{j}" for j in range(12))
+    shared = "Sign up for our letter"
+    rows = [(i, f"{own(i)}\n{shared}" if i % 14 == 0 else own(i), "large") for i in range(300)]  # 22 of 300
+    rows += [(1000 + i, f"{own(1000 + i)}\n{shared}" if i < 8 else own(1000 + i), "small") for i in range(10)]
+    rows += [(2000 + i, f"{shared}\n{own(2000 + i)}\n{shared}", None) for i in range(7)]
+    rows += [(3000 + i, own(9999), "copies") for i in range(20)]  # one text under many ids
+    rows += [(4000 + i, f"{own(4000 + i)}\n{shared}", "few") for i in range(5)]
+    rows += [(0, rows[0][1], "large")] * 2
+    got = linerules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    want = sorted((d, (5 * t.count(shared)) if s in ("large", "small", None) else 0) for d, t, s in rows)
+    assert sorted((r["doc_id"], r["n_removed_words"]) for r in got) == want
+    assert all(r["kept"] != r["base_failed"] for r in got)

@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 Base rules look at one text: its length and its repetition. Then normalised lines are hashed, the
-distinct documents of each host that have a line are counted, lines above the host's limit are removed,
+distinct documents of each host that have a line are counted, lines that more than a few have are removed,
 and documents that keep too little are rejected.
 """
 
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.scratch import drop, saved
+from verdigris.llm.scratch import saved
 from verdigris.llm.text import SPACE, as_bytes, batches, hashed, mixed, ngrams
 
 #: The characters that count as symbols.
@@ -24,6 +24,9 @@ SYMBOLS = b"#*$%&|<>"
 #: Fixed values of the base rules: fewest words, largest share (percent) of words in repeated windows, the window.
 LEAST_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
 
+#: Parts that the rows with one line are dealt into, so that a very common line isn't one task.
+SALT = 16
+
 _OUT = "doc_id bigint, host string, doc_key binary, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_hashes array<bigint>, line_words array<int>"
 
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80
@@ -93,27 +96,27 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, _OUT)
 
 
-def judge(docs: DataFrame, share: float = 0.2, least: int = 50, keep_share: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, least: int = 5, keep_share: float = 0.3) -> DataFrame:
     """One row for each row of ``docs``: base counts, ``base_failed, n_removed_words, kept``.
 
-    A line is removed where more than ``least`` distinct documents of its host have it and these are more
-    than ``share`` of the host's documents; documents are distinct by id and text. A document is depleted,
-    and not kept, if fewer than LEAST_WORDS words or less than ``keep_share`` of its words are left.
-    ``source`` is the host; null is a host. Null and empty texts have no words and fail the base rules.
-    Repeated rows are judged alike; clashing column names of ``docs`` don't matter.
+    A line is removed where more than ``least`` distinct documents of its host have it; documents are
+    distinct by text, so copies of one text don't remove each other. A document is depleted, and not kept,
+    if fewer than LEAST_WORDS words or less than ``keep_share`` of its words are left. ``source`` is the
+    host; null is a host. Null and empty texts have no words and fail the base rules. Repeated rows are
+    judged alike; clashing column names of ``docs`` don't matter.
     """
-    rows = saved(_measured(docs))
-    one = rows.select("host", "doc_id", "doc_key", "line_hashes").groupBy("host", "doc_id", "doc_key").agg(F.first("line_hashes").alias("line_hashes"))
-    lines = one.select("host", F.explode(F.array_distinct("line_hashes")).alias("line"))
-    frequent = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least)
-    hosts = rows.groupBy("host").agg(F.count_distinct(F.xxhash64("doc_id", "doc_key")).alias("docs"))
-    limit = frequent.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > share * F.col("docs")).select("host", "line")
-    # a host has fewer than 1 / share lines, each counted once a document, for each line of a document: the list is short
-    removed = saved(limit.groupBy("host").agg(F.collect_set("line").alias("removed")).withColumnRenamed("host", "h"))
-    joined = rows.join(removed, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
-    gone = F.aggregate(F.zip_with("line_hashes", "line_words", lambda x, n: F.when(F.array_contains("removed", x), n).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    out = joined.withColumn("n_removed_words", F.when(F.col("removed").isNull(), F.lit(0)).otherwise(gone).cast("bigint"))
+    rows = saved(_measured(docs).withColumn("row", F.monotonically_increasing_id()))
+    one = rows.select("host", "doc_key", "line_hashes").groupBy("host", "doc_key").agg(F.first("line_hashes").alias("line_hashes"))
+    lines = one.select("host", F.explode(F.array_distinct("line_hashes")).alias("line")).select(F.xxhash64("host", "line").alias("key"))
+    frequent = lines.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("key")
+    # a frequent line of a large host is in many rows: each has as many parts as SALT
+    limit = frequent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    each = rows.select("row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("line"))
+    words = each.select("row", F.xxhash64("host", "line.line_hashes").alias("key"), F.pmod("row", F.lit(SALT)).cast("int").alias("part"), F.col("line.line_words").alias("words"))
+    removed = words.join(limit, ["key", "part"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    out = rows.drop("line_hashes", "line_words", "doc_key", "host").join(removed, "row", "left").drop("row")
+    out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("bigint"))
     left = F.col("n_words") - F.col("n_removed_words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     depleted = (left < LEAST_WORDS) | (left < keep_share * F.col("n_words"))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted}).drop("line_hashes", "line_words", "removed", "doc_key", "host")
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
