@@ -16,7 +16,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id."""
+    """One row of each group of near duplicates stays, that with the smallest id."""
     return jaccard.keep_one(docs)
 
 

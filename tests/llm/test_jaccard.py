@@ -83,6 +83,30 @@ def test_keep_one_and_odd_tables(docs, clashing, empty):
     assert run(clashing) == run(docs)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_keep_one_keeps_one_row_of_each_component(spark, docs, monkeypatch, broadcast):
+    """Repeated rows, null ids, and an id with two texts; rows are counted, not ids."""
+    if not broadcast:
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    own = lambda i: " ".join(f"v{i}x{j}" for j in range(20))
+    rows = [(1, own(1), "a")] * 3 + [(1, own(1), "b")]  # one row four times
+    rows += [(None, own(2), "a")] * 2 + [(None, own(2) + " more", "a")]  # copies without an id
+    rows += [(None, own(3), "a"), (3, own(3).upper(), "a"), (4, own(3), "a")]  # an id is preferred
+    rows += [(7, own(1), "a"), (7, own(7), "a")]  # one text of id 7 is a copy, the other stays
+    rows += [(8, own(8), "a"), (8, own(8) + " more", "a")]  # two near texts under one id
+    rows += [(9, None, "a")] * 2 + [(9, " \n\t\x0b", "a")] * 2 + [(None, "", "a")] * 2
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    got = sorted(((r["doc_id"], (r["text"] or "").split()[:1]) for r in jaccard.keep_one(made).collect()), key=str)
+    want = [(1, ["v1x0"]), (None, ["v2x0"]), (3, ["V3X0"]), (7, ["v7x0"]), (8, ["v8x0"])] + [(9, [])] * 4 + [(None, [])] * 2
+    assert got == sorted(want, key=str)
+    # of the fixture: as many rows as components of the rows numbered, and rows without words
+    numbered = spark.createDataFrame([(i, r["text"]) for i, r in enumerate(docs.collect())], "doc_id bigint, text string")
+    whole = run(numbered)
+    wanted = len({c for _, n, c in whole if n}) + sum(not n for _, n, _ in whole)
+    kept = jaccard.keep_one(docs)
+    assert kept.count() == wanted and kept.filter("doc_id = 48").count() == 1
+
+
 def test_components(spark):
     r = random.Random(4)
     chain = [(i, i + 1) for i in range(60)]

@@ -292,7 +292,31 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with their columns; null ids stay."""
-    gone = saved(link(docs, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("jac_gone")).distinct())
-    other = F.broadcast(gone) if small(gone, BROADCAST_ROWS) else gone
-    return docs.join(other, F.col("doc_id") == F.col("jac_gone"), "left_anti")
+    """One row of each component of ``docs``, that of the smallest id, and every row without words.
+
+    Rows are told apart by a 64-bit hash of id and text; null ids come last, equal ids go by that hash. Of
+    rows with the same id and text one stays. Columns are those of ``docs``.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    ids = docs.select(key.alias("key"), F.col("doc_id").cast("bigint")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    members, found = _Join(docs.select(key.alias("doc_id"), F.col("text").cast("string")), n, percent).run()
+    keys = members.filter("cls is not null").select(F.col("doc_id").alias("key"), "cls").distinct()
+    rows = saved(keys.join(ids, "key"))
+    lowest = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"))
+    named = lowest.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    kept = named.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.key", F.lit(True).alias("kept"))
+    # joined by key, as a class of many copies would be one task
+    decided = saved(rows.join(kept, "key", "left").filter("kept IS NULL OR copies > 1").select(F.col("key").alias("jac_key"), F.col("kept").isNull().alias("gone")))
+    drop(rows)
+    stay = _matched(docs, key, decided.filter("gone"), "left_anti")
+    again = decided.filter("not gone")
+    if again.isEmpty():
+        return stay
+    one = _matched(docs, key, again, "left_semi").groupBy(key.alias("jac_key")).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return _matched(stay, key, again, "left_anti").union(one.select("row.*"))
+
+
+def _matched(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to ``jac_key`` of ``keys``, which are broadcast if they are few."""
+    keys = keys.select("jac_key")
+    return docs.join(F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys, key == F.col("jac_key"), how)
