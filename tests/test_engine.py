@@ -1,7 +1,11 @@
+import json
+import re
+
 import pytest
 
 from verdigris.api import Engine
-from verdigris.sources.registry import read_files
+from verdigris.operators.tables import numbered
+from verdigris.sources.registry import DEFAULT_PATTERNS, glob_pattern, read_files
 from verdigris.streaming.ingest import ingest, report_stream
 
 
@@ -51,6 +55,43 @@ def test_writes_are_checked(spark, engine):
         engine.store.insert_run(run, "x", "2024")
 
 
+def test_tests_are_numbered_report_after_report(spark, engine, monkeypatch):
+    files = [(f"{d}.xml", f"{d}.xml", f'<testsuite name="s">{"".join(f"<testcase name=\'{d}{i}\'/>" for i in range(3))}</testsuite>') for d in "cab"]
+    run = engine.start_run()
+    engine.record_reports(run, spark.createDataFrame(files, "doc string, filename string, content string").repartition(3))
+    got = engine.store.read("test_executions").orderBy("id").collect()
+    assert [r["name"][-2:] for r in got] == [f"{d}{i}" for d in "abc" for i in range(3)]
+    assert [r["id"] for r in got] == list(range(1, 10))
+    more = [(None if i % 5 == 0 else f"d{i % 3}", i) for i in range(400)]
+    monkeypatch.setattr("verdigris.operators.tables.NUMBERED", 16)
+    got = numbered(spark.createDataFrame(more, "doc string, pos bigint").repartition(5), 7).orderBy("id").collect()
+    assert [(r["doc"], r["pos"]) for r in got] == sorted(more, key=lambda x: (x[0] or "", x[1])) and got[0]["id"] == 7
+
+
+def test_one_document_of_a_run(spark, engine):
+    base = engine.start_run(branch="main", started_at="2024-01-01T00:00:00+00:00")
+    engine.record_tests(base, rows(spark, ("a", "passed", None), ("b", "failed", "boom")))
+    engine.end_run(base)
+    run = engine.start_run(branch="dev", started_at="2030-01-02T00:00:00+00:00")
+    engine.record_tests(run, rows(spark, ("a", "failed", "bang"), ("b", "passed", None)))
+    engine.end_run(run)
+    got = json.loads(engine.run_document(run, "main", spark.createDataFrame([("y",), ("x",)], "path string"), (2, 1)).first()["json"])
+    assert got["summary"] == {"total": 2, "passed": 1, "failed": 1, "skipped": 0, "duration_ms": 2.0}
+    assert got["failures"] == [{"name": "a", "error": "bang", "duration_ms": 1.0}]
+    assert got["health"]["score"] == 65.0 and got["intelligence"]["failure_clusters"][0]["pattern"] == "bang"
+    assert got["comparison"]["new_failures"] == ["a"] and got["context_files"] == ["x", "y"] and got["sync"] == {"synced": 2, "failed": 1}
+    assert "coverage" not in got
+    alone = json.loads(engine.run_document(run).first()["json"])
+    assert not {"coverage", "comparison", "context_files", "sync"} & set(alone)
+
+
+def test_replaced_snapshots_are_deleted(engine):
+    run = engine.start_run()
+    engine.end_run(run)
+    assert engine.store.vacuum() > 0 and engine.store.vacuum() == 0
+    assert engine.runs().count() == 1
+
+
 def test_migration_repeats(engine):
     assert engine.store.migrate() == engine.store.migrate() == 2
 
@@ -72,6 +113,14 @@ def test_files_and_streams(spark, tmp_path):
         (tmp_path / "in" / name).write_text('<testsuite name="s"><testcase name="t" time="1"/></testsuite>')
     (tmp_path / "in" / "note.txt").write_text("nothing")
     assert sorted(r["filename"] for r in read_files(spark, str(tmp_path / "in")).collect()) == ["a.xml", "note.txt"]
+    for name in ("deep/junit-1.xml", "deep/test-results/x/y.xml", "deep/other.xml", "junit.txt"):
+        (tmp_path / "more" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "more" / name).write_text("x")
+    got = read_files(spark, str(tmp_path / "more"), DEFAULT_PATTERNS)
+    assert sorted(r["filename"] for r in got.collect()) == ["junit-1.xml", "y.xml"]
+    assert read_files(spark, str(tmp_path / "more"), ("*.txt",)).count() == 1
+    fits = lambda glob, path: bool(re.match(glob_pattern(glob), path))
+    assert fits("**/a/**/*.xml", "a/b.xml") and fits("**/a/**/*.xml", "x/a/y/z/b.xml") and not fits("a/*.xml", "a/b/c.xml") and not fits("**/junit*.xml", "a/xjunit.xml")
     stream = ingest(report_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     stream.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2

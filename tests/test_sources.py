@@ -191,5 +191,11 @@ def test_registry_ties(spark):
 
 
 def test_keys(spark):
+    at = lambda text, depth: spark.range(1).select(detect.keys_at_depth(F.lit(text), depth)).first()[0]
+    top = lambda text: spark.range(1).select(detect.top_keys(F.lit(text))).first()[0]
+    assert at('{"a":[{"b":1,"c":{"d":2}},{"e":"f"}]}', 3) == ["b", "c", "e"] and at('{"a":[{"b":1,"c":{"d":2}}]}', 4) == ["d"]
+    assert at('{"a":{"x":1', 2) == ["x"] and at('["u","v"]', 1) == ["v"] and at("none", 1) == []
+    assert top('{"a":{"x":1},"b\\"c":[{"d":2}], "e"') == ["a", 'b\\"c', "e"] and top('{"a":1} {"b":2}') == ["a"] and top('x{"a":1}') == []
+    assert top('{"long":"' + 'x\\"' * 20000 + '", "b":') == ["long", "b"]
     got = spark.range(1).select(detect.top_keys(F.lit('{"a":{"x":1},"b":[{"c":2}]}')).alias("one"), detect.keys_at_depth(F.lit('{"a":{"x":1},"b":2}'), 2).alias("two"), detect.top_keys(F.lit("[1]")).alias("none"), detect.keys_at_depth(F.lit("{}"), 0).alias("zero")).first()
     assert (got["one"], got["two"], got["none"], got["zero"]) == (["a", "b"], ["x"], [], [])

@@ -16,6 +16,8 @@ from verdigris.sources.reports import CoverageReports, TestReports, events, stor
 
 #: Answers that count as accepted, and attempts of an upload.
 ACCEPTED, MAX_ATTEMPTS = (201, 202), 5
+#: Uploads whose outcomes are written at once.
+SETTLED = 100
 
 
 def now() -> str:
@@ -60,7 +62,7 @@ class Engine:
 
     def record_reports(self, run_id: str, files: DataFrame) -> None:
         """All test reports among ``files (doc, filename, content)``; files of no format are left out."""
-        self.record_tests(run_id, events(formats.test_cases(files, self.formats)).drop("doc"))
+        self.record_tests(run_id, events(formats.test_cases(files, self.formats)))
 
     def record_coverage(self, run_id: str, content: str, filename: str) -> DataFrame:
         got = self.parse_coverage(content, filename)
@@ -123,18 +125,39 @@ class Engine:
     def sync(self, send: Callable[[str], int]) -> tuple[int, int]:
         """Send queued payloads one by one; ``send`` returns a status code. Gives how many went and failed.
 
-        Only 201 and 202 are accepted; after five attempts an upload is left alone.
+        Only 201 and 202 are accepted; after five attempts an upload is left alone. Outcomes are written SETTLED
+        at a time: if the driver dies in between, up to so many uploads are sent again.
         """
-        went = failed = 0
+        went, failed, counts = [], [], [0, 0]
+
+        def settle() -> None:
+            if went or failed:
+                self.store.settle(went, failed, now())
+                counts[:] = counts[0] + len(went), counts[1] + len(failed)
+                went.clear()
+                failed.clear()
+
         for row in tables.pending(self.store.read("pending_uploads"), MAX_ATTEMPTS).toLocalIterator():
             try:
                 code, error = send(row["payload"]), ""
             except OSError as e:
                 code, error = 0, str(e)
             if code in ACCEPTED:
-                self.store.mark_synced(row["id"], row["run_id"], now())
-                went += 1
+                went.append((row["id"], row["run_id"]))
             else:
-                self.store.record_failure(row["id"], error or f"HTTP {code}")
-                failed += 1
-        return went, failed
+                failed.append((row["id"], error or f"HTTP {code}"))
+            if len(went) + len(failed) >= SETTLED:
+                settle()
+        settle()
+        return counts[0], counts[1]
+
+    def run_document(self, run_id: str, branch: str | None = None, context: DataFrame | None = None, synced: tuple[int, int] | None = None) -> DataFrame:
+        """``json``: one document of a run with all that is known of it, parts without rows left out.
+
+        ``branch`` adds the comparison with it, ``context (path)`` the files that changed, ``synced`` what
+        :meth:`sync` gave.
+        """
+        te, tr = self._history()
+        run = tables.run_by_id(tr, run_id)
+        compared = None if branch is None else compare.compare(te, tr, branch, run)
+        return payload.run_document(run_id, run, tables.failed_tests(te, run_id), self.health(run_id), self.intelligence(run_id), self.coverage(run_id), compared, context, synced)

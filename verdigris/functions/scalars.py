@@ -27,7 +27,12 @@ def normalize_error(message: Column, unicode: bool = False) -> Column:
     """An error message with its variable parts replaced. ``unicode`` widens \\s, \\d and \\b beyond ASCII."""
     for pattern, to in ERROR_REWRITES:
         message = F.regexp_replace(message, ("(?U)" if unicode else "") + pattern, to)
-    return F.trim(message)
+    return strip(message)
+
+
+def strip(text: Column) -> Column:
+    """The text without white space, of any kind, at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def byte_chars(text: Column) -> Column:

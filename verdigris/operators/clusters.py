@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.scalars import normalize_error, similar, truncate_bytes
+from verdigris.functions.scalars import normalize_error, similar, strip, truncate_bytes
 
 #: Bytes of an error that count, the similarity reported, the bucket of failures without a file.
 ERROR_BYTES, THRESHOLD, NO_FILE = 500, 0.7, "(unknown file)"
@@ -16,9 +16,9 @@ def patterns(failures: DataFrame) -> DataFrame:
 
     Equal patterns always end in one cluster, so that the fold sees each of them once.
     """
-    text = truncate_bytes(normalize_error(F.col("error_message")), ERROR_BYTES)
+    text = truncate_bytes(normalize_error(F.col("error_message"), unicode=True), ERROR_BYTES)
     members = F.collect_list(F.struct("id", "name", "file_path"))
-    return failures.filter(F.trim("error_message") != "").groupBy("run_id", text.alias("pattern")).agg(F.min("id").alias("first"), members.alias("members"))
+    return failures.filter(strip(F.col("error_message")) != "").groupBy("run_id", text.alias("pattern")).agg(F.min("id").alias("first"), members.alias("members"))
 
 
 def leaders(found: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def clusters(failures: DataFrame) -> DataFrame:
     found = patterns(failures)
     led = found.join(leaders(found), "run_id").withColumn("leader", F.filter("leaders", lambda y: similar(y["pattern"], F.col("pattern")))[0])
     by_error = led.groupBy("run_id", F.col("leader.first").alias("first"), F.col("leader.pattern").alias("pattern")).agg(F.flatten(F.collect_list("members")).alias("members")).withColumn("silent", F.lit(0))
-    blank = failures.filter(F.trim("error_message") == "").withColumn("file", F.when(F.col("file_path") == "", NO_FILE).otherwise(F.col("file_path")))
+    blank = failures.filter(strip(F.col("error_message")) == "").withColumn("file", F.when(F.col("file_path") == "", NO_FILE).otherwise(F.col("file_path")))
     by_file = blank.groupBy("run_id", "file").agg(F.min("id").alias("first"), F.collect_list(F.struct("id", "name", "file_path")).alias("members"))
     silent = by_file.select("run_id", "first", F.concat(F.lit("Failed tests in "), F.col("file"), F.lit(" (no error message captured)")).alias("pattern"), "members", F.lit(1).alias("silent"))
     both = by_error.select("run_id", "first", "pattern", "members", "silent").unionByName(silent)

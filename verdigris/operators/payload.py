@@ -40,6 +40,50 @@ def documents(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def run_document(run_id: str, run: DataFrame, failures: DataFrame, health: DataFrame, intelligence: dict[str, DataFrame], coverage: DataFrame, comparison: DataFrame | None = None, context: DataFrame | None = None, synced: tuple[int, int] | None = None) -> DataFrame:
+    """``json``: one run as one document, its ``summary`` and ``failures`` and, where there are any, its ``health``,
+    ``intelligence``, ``coverage``, ``sync``, ``comparison`` and ``context_files``. Its size is that of one run.
+    """
+    key = F.lit(run_id).alias("run_id")
+
+    def one(rows: DataFrame, name: str, *columns) -> DataFrame:
+        """``run_id`` with the first row as a struct."""
+        return rows.limit(1).select(key, F.struct(*(columns or rows.columns)).alias(name))
+
+    def many(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        """``run_id`` with all rows as a list, an empty one where there are none."""
+        ordered = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*rows.columns).alias("row"))))
+        return rows.agg(F.transform(ordered, lambda x: x["row"]).alias(name)).select(key, name)
+
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "passed", "failed", "skipped")]
+    failed = failures.withColumn("file", F.nullif("file_path", F.lit(""))).withColumn("error", F.nullif("error_message", F.lit("")))
+    found = one(run, "summary", *zero, F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"))
+    found = found.join(many(failed.select("id", "name", "file", "error", "duration_ms"), "failures", "id"), "run_id")
+    found = found.withColumn("failures", F.transform("failures", lambda f: f.dropFields("id")))
+    parts = [one(health, "health"), one(coverage.drop("run_id", "data"), "coverage")]
+    parts += [one(comparison, "comparison")] if comparison is not None else []
+    parts += [many(rows, name, *_ORDER[name]()) for name, rows in intelligence.items()]
+    for part in parts:
+        found = found.join(part, "run_id", "left")
+    names = list(intelligence)
+    found = found.withColumn("intelligence", F.struct(*names)).drop(*names)
+    if context is not None:
+        found = found.join(context.agg(F.array_sort(F.collect_list("path")).alias("context_files")).select(key, "context_files"), "run_id", "left")
+        found = found.withColumn("context_files", F.when(F.size("context_files") > 0, F.col("context_files")))
+    if synced is not None:
+        found = found.withColumn("sync", F.struct(F.lit(synced[0]).alias("synced"), F.lit(synced[1]).alias("failed")))
+    return found.select(F.to_json(F.struct(*[c for c in found.columns if c != "run_id"])).alias("json"))
+
+
+#: How the lists of a run's intelligence are ordered.
+_ORDER = {
+    "flaky_tests": lambda: [-F.col("composite_score"), F.col("test_name")],
+    "failure_clusters": lambda: [-F.col("count"), F.col("silent"), F.col("first")],
+    "durations": lambda: [F.col("run_id")],
+    "slowest": lambda: [F.col("rank"), F.col("test_name")],
+}
+
+
 def attempted(uploads: DataFrame, failures: DataFrame) -> DataFrame:
     """Uploads after failed attempts: ``failures (id, error)`` add one attempt each and leave the last error."""
     tried = failures.groupBy("id").agg(F.count("*").alias("more"), F.max("error").alias("error"))

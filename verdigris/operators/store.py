@@ -1,7 +1,8 @@
 """The tables as Parquet snapshots.
 
-A mutation writes a new snapshot of a table and then names it in the manifest; readers see the snapshot
-named last, so a job that dies half-way changes nothing. Appends add files to the current snapshot.
+A mutation writes new snapshots of one or more tables and then names them in the manifest, all in one file;
+readers see the snapshot named last, so a job that dies half-way changes nothing. Appends add files to the
+current snapshot. There is one writer at a time; a snapshot that is replaced stays until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -37,23 +38,23 @@ class Store:
         last = self.spark.read.schema(_MANIFEST).parquet(path).groupBy("table").agg(F.max_by("snapshot", "seq").alias("snapshot"))
         return {r["table"]: r["snapshot"] for r in last.collect()}  # a row for each table
 
-    def _name(self, table: str, snapshot: str) -> None:
+    def _name(self, snapshots: dict[str, str]) -> None:
         path = f"{self.root}/manifest"
         seq = self.spark.read.schema(_MANIFEST).parquet(path).agg(F.max("seq")).first()[0] if self._exists(path) else 0
-        row = self.spark.createDataFrame([(table, snapshot, (seq or 0) + 1)], _MANIFEST)
-        row.coalesce(1).write.mode("append").parquet(path)
+        rows = self.spark.createDataFrame([(t, s, (seq or 0) + 1) for t, s in snapshots.items()], _MANIFEST)
+        rows.coalesce(1).write.mode("append").parquet(path)
 
     def migrate(self) -> int:
         """Create missing tables and bring the schema version up to date; safe to repeat."""
         names = self._names()
-        for table, schema in schemas.TABLES.items():
-            if table not in names:
-                self.replace(table, self.spark.createDataFrame([], schema))
+        absent = {t: self.spark.createDataFrame([], schema) for t, schema in schemas.TABLES.items() if t not in names}
+        if absent:
+            self.replace(absent)
         if self.version() < schemas.LATEST_VERSION:
             for version, added in schemas.ADDED.items():
                 if self.version() < version:
                     for table, columns in added.items():
-                        self.replace(table, self.read(table).fillna(0, list(columns)))
+                        self.replace({table: self.read(table).fillna(0, list(columns))})
                     row = self.spark.createDataFrame([(version,)], "version int").withColumn("applied_at", F.current_timestamp().cast("string"))
                     row.coalesce(1).write.mode("append").parquet(f"{self.root}/{_VERSION}")
         return self.version()
@@ -66,11 +67,24 @@ class Store:
         """A table's current rows; columns that old files lack are null."""
         return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.root}/{self._names()[table]}")
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Make ``rows`` the table."""
-        snapshot = f"{table}/{uuid.uuid4().hex}"
-        self._typed(table, rows).write.parquet(f"{self.root}/{snapshot}")
-        self._name(table, snapshot)
+    def replace(self, tables_: dict[str, DataFrame]) -> None:
+        """Make these rows the tables, all at once."""
+        snapshots = {}
+        for table, rows in tables_.items():
+            snapshots[table] = f"{table}/{uuid.uuid4().hex}"
+            self._typed(table, rows).write.parquet(f"{self.root}/{snapshots[table]}")
+        self._name(snapshots)
+
+    def vacuum(self) -> int:
+        """Delete snapshots that are no table's current one; returns how many. No reader may be at work on them."""
+        current, gone = set(self._names().values()), 0
+        for table in schemas.TABLES:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            for found in self._fs.listStatus(where) if self._fs.exists(where) else ():
+                if f"{table}/{found.getPath().getName()}" not in current:
+                    self._fs.delete(found.getPath(), True)
+                    gone += 1
+        return gone
 
     def append(self, table: str, rows: DataFrame) -> None:
         self._typed(table, rows).write.mode("append").parquet(f"{self.root}/{self._names()[table]}")
@@ -90,16 +104,18 @@ class Store:
         self.append("test_runs", self.spark.createDataFrame([row], schemas.TEST_RUNS))
 
     def insert_tests(self, run_id: str, tests: DataFrame) -> None:
-        """Executions ``name, status, duration_ms[, file_path, error_message, retry_count, flaky][, pos]`` of a run.
+        """Executions ``name, status, duration_ms[, file_path, error_message, retry_count, flaky][, doc][, pos]`` of a run.
 
-        Ids go on from the largest so far, in the order of ``pos``. A status outside the closed set fails the write.
+        Ids go on from the largest so far, report after report (``doc``) and in the order of ``pos``. Without
+        ``pos`` they are in the order in which the rows come. A status outside the closed set fails the write.
         """
         missing = {"file_path": "string", "error_message": "string", "retry_count": "int", "flaky": "boolean"}
         rows = tests.withColumns({c: F.lit(None).cast(k) for c, k in missing.items() if c not in tests.columns})
         valid = F.col("status").isin(*schemas.STATUSES)
         rows = rows.withColumn("status", F.when(valid, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("Invalid test status: "), F.coalesce("status", F.lit("null"))))))
-        order = ["pos"] if "pos" in tests.columns else [F.monotonically_increasing_id()]
-        rows = tables.numbered(rows.coalesce(1) if order != ["pos"] else rows, order).withColumn("id", F.col("id") + (self.next_id("test_executions") - 1))
+        if "pos" not in tests.columns:
+            rows = rows.withColumn("pos", F.monotonically_increasing_id())
+        rows = tables.numbered(rows, self.next_id("test_executions"))
         self.append("test_executions", rows.withColumns({"run_id": F.lit(run_id), "retry_count": F.coalesce("retry_count", F.lit(0)), "flaky": F.coalesce("flaky", F.lit(False))}))
 
     def finish_run(self, run_id: str, summary: dict, finished_at: str) -> None:
@@ -109,10 +125,10 @@ class Store:
         if runs.filter(target).isEmpty():
             raise ValueError(f"no running run {run_id}")
         new = {"status": "finished", "finished_at": finished_at, **summary}
-        self.replace("test_runs", runs.withColumns({c: F.when(target, F.lit(v)).otherwise(F.col(c)) for c, v in new.items()}))
+        self.replace({"test_runs": runs.withColumns({c: F.when(target, F.lit(v)).otherwise(F.col(c)) for c, v in new.items()})})
 
     def update_framework(self, run_id: str, framework: str) -> None:
-        self.replace("test_runs", self.read("test_runs").withColumn("framework", F.when(F.col("id") == run_id, framework).otherwise(F.col("framework"))))
+        self.replace({"test_runs": self.read("test_runs").withColumn("framework", F.when(F.col("id") == run_id, framework).otherwise(F.col("framework")))})
 
     def insert_coverage(self, run_id: str, report: DataFrame, files: DataFrame | None, created_at: str) -> None:
         """One coverage row from a report row ``format, *_covered, *_total``; the run's rows all get the files' JSON."""
@@ -121,7 +137,7 @@ class Store:
         if files is not None:
             data = files.select(F.col("data").alias("new_data")).limit(1)
             rows = self.read("coverage_reports").join(F.broadcast(data.withColumn("run", F.lit(run_id))), F.col("run_id") == F.col("run"), "left")
-            self.replace("coverage_reports", rows.withColumn("data", F.coalesce("new_data", "data")))
+            self.replace({"coverage_reports": rows.withColumn("data", F.coalesce("new_data", "data"))})
 
     def enqueue(self, run_id: str, document: DataFrame, created_at: str) -> int:
         """Queue a run's payload (``payload``, one row) and return its id."""
@@ -132,21 +148,23 @@ class Store:
 
     def mark_synced(self, upload_id: int, run_id: str, at: str) -> None:
         """Drop an accepted upload and mark its run."""
-        done = self.spark.createDataFrame([(upload_id, run_id)], "id bigint, run_id string")
-        left, marked = payload.synced(self.read("pending_uploads"), self.read("test_runs"), done, at)
-        self.replace("test_runs", marked)
-        self.replace("pending_uploads", left)
+        self.settle([(upload_id, run_id)], [], at)
 
     def record_failure(self, upload_id: int, error: str) -> None:
-        failed = self.spark.createDataFrame([(upload_id, error)], "id bigint, error string")
-        self.replace("pending_uploads", payload.attempted(self.read("pending_uploads"), failed))
+        self.settle([], [(upload_id, error)], None)
+
+    def settle(self, accepted: list[tuple[int, str]], failed: list[tuple[int, str]], at: str | None) -> None:
+        """Drop accepted uploads ``(id, run_id)``, mark their runs and count failed attempts ``(id, error)``, all in one write."""
+        done = self.spark.createDataFrame(accepted, "id bigint, run_id string")
+        left, marked = payload.synced(self.read("pending_uploads"), self.read("test_runs"), done, at)
+        left = payload.attempted(left, self.spark.createDataFrame(failed, "id bigint, error string"))
+        self.replace({"pending_uploads": left, "test_runs": marked} if accepted else {"pending_uploads": left})
 
     def clean_up(self, max_runs: int = retention.MAX_RUNS, before: str | None = None) -> int:
         """Drop expired runs and all rows that belong to them; returns how many runs went."""
         runs = self.read("test_runs")
         gone = retention.expired(runs, max_runs, before).count()
         if gone:
-            self.replace("test_runs", retention.survivors(runs, max_runs, before))
-            for table in list(schemas.TABLES)[1:]:
-                self.replace(table, retention.cascade(self.read(table), self.read("test_runs")))
+            left = retention.survivors(runs, max_runs, before)
+            self.replace({"test_runs": left} | {t: retention.cascade(self.read(t), left) for t in list(schemas.TABLES)[1:]})
         return gone

@@ -120,5 +120,21 @@ def pending(uploads: DataFrame, max_attempts: int = 5) -> DataFrame:
     return uploads.filter(F.col("attempts") < max_attempts).orderBy("created_at", "id")
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+#: Rows that are numbered together.
+NUMBERED = 1 << 16
+
+
+def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
+    """``rows`` with ``id``, numbers from ``first`` on in the order of ``doc`` (where there is one) and ``pos``.
+
+    Rows are numbered within ranges of positions of a document, and each range starts where those before it
+    end; only counts by range are ordered as a whole.
+    """
+    by = ["doc", "part"] if "doc" in rows.columns else ["part"]
+    rows = rows.withColumn("part", F.floor(F.col("pos") / NUMBERED))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    ahead = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"start_{c}") for c in by], (F.coalesce(F.sum("n").over(ahead), F.lit(0)) + first).alias("start"))
+    same = [F.col(c).eqNullSafe(F.col(f"start_{c}")) for c in by]
+    within = F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1
+    return rows.withColumn("id", within).join(starts, same).withColumn("id", (F.col("start") + F.col("id")).cast("bigint")).drop("part", "start", *[f"start_{c}" for c in by])

@@ -119,9 +119,15 @@ def failure_search(spark, sf_dir):
     return tables.search_failures(*_both(spark, sf_dir), "TIMEOUT")
 
 
-@query(f"{WITH} {HISTORY_ROWS} WHERE contains(lower(name), 'user_1') OR contains(name, '%') ORDER BY started_at DESC, te.id DESC LIMIT 50")
+#: Names with an underscore, a percent sign or neither, so that a wildcard would find more than the sign itself.
+WITH_SIGNED = WITH.replace("concat('user-', user_id) AS name", "concat('user', CASE event_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '%' ELSE '-' END, user_id) AS name")
+
+
+@query(f"{WITH_SIGNED} {HISTORY_ROWS} WHERE contains(lower(name), 'user_1') ORDER BY started_at DESC, te.id DESC LIMIT 50")
 def search_literal_wildcards(spark, sf_dir):
-    return tables.test_history(*_both(spark, sf_dir), "user_1")
+    te, tr = _both(spark, sf_dir)
+    signed = F.when(F.col("id") % 3 == 0, F.replace("name", F.lit("-"), F.lit("_"))).when(F.col("id") % 3 == 1, F.replace("name", F.lit("-"), F.lit("%"))).otherwise(F.col("name"))
+    return tables.test_history(te.withColumn("name", signed), tr, "User_1")
 
 
 @query(f"{WITH} SELECT run_id, status, count(*) AS n FROM te GROUP BY 1, 2")
@@ -199,11 +205,12 @@ def error_similarity(spark, sf_dir):
     return both.select("run_id", "id", scalars.edit_distance(F.col("t"), F.col("u")).cast("bigint").alias("distance"), scalars.similar(F.col("t"), F.col("u")).alias("similar"))
 
 
-LEADERS = f"""{WITH}, f AS (SELECT run_id, id, {_rewritten('error_message')} AS t FROM te WHERE status = 'failed' AND trim(coalesce(error_message, '')) <> ''),
+LEADERS = f"""{WITH}, f AS (SELECT run_id, id, name, coalesce(file_path, '') AS file_path, {_rewritten('error_message')} AS t FROM te WHERE status = 'failed' AND trim(coalesce(error_message, '')) <> ''),
 d AS (SELECT run_id, t, min(id) AS first, count(*) AS n FROM f GROUP BY 1, 2),
 l AS (SELECT run_id, list_reduce(list(t ORDER BY first), lambda got, x: CASE WHEN len(list_filter(got, lambda y: y = x OR 10 * levenshtein(y, x) <= 3 * greatest(strlen(y), strlen(x)))) > 0 THEN got ELSE list_append(got, x) END, CAST([] AS VARCHAR[])) AS leaders FROM d GROUP BY run_id),
 a AS (SELECT d.*, list_filter(leaders, lambda y: y = t OR 10 * levenshtein(y, t) <= 3 * greatest(strlen(y), strlen(t)))[1] AS leader FROM d JOIN l USING (run_id))
-SELECT run_id, leader AS pattern, CAST(sum(n) AS INT) AS count, min(first) AS first FROM a GROUP BY 1, 2"""
+SELECT a.run_id, leader AS pattern, CAST(count(*) AS INT) AS count, min(f.id) AS first, string_agg(name, '|' ORDER BY f.id) AS test_names,
+coalesce(array_to_string(list_sort(list(DISTINCT file_path) FILTER (file_path <> '')), '|'), '') AS file_paths FROM a JOIN f ON f.run_id = a.run_id AND f.t = a.t GROUP BY 1, 2"""
 
 
 def _clustered(spark, sf_dir):
@@ -212,7 +219,7 @@ def _clustered(spark, sf_dir):
 
 @query(LEADERS)
 def failure_clusters(spark, sf_dir):
-    return _clustered(spark, sf_dir).filter("silent = 0").select("run_id", "pattern", "count", "first")
+    return _clustered(spark, sf_dir).filter("silent = 0").select("run_id", "pattern", "count", "first", *[F.array_join(c, "|").alias(c) for c in ("test_names", "file_paths")])
 
 
 @query(f"{WITH}, f AS (SELECT run_id, id, name, CASE WHEN file_path = '' THEN '(unknown file)' ELSE file_path END AS file FROM te WHERE status = 'failed' AND trim(coalesce(error_message, '')) = '') SELECT run_id, concat('Failed tests in ', file, ' (no error message captured)') AS pattern, CAST(count(*) AS INT) AS count, string_agg(name, '|' ORDER BY id) AS test_names, 0.7 AS similarity FROM f GROUP BY run_id, file")
@@ -290,14 +297,27 @@ def sync_marked(spark, sf_dir):
     return payload.synced(up, adapters.runs(spark, sf_dir), up.filter("id % 2 = 0"), "now")[1].select("id", "synced_at")
 
 
-@query(f"{WITH} SELECT tr.id AS run_id, tr.branch, tr.finished_at, tr.total, count(te.id) AS tests, arg_min(te.name, te.id) AS first_name, arg_max(te.status, te.id) AS last_status, count(*) FILTER (te.error_message IS NOT NULL) AS errors FROM tr JOIN te ON te.run_id = tr.id WHERE tr.finished_at IS NOT NULL GROUP BY 1, 2, 3, 4")
+#: Two coverage reports of each run, of which the later one counts; it has two files.
+COVERED = """cov AS (SELECT CAST(10 * total + k AS BIGINT) AS id, id AS run_id, CASE k WHEN 2 THEN concat('[{"path":"b-', id, '","lines":{"covered":1,"total":2},"branches":{"covered":0,"total":0},"functions":{"covered":0,"total":0}},{"path":"a","lines":{"covered":3,"total":4},"branches":{"covered":1,"total":2},"functions":{"covered":0,"total":1}}]') END AS data,
+CASE k WHEN 2 THEN 'lcov' ELSE 'jacoco' END AS format, CAST(passed * k AS INT) AS lines_covered, CAST(total * k AS INT) AS lines_total, 0 AS branches_covered, k AS branches_total, 0 AS functions_covered, 0 AS functions_total, concat(id, 'T0', k) AS created_at FROM tr CROSS JOIN (VALUES (1), (2)) AS ks(k))"""
+
+
+@query(f"""{WITH}, {COVERED} SELECT tr.id AS run_id, tr.branch, tr.finished_at, tr.total, count(te.id) AS tests, md5(string_agg(te.name || ' ' || te.status || ' ' || coalesce(te.file_path, '') || ' ' || coalesce(te.error_message, '') || ' ' || te.retry_count, '|' ORDER BY te.id)) AS listed,
+cov.format AS coverage_format, cov.lines_covered, cov.branches_total, CAST(2 AS BIGINT) AS covered_files, 'a' AS first_path, 'b-' || tr.id AS last_path, 3 AS first_covered
+FROM tr JOIN te ON te.run_id = tr.id JOIN cov ON cov.run_id = tr.id AND cov.format = 'lcov' WHERE tr.finished_at IS NOT NULL GROUP BY ALL""")
 def ingest_payload(spark, sf_dir):
     te, tr = _both(spark, sf_dir)
-    covered = spark.createDataFrame([], "id bigint, run_id string, data string, format string, lines_covered int, lines_total int, branches_covered int, branches_total int, functions_covered int, functions_total int, created_at string")
-    kind = "struct<branch: string, finishedAt: string, summary: struct<total: int>, tests: array<struct<name: string, status: string, error: string>>>"
+    covered = spark.sql(f"WITH {COVERED.replace('FROM tr', 'FROM {tr}')} SELECT * FROM cov", tr=tr)
+    metric = "struct<covered: int, total: int>"
+    kind = f"struct<branch: string, finishedAt: string, summary: struct<total: int>, tests: array<struct<name: string, status: string, filePath: string, error: string, retryCount: int>>, coverage: struct<format: string, lines: {metric}, branches: {metric}, files: array<struct<path: string, lines: {metric}>>>>"
     got = payload.ingest_payload(tr, te, covered).withColumn("p", F.from_json("payload", kind))
-    tests = F.col("p.tests")
-    return got.select("run_id", F.col("p.branch").alias("branch"), F.col("p.finishedAt").alias("finished_at"), F.col("p.summary.total").alias("total"), F.size(tests).cast("bigint").alias("tests"), F.get(tests, F.lit(0))["name"].alias("first_name"), F.element_at(tests, -1)["status"].alias("last_status"), F.size(F.filter(tests, lambda t: t["error"].isNotNull())).cast("bigint").alias("errors"))
+    line = F.transform("p.tests", lambda t: F.concat_ws(" ", t["name"], t["status"], F.coalesce(t["filePath"], F.lit("")), F.coalesce(t["error"], F.lit("")), t["retryCount"].cast("string")))
+    files = F.col("p.coverage.files")
+    return got.select(
+        "run_id", F.col("p.branch").alias("branch"), F.col("p.finishedAt").alias("finished_at"), F.col("p.summary.total").alias("total"), F.size("p.tests").cast("bigint").alias("tests"), F.md5(F.array_join(line, "|")).alias("listed"),
+        F.col("p.coverage.format").alias("coverage_format"), F.col("p.coverage.lines.covered").alias("lines_covered"), F.col("p.coverage.branches.total").alias("branches_total"), F.size(files).cast("bigint").alias("covered_files"),
+        F.get(files, F.lit(0))["path"].alias("first_path"), F.element_at(files, -1)["path"].alias("last_path"), F.get(files, F.lit(0))["lines"]["covered"].alias("first_covered"),
+    )
 
 
 def _rendered(spark, sf_dir):

@@ -20,15 +20,21 @@ def _text(*parts: Column | str) -> Column:
 
 def junit(lines: DataFrame) -> DataFrame:
     c = F.col
-    inner = F.when(c("status") == "failed", _text('<failure message="', c("message"), '"/>')).when(c("status") == "skipped", "<skipped/>").otherwise("")
-    item = _text('<testcase name="', c("name"), '" classname="', c("owner"), '" time="', F.format_string("%.3f", c("ms") / 1000), '">', inner, "</testcase>")
+    # failures in each of the ways in which they are written: attribute, text on lines of its own, CDATA, both
+    ways = (('<failure message="', '"/>'), ("<failure>\n  \t", "\n</failure>"), ("<error><![CDATA[ ", " ]]></error>"), ('<failure type="x" message="', '">expected &lt;b&gt;\n  at src/x.ts:1</failure>'))
+    failed = F
+    for i, (before, after) in enumerate(ways):
+        failed = failed.when(c("n") % len(ways) == i, _text(before, c("message"), after))
+    inner = F.when(c("status") == "failed", failed).when(c("status") == "skipped", "<skipped/>").otherwise("")
+    item = _text('<testcase name="', c("name"), '" classname="', c("owner"), '" time="', F.format_string("%.3f", c("ms") / 1000), '">', inner, "</testcase>\n")
+    item = F.when(c("n") % 3 == 0, _text('<testsuite name="inner" file="src/lines.test.ts" time="9">', item, "</testsuite>")).otherwise(item)
     return _joined(lines, item, '<?xml version="1.0"?><testsuites name="all"><testsuite name="lines" file="src/lines.test.ts">', "</testsuite></testsuites>")
 
 
 def trx(lines: DataFrame) -> DataFrame:
     c = F.col
     outcome = F.when(c("status") == "passed", "Passed").when(c("status") == "failed", "Failed").otherwise("NotExecuted")
-    inner = F.when(c("status") == "failed", _text("<Output><ErrorInfo><Message>", c("message"), "</Message></ErrorInfo></Output>")).otherwise("")
+    inner = F.when(c("status") == "failed", _text("<Output><ErrorInfo><Message>\n ", c("message"), "\r\n</Message><StackTrace>at x</StackTrace></ErrorInfo></Output>")).otherwise("")
     item = _text('<UnitTestResult testName="Shop.', c("owner"), ".", c("name"), '(1)" outcome="', outcome, '" duration="00:00:00.', F.lpad(c("ms").cast("string"), 3, "0"), '0000">', inner, "</UnitTestResult>")
     return _joined(lines, item, '<TestRun id="r" name="n" xmlns="http://microsoft.com/schemas/VisualStudio/TeamTest/2010"><Results>', "</Results></TestRun>")
 

@@ -1,4 +1,4 @@
-"""Coverage readers: LCOV over lines, Cobertura, JaCoCo and Clover over element rows."""
+"""Coverage readers: LCOV over lines; Cobertura, JaCoCo and Clover group the element rows once by file."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import condition_counts, strip_bom
 from verdigris.sources.reports import COUNTS, KINDS, CoverageReports, totals
-from verdigris.sources.xml import attr, elements, number, parent_tag, within
+from verdigris.sources.xml import attr, attr_within, elements, number, only, owner, parent_tag, within
 
 #: LCOV's counters by what they count.
 LCOV_COUNTERS = {"lines_covered": "LH", "lines_total": "LF", "branches_covered": "BRH", "branches_total": "BRF", "functions_covered": "FNH", "functions_total": "FNF"}
@@ -46,17 +46,19 @@ def lcov(docs: DataFrame) -> CoverageReports:
 
 def cobertura(docs: DataFrame) -> CoverageReports:
     """Cobertura: classes merged by file name; files without lines outside methods are left out."""
-    rows = elements(docs)
-    classes = rows.filter("tag = 'class'").select("doc", F.col("id").alias("class"), attr("filename").alias("path"))
-    lines = rows.filter((F.col("tag") == "line") & within("methods").isNull()).withColumn("class", within("class"))
+    rows = elements(docs, "class")
+    in_methods = within("methods").isNotNull()
+    line, method = (F.col("tag") == "line") & ~in_methods, (F.col("tag") == "method") & in_methods
+    hits = F.coalesce(number("hits"), F.lit(0)) > 0
     covered, total = condition_counts(attr("condition-coverage"))
-    branched = (attr("branch") == "true") & covered.isNotNull() & total.isNotNull()
-    lines = lines.select("doc", "class", "id", (F.coalesce(number("hits"), F.lit(0)) > 0).cast("bigint").alias("hit"), F.when(branched, covered).otherwise(0).alias("bc"), F.when(branched, total).otherwise(0).alias("bt"))
-    by_line = lines.join(classes, ["doc", "class"]).filter("path is not null").groupBy("doc", "path").agg(F.min("id").alias("pos"), F.sum("hit").alias("lines_covered"), F.count("*").alias("lines_total"), F.sum("bc").alias("branches_covered"), F.sum("bt").alias("branches_total"))
-    methods = rows.filter((F.col("tag") == "method") & within("methods").isNotNull()).withColumn("class", within("class"))
-    ran = (F.coalesce(number("hits"), F.lit(0)) > 0) | (F.coalesce(number("line-rate", "double"), F.lit(0.0)) > 0)
-    by_method = methods.select("doc", "class", ran.cast("bigint").alias("ran")).join(classes, ["doc", "class"]).groupBy("doc", "path").agg(F.sum("ran").alias("functions_covered"), F.count("*").alias("functions_total"))
-    files = by_line.join(by_method, ["doc", "path"], "left").select("doc", "pos", "path", *[_zero(c) for c in COUNTS])
+    branched = line & (attr("branch") == "true") & covered.isNotNull() & total.isNotNull()
+    ran = hits | (F.coalesce(number("line-rate", "double"), F.lit(0.0)) > 0)
+    own_lines = rows.filter(line | method).withColumn("path", attr_within("class", "filename")).filter("path is not null")
+    files = own_lines.groupBy("doc", "path").agg(
+        F.min(F.when(line, F.col("id"))).alias("pos"), F.count_if(line & hits).alias("lines_covered"), F.count_if(line).alias("lines_total"),
+        F.coalesce(F.sum(F.when(branched, covered)), F.lit(0)).alias("branches_covered"), F.coalesce(F.sum(F.when(branched, total)), F.lit(0)).alias("branches_total"),
+        F.count_if(method & ran).alias("functions_covered"), F.count_if(method).alias("functions_total"),
+    ).filter("lines_total > 0").select("doc", "pos", "path", *[_zero(c) for c in COUNTS])
     roots = rows.filter("tag = 'coverage'")
     whole = roots.filter(number("lines-valid").isNotNull() & number("lines-covered").isNotNull())
     zero = F.lit(0)
@@ -64,33 +66,34 @@ def cobertura(docs: DataFrame) -> CoverageReports:
     return CoverageReports(files, _reports(docs, "cobertura", totals(files), own, roots, "No coverage element found in Cobertura XML"))
 
 
-def _counted(counters: DataFrame, by: list[str]) -> DataFrame:
-    """JaCoCo counters of each group: the last of a kind holds."""
+def _counters(when: Column) -> list[Column]:
+    """In a group of rows, JaCoCo's counters ``when`` holds: the last of a kind counts."""
     missed, covered = F.coalesce(number("missed"), F.lit(0)), F.coalesce(number("covered"), F.lit(0))
     picks = []
     for kind in KINDS:
-        last = F.max_by(F.struct(covered.alias("c"), (missed + covered).alias("t")), F.when(attr("type") == JACOCO_COUNTERS[kind], F.col("id")))
-        picks += [F.coalesce(last["c"], F.lit(0)).alias(f"{kind}_covered"), F.coalesce(last["t"], F.lit(0)).alias(f"{kind}_total")]
-    return counters.groupBy(*by).agg(*picks)
+        last = F.max_by(F.struct(covered.alias("c"), (missed + covered).alias("t")), F.when(when & (attr("type") == JACOCO_COUNTERS[kind]), F.col("id")))
+        picks += [F.coalesce(last["c"], F.lit(0)).cast("bigint").alias(f"{kind}_covered"), F.coalesce(last["t"], F.lit(0)).cast("bigint").alias(f"{kind}_total")]
+    return picks
 
 
 def jacoco(docs: DataFrame) -> CoverageReports:
     """JaCoCo: source files; without any, classes merged by their source file. The report's own counters win."""
-    rows = elements(docs)
-    counters = rows.filter("tag = 'counter'")
-    packages = rows.filter("tag = 'package'").select("doc", F.col("id").alias("package"), F.coalesce(attr("name"), F.lit("")).alias("package_name"))
-    sources = rows.filter("tag = 'sourcefile' AND NOT empty").select("doc", F.col("id").alias("owner"), within("package").alias("package"), F.coalesce(attr("name"), F.lit("")).alias("name"))
-    named = sources.join(packages, ["doc", "package"], "left").withColumn("path", F.when(F.coalesce("package_name", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws("/", "package_name", "name")))
-    direct = _counted(counters.withColumn("owner", within("sourcefile")).filter("owner is not null"), ["doc", "owner"])
-    by_source = named.join(direct, ["doc", "owner"], "left").select("doc", F.col("owner").alias("pos"), "path", *[_zero(c) for c in COUNTS])
-    classes = rows.filter("tag = 'class' AND NOT empty").select("doc", F.col("id").alias("owner"), F.coalesce(attr("name"), F.lit("")).alias("name"), attr("sourcefilename").alias("file"))
-    folder = F.when(F.col("name").contains("/"), F.regexp_replace("name", "/[^/]*$", ""))
-    path = F.when(F.col("file").isNull(), F.col("name")).otherwise(F.concat_ws("/", folder, "file"))
-    inner = _counted(counters.withColumn("owner", within("class")).filter("owner is not null"), ["doc", "owner"])
-    by_class = classes.withColumn("path", path).join(inner, ["doc", "owner"], "left").groupBy("doc", "path").agg(F.min("owner").alias("pos"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
-    fallback = by_class.join(by_source.select("doc").distinct(), "doc", "left_anti")
-    files = by_source.unionByName(fallback.select(*by_source.columns))
-    tops = _counted(counters.filter(parent_tag() == "report"), ["doc"]).filter("lines_total > 0 OR branches_total > 0")
+    rows = elements(docs, "package")
+    counter = F.col("tag") == "counter"
+    kind = F.when(owner("sourcefile").isNotNull(), "sourcefile").when(owner("class").isNotNull(), "class")
+    owned = rows.filter(counter | F.col("tag").isin("sourcefile", "class")).withColumn("kind", kind).filter("kind is not null").withColumn("owner", F.coalesce(owner("sourcefile"), owner("class")))
+    itself = F.col("tag") == F.col("kind")
+    name, package = F.coalesce(attr("name"), F.lit("")), F.coalesce(attr_within("package", "name"), F.lit(""))
+    folder = F.when(name.contains("/"), F.regexp_replace(name, "/[^/]*$", ""))
+    of_source = F.when(package == "", name).otherwise(F.concat_ws("/", package, name))
+    of_class = F.when(attr("sourcefilename").isNull(), name).otherwise(F.concat_ws("/", folder, attr("sourcefilename")))
+    path = F.when(itself & ~F.col("empty"), F.when(F.col("kind") == "sourcefile", of_source).otherwise(of_class))
+    each = owned.groupBy("doc", "kind", "owner").agg(F.first(path, ignorenulls=True).alias("path"), *_counters(counter)).filter("path is not null")
+    each = each.withColumn("sourced", F.bool_or(F.col("kind") == "sourcefile").over(Window.partitionBy("doc")))
+    # a source file stands for itself, classes of one file are one
+    alone = F.when(F.col("kind") == "sourcefile", F.col("owner"))
+    files = each.filter((F.col("kind") == "sourcefile") == F.col("sourced")).groupBy("doc", "path", alone.alias("alone")).agg(F.min("owner").alias("pos"), *[F.sum(c).alias(c) for c in COUNTS]).select("doc", "pos", "path", *COUNTS)
+    tops = rows.filter(counter & (parent_tag() == "report")).groupBy("doc").agg(*_counters(counter)).filter("lines_total > 0 OR branches_total > 0")
     return CoverageReports(files, _reports(docs, "jacoco", totals(files), tops, rows.filter("tag = 'report'"), "No report element found in JaCoCo XML"))
 
 
@@ -103,21 +106,21 @@ def clover(docs: DataFrame) -> CoverageReports:
         "branches_covered": value("coveredconditionals"), "branches_total": value("conditionals"),
         "functions_covered": value("coveredmethods"), "functions_total": value("methods"),
     }
-    metrics = rows.filter("tag = 'metrics'").withColumn("file", within("file")).select("doc", "id", "file", parent_tag().alias("under"), F.struct(*[c.alias(n) for n, c in measures.items()]).alias("m"))
-    first = metrics.filter("file is not null").groupBy("doc", "file").agg(F.min_by("m", "id").alias("m"))
-    kind, ran = attr("type"), (value("count") > 0).cast("bigint")
+    measured = F.struct(*[c.cast("bigint").alias(n) for n, c in measures.items()])
+    kind, ran = F.when(F.col("tag") == "line", attr("type")), (value("count") > 0).cast("bigint")
     sides = (value("truecount") > 0).cast("bigint") + (value("falsecount") > 0).cast("bigint")
-    known = rows.filter((F.col("tag") == "line") & kind.isin("stmt", "cond", "method")).withColumn("file", within("file")).filter("file is not null")
+    known = kind.isin("stmt", "cond", "method")
     hit = F.when(kind == "cond", (sides > 0).cast("bigint")).otherwise(ran)
-    lines = known.groupBy("doc", "file").agg(
-        F.sum(hit).alias("lines_covered"), F.count("*").alias("lines_total"),
-        F.sum(F.when(kind == "cond", sides).otherwise(0)).alias("branches_covered"), F.sum(F.when(kind == "cond", 2).otherwise(0)).alias("branches_total"),
-        F.sum(F.when(kind == "method", ran).otherwise(0)).alias("functions_covered"), F.sum(F.when(kind == "method", 1).otherwise(0)).alias("functions_total"),
-    )
-    named = rows.filter("tag = 'file' AND NOT empty").select("doc", F.col("id").alias("file"), F.coalesce(attr("path"), attr("name"), F.lit("")).alias("path"))
-    both = named.join(first, ["doc", "file"], "left").join(lines, ["doc", "file"], "left").filter("m is not null OR lines_total is not null")
-    files = both.select("doc", F.col("file").alias("pos"), "path", *[F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(c)).cast("bigint").alias(c) for c in COUNTS])
+    inner = rows.withColumn("file", owner("file")).filter("file is not null").filter(known | F.col("tag").isin("file", "metrics"))
+    path = F.when(~F.col("empty"), F.coalesce(attr("path"), attr("name"), F.lit("")))
+    sums = {
+        "lines_covered": F.when(known, hit), "lines_total": F.when(known, 1), "branches_covered": F.when(kind == "cond", sides), "branches_total": F.when(kind == "cond", 2),
+        "functions_covered": F.when(kind == "method", ran), "functions_total": F.when(kind == "method", 1),
+    }
+    both = inner.groupBy("doc", "file").agg(only("file", path).alias("path"), F.min_by(measured, F.when(F.col("tag") == "metrics", F.col("id"))).alias("m"), F.count_if(known).alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(c) for c, v in sums.items()])
+    files = both.filter("path is not null AND (m is not null OR n > 0)").select("doc", F.col("file").alias("pos"), "path", *[F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(c)).cast("bigint").alias(c) for c in COUNTS])
     begun = rows.filter(F.col("tag").isin("package", "file")).groupBy("doc").agg(F.min("id").alias("begun"))
-    early = metrics.filter("under = 'project'").join(begun, "doc", "left").filter("begun is null OR id < begun").groupBy("doc").agg(F.max_by("m", "id").alias("m"))
+    metrics = rows.filter((F.col("tag") == "metrics") & (parent_tag() == "project")).select("doc", "id", measured.alias("m"))
+    early = metrics.join(begun, "doc", "left").filter("begun is null OR id < begun").groupBy("doc").agg(F.max_by("m", "id").alias("m"))
     own = early.select("doc", "m.*").filter("lines_total > 0 OR functions_total > 0")
     return CoverageReports(files, _reports(docs, "clover", totals(files), own, rows.filter("tag = 'coverage'"), "No coverage element found in Clover XML"))

@@ -26,21 +26,35 @@ def _score(*cases: tuple[Column, int]) -> Column:
     return out.otherwise(0)
 
 
+def _scanned(text: Column, depth: int, first_object: bool = False) -> Column:
+    """Keys at a depth of braces and brackets, of any text: strings that follow a brace or a comma there.
+
+    With ``first_object`` the scan ends where the first bracket closes.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'''(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}\[\],]'''), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("key"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes, here = token.isin("{", "["), token.isin("}", "]"), state["depth"] == depth
+        now = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        word = token.startswith('"') & here
+        key = F.when(opens & (now == depth), token == "{").when(here & (token == ","), True).when(word, False).otherwise(state["key"])
+        done = state["done"] | (closes & (now == 0)) if first_object else state["done"]
+        found = F.when(word & state["key"] & ~state["done"], F.array_append(state["found"], F.regexp_replace(token, '^"|"$', ""))).otherwise(state["found"])
+        return F.struct(now.alias("depth"), key.alias("key"), done.alias("done"), found.alias("found"))
+
+    return F.aggregate(tokens, start, step, lambda state: state["found"])
+
+
 def top_keys(text: Column) -> Column:
-    """Keys of the outer JSON object; of malformed text, the quoted names before a colon (at any depth)."""
-    loose = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
-    return F.coalesce(F.json_object_keys(text), F.when(F.ltrim(text).startswith("{"), loose), F.array().cast("array<string>"))
+    """Keys of the outer JSON object; of malformed text, those that a scan of its first object finds."""
+    loose = F.when(F.ltrim(F.regexp_replace(text, r"^[\t\n\r ]+", "")).startswith("{"), _scanned(text, 1, True))
+    return F.coalesce(F.json_object_keys(text), loose, F.array().cast("array<string>"))
 
 
 def keys_at_depth(text: Column, depth: int) -> Column:
     """Keys of JSON objects at a depth; objects in arrays are one deeper, depth 0 has none."""
-    if depth < 1:
-        return F.array().cast("array<string>")
-    if depth == 1:
-        return top_keys(text)
-    inner = F.from_json(text, "map<string,string>")
-    nested = F.filter(F.map_values(inner), lambda v: v.startswith("{"))
-    return F.coalesce(F.flatten(F.transform(nested, lambda v: keys_at_depth(v, depth - 1))), F.array().cast("array<string>"))
+    return _scanned(text, depth) if depth > 0 else F.array().cast("array<string>")
 
 
 def _all_keys(text: Column, *keys: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 import tomllib
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Folders that hold no context, the most entries below one top folder, the most files listed.
-NO_CONTEXT = ("node_modules", ".git", "dist", "build", "target", ".next", ".nuxt", ".output", ".cache", "__pycache__", ".venv", "venv", "vendor", ".turbo", "coverage")
+NO_CONTEXT = ("node_modules", ".git", ".verdigris", ".next", ".nuxt", ".turbo", ".svelte-kit", "target", "dist", "__pycache__", ".tox", ".venv", "venv", ".gradle", ".m2")
 MOST_ENTRIES, MOST_FILES = 1000, 50
 
 # Variables that name a branch and a commit, the strongest first, and those that tell a provider.
@@ -43,10 +44,31 @@ def context_files(spark: SparkSession, root: str, modified_after: str, reports:
     return kept.select(F.col("relative").alias("path")).limit(MOST_FILES).orderBy("path")
 
 
-def run_metadata(env: Mapping[str, str] = os.environ) -> dict[str, str | None]:
-    """Branch, commit and provider of a run as the build's variables tell them."""
+def _git(folder: str, *args: str) -> str | None:
+    """One line of git's answer in a folder; null without git, a repository or an answer."""
+    try:
+        out = subprocess.run(["git", "-C", folder, "rev-parse", *args], capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return (out.stdout.strip() or None) if out.returncode == 0 else None
+
+
+def run_metadata(env: Mapping[str, str] = os.environ, folder: str = ".") -> dict[str, str | None]:
+    """Branch, commit and provider of a run as the build's variables tell them, or else git in ``folder``; no branch where its head is detached."""
     first = lambda names: next((env[n] for n in names if env.get(n)), None)
-    return {"branch": first(BRANCH_VARIABLES), "commit_sha": first(COMMIT_VARIABLES), "ci_provider": next((p for v, p in PROVIDERS.items() if env.get(v)), None)}
+    branch = first(BRANCH_VARIABLES) or _git(folder, "--abbrev-ref", "HEAD")
+    return {"branch": None if branch == "HEAD" else branch, "commit_sha": first(COMMIT_VARIABLES) or _git(folder, "HEAD"), "ci_provider": next((p for v, p in PROVIDERS.items() if env.get(v)), None)}
+
+
+#: Files that hold a project's settings, the first one wins.
+CONFIG_FILES = (".verdigris/config.toml", "verdigris.toml")
+
+
+def _text(file: Path) -> str | None:
+    try:
+        return file.read_text()
+    except OSError:
+        return None
 
 
 @dataclass(frozen=True)
@@ -60,12 +82,13 @@ class Config:
 
     @classmethod
     def resolve(cls, start: str, env: Mapping[str, str] = os.environ, **given) -> Config:
-        """Look for ``verdigris.toml`` from ``start`` up; a file that can't be read leaves the defaults."""
+        """Look for one of :data:`CONFIG_FILES` from ``start`` up; a file with errors leaves the defaults, one that can't be read is passed over."""
         out = cls(root=start)
         for folder in (Path(start).resolve(), *Path(start).resolve().parents):
-            if (file := folder / "verdigris.toml").exists():
+            texts = [t for t in map(_text, (folder / n for n in CONFIG_FILES)) if t is not None]
+            if texts:
                 try:
-                    data = tomllib.loads(file.read_text())
+                    data = tomllib.loads(texts[0])
                 except tomllib.TOMLDecodeError:
                     data = {}
                 project, test = data.get("project", {}), data.get("test", {})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +35,29 @@ def with_defaults() -> Registry:
     return Registry(DEFAULT)
 
 
-def read_files(spark: SparkSession, root: str, pattern: str = "*", modified_after: str | None = None) -> DataFrame:
-    """``doc, filename, content`` of the files below ``root``; one row a file, none below a skipped folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+def glob_pattern(glob: str) -> str:
+    """A regular expression for paths below a root: ``**/`` is any folders, ``*`` and ``?`` stay within a name."""
+    out = ""
+    for part in re.split(r"(\*\*/|\*\*|\*|\?)", glob):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+    return f"^{out}$"
+
+
+def read_files(spark: SparkSession, root: str, patterns: tuple[str, ...] | None = None, modified_after: str | None = None) -> DataFrame:
+    """``doc, filename, content`` of the files below ``root`` that fit one of ``patterns`` (all of them by default); one row a file, none below a skipped folder.
+
+    Patterns are of whole paths below ``root``, as in :data:`DEFAULT_PATTERNS`; one without a slash fits names in
+    any folder. Paths are filtered before texts are read.
+    """
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    files = reader.text(root).select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
-    skipped = F.lit(False)
-    for folder in SKIPPED_FOLDERS:
-        skipped = skipped | F.array_contains(F.split("doc", "/"), folder)
-    return files.filter(~skipped)
+    path = F.col("_metadata.file_path")
+    wanted = ~F.exists(F.split(path, "/"), lambda folder: folder.isin(*SKIPPED_FOLDERS))
+    if patterns:
+        below = F.regexp_replace(path, "^.*?" + re.escape(root.split("://")[-1].removeprefix("file:").strip("/")) + "/+", "")
+        wanted = wanted & F.exists(F.array(*[F.lit(glob_pattern(p if "/" in p else f"**/{p}")) for p in patterns]), lambda p: F.regexp_like(below, p))
+    return reader.text(root).filter(wanted).select(path.alias("doc"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
 
 
 def parse(files: DataFrame, registry: Registry | None = None) -> dict[str, TestReports | CoverageReports]:

@@ -1,4 +1,4 @@
-"""XML documents as rows, one for each element; readers are joins and groupings of these rows."""
+"""XML documents as rows, one for each element; readers are groupings of these rows."""
 
 from __future__ import annotations
 
@@ -10,18 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.scalars import strip
+
 _TOKEN = re.compile(r"""<!--.*?-->|<\?.*?\?>|<!\[CDATA\[(?P<raw>.*?)\]\]>|<![^>]*>|</\s*(?P<end>[^\s>]+)\s*>|<(?P<tag>[^\s/>!?]+)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>|(?P<text>[^<]+)""", re.S)
 _ATTR = re.compile(r"""([^\s=]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 
 #: Elements in a record batch, about.
 BATCH = 5_000
 
-ELEMENTS = "doc string, id bigint, end bigint, depth int, tag string, attrs map<string,string>, text string, empty boolean, ancestors array<struct<id: bigint, tag: string>>, fault string"
+ELEMENTS = "doc string, id bigint, end bigint, depth int, tag string, attrs map<string,string>, text string, empty boolean, ancestors array<struct<id: bigint, tag: string, attrs: map<string,string>>>, fault string"
 
-_ARROW = pa.schema([("doc", pa.string()), ("id", pa.int64()), ("end", pa.int64()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("empty", pa.bool_()), ("ancestors", pa.list_(pa.struct([("id", pa.int64()), ("tag", pa.string())]))), ("fault", pa.string())])
+_ARROW = pa.schema([("doc", pa.string()), ("id", pa.int64()), ("end", pa.int64()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("empty", pa.bool_()), ("ancestors", pa.list_(pa.struct([("id", pa.int64()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))), ("fault", pa.string())])
 
 
-def _elements(doc: str, content: str) -> Iterator[dict]:
+def _elements(doc: str, content: str, carried: frozenset[str]) -> Iterator[dict]:
     """Elements in the order of their ends; those never closed come last without an end."""
     open_: list[dict] = []
     started = ended = 0
@@ -31,7 +33,7 @@ def _elements(doc: str, content: str) -> Iterator[dict]:
             for name, a, b in _ATTR.findall(m["attrs"]):
                 first.setdefault(name, a or b)  # values keep their entities
             started += 1
-            row = {"doc": doc, "id": started, "end": None, "depth": len(open_), "tag": m["tag"], "attrs": list(first.items()), "text": "", "empty": bool(m["empty"]), "ancestors": [{"id": x["id"], "tag": x["tag"]} for x in open_], "fault": None}
+            row = {"doc": doc, "id": started, "end": None, "depth": len(open_), "tag": m["tag"], "attrs": list(first.items()), "text": "", "empty": bool(m["empty"]), "ancestors": [{"id": x["id"], "tag": x["tag"], "attrs": x["attrs"] if x["tag"] in carried else None} for x in open_], "fault": None}
             if row["empty"]:
                 ended += 1
                 yield row | {"end": ended}
@@ -52,17 +54,19 @@ def _elements(doc: str, content: str) -> Iterator[dict]:
     yield from open_
 
 
-def elements(docs: DataFrame) -> DataFrame:
+def elements(docs: DataFrame, *carried: str) -> DataFrame:
     """Rows :data:`ELEMENTS` of ``docs (doc, content)``: ``id`` by start, ``end`` by end, text with entities decoded.
 
+    Ancestors with a tag of ``carried`` come with their attributes, so that no join is needed to look them up.
     A mismatched end tag gives a row with ``fault`` and ends its document.
     """
+    carry = frozenset(carried)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             found: list[dict] = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found += _elements(doc, content or "")
+                found += _elements(doc, content or "", carry)
                 if len(found) >= BATCH:
                     yield pa.RecordBatch.from_pylist(found, schema=_ARROW)
                     found = []
@@ -77,12 +81,31 @@ def attr(name: str) -> Column:
 
 def number(name: str, kind: str = "int") -> Column:
     """A numeric attribute; null if absent or no number."""
-    return F.trim(attr(name)).try_cast(kind)
+    return strip(attr(name)).try_cast(kind)
+
+
+def _nearest(tag: str) -> Column:
+    return F.get(F.reverse(F.filter("ancestors", lambda a: a["tag"] == tag)), F.lit(0))
 
 
 def within(tag: str) -> Column:
     """The id of the nearest enclosing element with a tag."""
-    return F.get(F.reverse(F.filter("ancestors", lambda a: a["tag"] == tag)), F.lit(0))["id"]
+    return _nearest(tag)["id"]
+
+
+def attr_within(tag: str, name: str) -> Column:
+    """An attribute of the nearest enclosing element with a tag, which must be a carried one."""
+    return _nearest(tag)["attrs"][name]
+
+
+def owner(tag: str) -> Column:
+    """The element's own id if it has the tag, else that of the nearest enclosing element with it."""
+    return F.when(F.col("tag") == tag, F.col("id")).otherwise(within(tag))
+
+
+def only(tag: str, value: Column) -> Column:
+    """In a group of rows: the value of the one element with the tag."""
+    return F.first(F.when(F.col("tag") == tag, value), ignorenulls=True)
 
 
 def parent_tag() -> Column:

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.scalars import class_of, local_name, method_of, timespan_millis, to_millis
+from verdigris.functions.scalars import class_of, local_name, method_of, strip, timespan_millis, to_millis
 from verdigris.sources.reports import TestReports, case, case_number, report, summed
-from verdigris.sources.xml import attr, elements, number, within
+from verdigris.sources.xml import attr, attr_within, elements, number, only, owner, within
 
 
 def junit(docs: DataFrame) -> TestReports:
     """JUnit XML: cases in the order of their ends, with the innermost suite's name and file as defaults."""
-    rows = elements(docs)
-    suites = rows.filter("tag = 'testsuite'").select("doc", F.col("id").alias("suite"), F.coalesce(attr("name"), F.lit("Unknown Suite")).alias("suite_name"), attr("file").alias("suite_file"))
-    inner = rows.filter(F.col("tag").isin("failure", "error", "skipped")).select("doc", "id", "tag", within("testcase").alias("case"), F.coalesce(attr("message"), F.nullif(F.trim("text"), F.lit(""))).alias("message"))
-    outcome = inner.filter("case is not null").groupBy("doc", "case").agg(*[F.min_by(F.struct(F.col("message")), F.when(F.col("tag") == t, F.col("id"))).alias(t) for t in ("failure", "error")], F.bool_or(F.col("tag") == "skipped").alias("skip"), F.bool_or(F.col("tag") == "error").alias("is_error"), F.bool_or(F.col("tag") == "failure").alias("is_failure"))
-    found = rows.filter("tag = 'testcase' AND end IS NOT NULL").withColumn("suite", within("testsuite"))
-    found = found.join(suites, ["doc", "suite"], "left").join(outcome.withColumnRenamed("case", "id"), ["doc", "id"], "left")
+    rows = elements(docs, "testsuite")
+    inner = F.col("tag").isin("failure", "error", "skipped")
+    message = F.struct(F.coalesce(attr("message"), F.nullif(strip(F.col("text")), F.lit(""))).alias("message"))
+    # a case is the group of its own row and those of its outcomes
+    grouped = rows.withColumn("case", owner("testcase")).filter((F.col("tag") == "testcase") | inner).filter("case is not null")
+    suite = F.when(within("testsuite").isNotNull(), F.coalesce(attr_within("testsuite", "name"), F.lit("Unknown Suite")))
+    found = grouped.groupBy("doc", "case").agg(
+        only("testcase", F.col("end")).alias("end"), only("testcase", F.col("attrs")).alias("attrs"), only("testcase", suite).alias("suite_name"), only("testcase", attr_within("testsuite", "file")).alias("suite_file"),
+        *[F.min_by(message, F.when(F.col("tag") == t, F.col("id"))).alias(t) for t in ("failure", "error")],
+        *[F.bool_or(F.col("tag") == t).alias(n) for t, n in (("skipped", "skip"), ("error", "is_error"), ("failure", "is_failure"))],
+    ).filter("end is not null")
     name, cls = F.coalesce(attr("name"), F.lit("Unknown Test")), F.coalesce(attr("classname"), F.col("suite_name"), F.lit("Unknown Suite"))
     status = F.when(F.col("skip"), "skipped").when(F.col("is_error") | F.col("is_failure"), "failed").otherwise("passed")
     message = F.when(F.col("skip"), None).when(F.col("is_error"), F.coalesce(F.col("error.message"), F.lit("Test error"))).when(F.col("is_failure"), F.coalesce(F.col("failure.message"), F.lit("Test failed")))
@@ -44,9 +49,12 @@ def junit(docs: DataFrame) -> TestReports:
 def trx(docs: DataFrame) -> TestReports:
     """TRX: results with namespaces stripped; class and method come from the dotted test name."""
     rows = elements(docs).withColumns({"tag": local_name(F.col("tag")), "ancestors": F.transform("ancestors", lambda a: F.struct(a["id"].alias("id"), local_name(a["tag"]).alias("tag")))})
-    texts = rows.filter((F.col("tag") == "Message") & within("ErrorInfo").isNotNull()).select("doc", "id", within("UnitTestResult").alias("case"), F.nullif(F.trim("text"), F.lit("")).alias("message"))
-    messages = texts.filter("case is not null").groupBy("doc", "case").agg(F.min_by("message", "id").alias("message")).withColumnRenamed("case", "id")
-    found = rows.filter((F.col("tag") == "UnitTestResult") & within("Results").isNotNull() & F.col("end").isNotNull()).join(messages, ["doc", "id"], "left").withColumn("n", case_number("end"))
+    results = (F.col("tag") == "UnitTestResult") & within("Results").isNotNull() & F.col("end").isNotNull()
+    told = (F.col("tag") == "Message") & within("ErrorInfo").isNotNull()
+    message = F.nullif(strip(F.col("text")), F.lit(""))
+    found = rows.withColumn("case", owner("UnitTestResult")).filter((results | told) & F.col("case").isNotNull()).groupBy("doc", "case").agg(
+        only("UnitTestResult", F.col("end")).alias("end"), only("UnitTestResult", F.col("attrs")).alias("attrs"), F.min_by(message, F.when(told, F.col("id"))).alias("message")
+    ).filter("end is not null").withColumn("n", case_number("end"))
     full = F.coalesce(attr("testName"), F.lit("Unknown Test"))
     cls, method = class_of(full), method_of(full)
     outcome = F.lower(attr("outcome"))
