@@ -307,7 +307,8 @@ cov.format AS coverage_format, cov.lines_covered, cov.branches_total, CAST(2 AS
 FROM tr JOIN te ON te.run_id = tr.id JOIN cov ON cov.run_id = tr.id AND cov.format = 'lcov' WHERE tr.finished_at IS NOT NULL GROUP BY ALL""")
 def ingest_payload(spark, sf_dir):
     te, tr = _both(spark, sf_dir)
-    covered = spark.sql(f"WITH {COVERED.replace('FROM tr', 'FROM {tr}')} SELECT * FROM cov", tr=tr)
+    sql = COVERED.replace("{", "{{").replace("}", "}}").replace("FROM tr", "FROM {tr}")
+    covered = spark.sql(f"WITH {sql} SELECT * FROM cov", tr=tr)
     metric = "struct<covered: int, total: int>"
     kind = f"struct<branch: string, finishedAt: string, summary: struct<total: int>, tests: array<struct<name: string, status: string, filePath: string, error: string, retryCount: int>>, coverage: struct<format: string, lines: {metric}, branches: {metric}, files: array<struct<path: string, lines: {metric}>>>>"
     got = payload.ingest_payload(tr, te, covered).withColumn("p", F.from_json("payload", kind))
