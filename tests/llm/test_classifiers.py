@@ -1,7 +1,10 @@
+import math
 import random
+import re
 import zlib
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from verdigris.llm import quality, toxicity
@@ -54,6 +57,81 @@ def test_quality(labelled):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in rows)
 
 
+def statistics(text):
+    """The classifier's statistics, by plain Python."""
+    text = text or ""
+    count = lambda p: len(re.findall(p, text))
+    words = count("[^\x20\x09-\x0d]+")
+    per = max(words, 1)
+    capitals = len(regex.findall(r"\p{Lu}{2,}", text))
+    distinct = len(set(re.split("[\x20\x09-\x0d]+", text)))
+    return {"s_words": words, "s_word_chars": len(text) / per, "s_capitals": capitals / per, "s_symbols": count(r"[#*$%&|<>]+") / per, "s_bangs": count("!+") / per, "s_digits": count("[0-9]+") / per, "s_stops": count("[.,;:?]+") / per, "s_lines": count("\n") / per, "s_distinct": distinct / per}
+
+
+def test_compiled_rules_against_plain_python(spark, docs, labelled):
+    own, labels = labelled
+    model = quality.fit(own, labels)
+    both = own.select("doc_id", "text").union(docs.select("doc_id", "text"))
+    for r in quality.score(both, model).collect():
+        held = statistics(r["text"])
+        total = model.intercept + sum(w for rule, w in model.rules if all(held[n] <= x if at_most else held[n] > x for n, at_most, x in rule.tests))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_filters_do_not_repeat_statistics(labelled):
+    """Each statistic stands once in the plan of the filtering form, however many rules read it."""
+    docs, labels = labelled
+    plan = quality.keep_good(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 7 and "Generate" in plan
+
+
+def test_columns_with_the_names_of_statistics_stay(labelled):
+    docs, labels = labelled
+    odd = docs.withColumns({c: F.lit(f"own {c}") for c in ("statistics", "s_words", "score", "predicted", "held_out")})
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == quality.keep_good(docs, labels).count()
+    assert kept.filter("score <> 'own score' OR s_words <> 'own s_words' OR statistics <> 'own statistics'").count() == 0
+
+
+def toxic_matches(lexicon, text):
+    """Weight and number of a folded text's words in the lexicon, word by word."""
+    text = toxicity.fold(text or "")
+    forms = lambda w: {w, w.replace("l", "i")}
+    weight = {}
+    for entry, w in lexicon.words:
+        for form in forms(entry.removesuffix("*")):
+            weight[form, entry.endswith("*")] = w
+    spared = [(m.start(), m.end()) for p in lexicon.exceptions for m in re.finditer(f"(?={re.escape(p)})", text) for m in [re.compile(re.escape(p)).match(text, m.start())]]
+    spared = [(a, b) for a, b in spared if not (a and text[a - 1].isalpha()) and not (b < len(text) and text[b].isalpha())]
+    found = []
+    for m in regex.finditer(r"\p{L}+", text):
+        options = [(weight[m[0], False], m.end())] if (m[0], False) in weight else []
+        options += [(weight[m[0][:n], True], m.start() + n) for n in range(1, len(m[0])) if (m[0][:n], True) in weight]
+        if options:
+            best = max(w for w, _ in options)
+            end = max(b for w, b in options if w == best)
+            if not any(a <= m.start() and end <= b for a, b in spared):
+                found.append(best)
+    return sum(found), len(found)
+
+
+def test_toxicity_against_plain_python(labelled):
+    docs, labels = labelled
+    lexicon = toxicity.fit(docs, labels)
+    b, w, d = lexicon.curve
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, lexicon, ["doc_id"]).collect():
+        weight, n = toxic_matches(lexicon, texts[r["doc_id"]])
+        total = b + w * weight + d * weight / math.sqrt(1 + toxicity.fold(texts[r["doc_id"]] or "").count(" "))
+        assert r["tox_matches"] == n and abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_many_exceptions_in_a_very_long_text():
+    lexicon = toxicity.Lexicon((("idiot", 2.0), ("clown", 1.0)), ("class clown", "clown car"))
+    text = "the class clown has a clown car and an idiot " * 20_000
+    assert toxicity.matches(lexicon.automaton(), text) == (2.0 * 20_000, 20_000)
+
+
 def test_toxicity(labelled):
     docs, labels = labelled
     lexicon = toxicity.fit(docs, labels)

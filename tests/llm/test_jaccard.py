@@ -44,10 +44,10 @@ def test_against_brute_force(docs):
     assert run(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_families_and_common_lines(spark, seed, monkeypatch):
-    """Groups above the leaf size, near copies around the threshold, and a line that half of the texts share."""
-    monkeypatch.setattr(jaccard, "LEAF", 8)
+@pytest.mark.parametrize(("seed", "block"), [(1, 4), (2, 1024)])
+def test_families_and_common_lines(spark, seed, block, monkeypatch):
+    """Trees of many blocks, near copies around the threshold, and a line that half of the texts share."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(2000)]
     line, base = " ".join(r.choices(vocabulary, k=25)), r.choices(vocabulary, k=120)
@@ -61,9 +61,32 @@ def test_families_and_common_lines(spark, seed, monkeypatch):
     assert run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)) == brute(rows)
 
 
+def test_trees_alone_find_the_links(spark, monkeypatch):
+    """Without hubs every link comes out of a dual traversal, of one block or of many."""
+    r = random.Random(5)
+    base = [[f"f{f}w{i}" for i in range(60)] for f in range(3)]
+    rows = []
+    for i in range(60):
+        text = list(base[i % 3])
+        for _ in range(r.choice([0, 1, 1, 2, 5])):
+            text[r.randrange(len(text))] = f"x{r.randrange(99)}"
+        rows.append((i, " ".join(text)))
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard._Join, "hubs", lambda self, groups, *_: groups.filter("false").selectExpr("cls AS a", "cls AS b"))
+    for block in (3, 1024):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert run(made) == brute(rows)
+
+
 def test_bounds_never_exclude_a_link():
     import numpy as np
 
+    def nodes(sets):
+        size = np.array([len(x) for x in sets])
+        bits = [jaccard._bits(x) for x in sets]
+        loose = size - np.array([int(np.bitwise_count(x).sum()) for x in bits])
+        return jaccard._Nodes(size, size, loose, np.arange(len(sets)), bits)
+
     r = np.random.default_rng(0)
     for _ in range(300):
         n = int(r.integers(2, 400))
@@ -71,7 +94,12 @@ def test_bounds_never_exclude_a_link():
         b = np.unique(np.concatenate([a[: int(len(a) * r.uniform(0.6, 1))], r.integers(0, 1 << 63, int(r.integers(0, 60))).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common):
-            assert jaccard._possible(len(a), jaccard._bits(a), len(b), jaccard._bits(b), 80)
+            noise = [np.unique(r.integers(0, 1 << 63, int(r.integers(1, 500))).astype(np.uint64)) for _ in range(3)]
+            members = nodes([a, noise[0], noise[1], b, noise[2]])
+            above = members.merged(np.array([0, 3]))
+            assert members.possible(np.array([0]), np.array([3]), 80).all()
+            assert above.possible(np.array([0]), np.array([1]), 80).all()
+            assert above.joined(members).possible(np.array([0]), np.array([5]), 80).all()
 
 
 def test_keep_one_and_odd_tables(docs, clashing, empty):

@@ -69,3 +69,19 @@ def test_templates_are_found_with_gaps(spark):
     assert got[2]["labels"] == "mit" and max(s["covered"] for s in spans) == 60
     assert (spans[0]["first"], max(s["last"] for s in spans)) == (0, 62)
     assert got[3]["labels"] == "" and got[4]["score"] == 0
+
+
+def test_each_notice_has_its_own_label(spark):
+    """Notices share wording; the one that covers most labels the file."""
+    rows = [(i, f"x y {text.upper()} z") for i, text in enumerate(licences.TEMPLATES.values())]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    for name, r in zip(licences.TEMPLATES, got, strict=True):
+        assert name in r["labels"].split(",") and r["score"] == 1.0
+        assert set(r["labels"].split(",")) - {name} <= set(r["base_labels"].split(","))
+
+
+def test_phrases_of_one_word_and_long_texts(spark):
+    phrases = {"wtfpl": "w", "free art": "a", "art": "b"}
+    text = "WTFPL some art, free art wtfpl " + "word " * 200_000 + "wtfpl"
+    got = licences.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), phrases=phrases).first()
+    assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (6, 0, 200_006, "a,b,w")

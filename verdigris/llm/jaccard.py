@@ -1,11 +1,13 @@
 """N-gram Jaccard join with signature trees.
 
 Texts become sets of word n-grams; equal sets are one class. Two classes that link share an n-gram among
-the first few of each in one global order (prefix filter), so classes are grouped by those, frequent
-n-grams last. A group that fits one leaf is compared directly by sizes and positions. A larger group is a
-signature tree: its nodes hold size ranges and OR-combined bitmaps of their members' n-grams, and pairs of
-nodes, then of members, are pruned by the largest overlap that these allow. What is left is verified on the
-whole sets. Classes already in one component aren't compared again, so copies don't make all their pairs.
+the first few of each in one global order (prefix filter), so each n-gram is the root of a tree over the
+classes that have it there, frequent n-grams last. A tree's nodes hold size ranges and OR-combined bitmaps of
+their members' n-grams. Its members lie by size and by their smallest n-gram, so that near copies share nodes.
+A dual traversal goes down from the pair of the root with itself, and leaves out every pair of nodes whose
+largest possible overlap is too small: between blocks of members by joins of node summaries, within two
+blocks in memory. What is left is verified on the whole sets. Classes already in one component aren't
+compared again: each group's members meet one hub first, so copies don't make all their pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +21,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.components import components
-from verdigris.llm.scratch import drop, saved, small
+from verdigris.llm.scratch import drop, fresh, saved, small
 from verdigris.llm.text import as_bytes, batches, hashed, ngrams, signed
 
-#: Members of a leaf. N-grams kept as frequent: the most frequent of those in HEAVY_LEAST documents of one
-#: batch; they only order the n-grams, so that no result depends on them. Rows of a table that is broadcast.
-LEAF, HEAVY, HEAVY_LEAST, BROADCAST_ROWS = 32, 100_000, 16, 1_000_000
+#: Children of a node, as a power of two; members of a block, about; turns of hubs, and the orders they come from after the first.
+FAN_BITS, BLOCK, HUBS, ORDERS = 3, 1024, 3, 8
+#: Bits of a bitmap, as a power of two, up to which it is made for few tokens; first tokens of a class that tell
+#: in which of its groups a pair is given.
+FEW_BITS, LEADS = 10, 8
+#: Pairs of nodes whose bitmaps are compared at once.
+CHUNK = 4096
+#: N-grams kept as frequent: the most frequent of those in HEAVY_LEAST documents of one batch; they only order
+#: the n-grams, so that no result depends on them. Rows of a table that is broadcast.
+HEAVY, HEAVY_LEAST, BROADCAST_ROWS = 100_000, 16, 1_000_000
 
 
 def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -44,53 +53,35 @@ def _class(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def _read(docs: DataFrame, n: int, make, schema: str) -> DataFrame:
-    """``make(ids, sets)`` over batches of documents, a record batch each."""
+def _read(docs: DataFrame, n: int, make, schema: str, whole: bool = False) -> DataFrame:
+    """``make(ids, sets)``, with ``whole`` also of the texts, over parts of a few megabytes of text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts, ids = as_bytes(batch.column(1)), batch.column(0)
-            sets: list[np.ndarray] = []
             for lo, hi in batches(texts):
-                sets += _sets(texts[lo:hi], n)
-            yield from make(ids, sets)
+                yield from make(ids.slice(lo, hi - lo), _sets(texts[lo:hi], n), *([texts[lo:hi]] if whole else []))
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def _bits(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the tokens, of the power of two of bits from twice to four times their number."""
-    size = 1 << max(7, (2 * len(tokens) - 1).bit_length())
+    """A bitmap of the tokens: at least as many bits as tokens, four times as many as long as they are few."""
+    few = (len(tokens) - 1).bit_length()
+    size = 1 << max(6, few, min(few + 2, FEW_BITS))
     out = np.zeros(size, np.uint8)
     out[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little")
 
 
-def _folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The bitmap as of ``size`` bytes: its parts OR-combined."""
-    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
-
-
-def _missing(a: np.ndarray, b: np.ndarray) -> int:
-    """At least so many tokens of ``a`` are not in ``b``."""
-    size = min(len(a), len(b))
-    return int(np.bitwise_count(_folded(a, size) & ~_folded(b, size)).sum())
-
-
-def _needed(total: int, percent: int) -> int:
+def _needed(total, percent: int):
     """The overlap that two sets of ``total`` tokens together need to link."""
     return -(-percent * total // (100 + percent))
 
 
-def _possible(na: int, a: np.ndarray, nb: int, b: np.ndarray, percent: int) -> bool:
-    need = _needed(na + nb, percent)
-    return na - _missing(a, b) >= need and nb - _missing(b, a) >= need
-
-
-def _sized(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
-    """Sizes and positions of a common token allow a link, if it is the first common one."""
-    rest = F.least(na - pa_, nb - pb)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
+#: What a node of a tree is compared by, and a member as a node.
+_NODE = ["lo", "hi", "loose", "label", "bits"]
+_MEMBER = ["n AS lo", "n AS hi", "CAST(NULL AS bigint) AS loose", "label", "bits"]
 
 
 class _Join:
@@ -135,10 +126,42 @@ class _Join:
         return saved(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits")))
 
     def groups(self, classes: DataFrame) -> DataFrame:
-        """``token, cls, n, at, size``: classes by the tokens that two or more have in their prefixes."""
-        rows = classes.select("cls", "n", F.posexplode("first").alias("at", "token")).repartition("token")
-        sizes = rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-        return rows.join(sizes, "token")
+        """``token, cls, n, least``: classes by the tokens that two or more have in their prefixes.
+
+        Of tokens that the same classes have, one stays, as they would give the same pairs; sets of classes are
+        told apart by their sizes and by 128 bits. ``least`` is a class's first token.
+        """
+        rows = classes.select("cls", F.explode("first").alias("token")).repartition("token")
+        held = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in range(2)]
+        sizes = rows.groupBy("token").agg(F.count("*").alias("size"), *held).filter("size > 1")
+        kept = sizes.groupBy("size", "h0", "h1").agg(F.min("token").alias("token")).select("token").hint("shuffle_hash")
+        narrow = saved(rows.join(kept, "token"))
+        out = saved(narrow.join(classes.select("cls", "n", F.element_at("first", 1).alias("least")), "cls"))
+        drop(narrow)
+        return out
+
+    def hubs(self, groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+        """Pairs ``a, b`` of each member of a group with the group's hub among members of about its size.
+
+        Hubs come from one order for all groups at first, so near copies mostly meet the same hub; later turns try
+        several orders with those that are left. A size is in two bands, one shifted by half, so that no family of
+        one size is parted. Members of the hub's component are left out.
+        """
+        size = F.log("n") / float(2 * np.log(100 / self.percent))
+        bands = F.array(2 * F.floor(size), 2 * F.floor(size + 0.5) + 1)
+        rows = self.labelled(groups, labels).select("token", "cls", "n", "label", F.explode(bands).alias("band"))
+        order = F.pmod(F.xxhash64("token"), F.lit(ORDERS)) if turn else F.lit(0)
+        hub = F.min(F.struct(F.xxhash64("cls", F.lit(turn), order).alias("turn"), "cls", "n", "label")).alias("hub")
+        both = rows.join(rows.groupBy("token", "band").agg(hub), ["token", "band"]).filter("label <> hub.label")
+        near = both.filter(100 * F.least("n", "hub.n") >= self.percent * F.greatest("n", "hub.n"))
+        return near.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
+
+    @staticmethod
+    def labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """``groups`` with ``label``, the component of each class so far, at first itself."""
+        if labels is None:
+            return groups.withColumn("label", F.col("cls"))
+        return groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
 
     def pruned(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs whose members' bitmaps allow a link."""
@@ -146,9 +169,19 @@ class _Join:
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
-                cols = [c.to_pylist() for c in batch.columns[2:]]
-                good = [_possible(na, np.frombuffer(a, np.uint8), nb, np.frombuffer(b, np.uint8), percent) for na, a, nb, b in zip(*cols, strict=True)]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+                good = np.zeros(batch.num_rows, bool)
+                sides = [(batch.column(i).to_numpy(), batch.column(i + 1)) for i in (2, 4)]
+                for at in range(0, batch.num_rows, CHUNK):
+                    bits = [x.slice(at, CHUNK).to_pylist() for _, x in sides]
+                    n = [x[at : at + CHUNK] for x, _ in sides]
+                    widths = np.minimum(*[np.array([len(x) for x in side]) for side in bits])
+                    for w in np.unique(widths):
+                        of = np.flatnonzero(widths == w)
+                        one, two = (np.stack([_folded(np.frombuffer(side[i], np.uint8), w) for i in of]) for side in bits)
+                        common = np.bitwise_count(one & two).sum(axis=1, dtype=np.int64)
+                        loose = [m[of] - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for m, x in zip(n, (one, two), strict=True)]
+                        good[at + of] = np.minimum(*loose) + common >= _needed(n[0][of] + n[1][of], percent)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
 
         sides = [classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
         wide = pairs.join(sides[0], "a").join(sides[1], "b")
@@ -163,114 +196,287 @@ class _Join:
         wanted = reps.select(F.col("doc_id").alias("rep")).distinct()
         wanted = F.broadcast(wanted) if small(reps, BROADCAST_ROWS) else wanted
         texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        n = self.n
 
-        def make(ids: pa.Array, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
+        def make(ids: pa.Array, sets: list[np.ndarray], whole: list[bytes]) -> Iterator[pa.RecordBatch]:
+            some = [(_class(s), t) for s, t in zip(sets, whole, strict=True) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([t for _, t in some], pa.binary())], ["cls", "whole"])
 
-        sets = _read(texts, self.n, make, "cls bigint, tokens binary").join(reps.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        # texts, as they are shorter than their hashes, and compress
+        sets = _read(texts, n, make, "cls bigint, whole binary", True).join(reps.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("whole").alias("whole"))
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
+                sides = [batch.column(i).to_pylist() for i in (2, 3)]
                 good = []
-                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                    common = len(a) + len(b) - len(np.union1d(a, b))
-                    good.append(100 * common >= percent * (len(a) + len(b) - common))
+                for lo, hi in batches(sides[0]):
+                    for a, b in zip(*(_sets(side[lo:hi], n) for side in sides), strict=True):
+                        common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                        good.append(100 * common >= percent * (len(a) + len(b) - common))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-        wide = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
+        wide = pairs.join(sets.select(F.col("cls").alias("a"), F.col("whole").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("whole").alias("tb")), "b")
         out = saved(wide.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
         drop(reps)
         return out
 
-    def tree_pairs(self, large: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components that the signature trees of large groups let through."""
+    def placed(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of the trees that hubs left open: groups of several components.
+
+        ``token, cls, n, least, label, band, block``: members lie by size band, then by their smallest token, and
+        a block is about BLOCK of them. Their places come from counts by band and by the first bits of that
+        token, so that no task orders a whole group.
+        """
+        named = self.labelled(groups, labels).repartition("token")
+        open_ = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))).cast("int")
+        held = saved(named.join(open_, "token", "left_semi").withColumns({"band": band, "bin": F.shiftrightunsigned("least", 52)}))
+        cell = ["token", "band", "bin"]
+        counts = held.groupBy(*cell).agg(F.count("*").alias("held"))
+        before = Window.partitionBy("token").orderBy("band", "bin").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+        share = F.pmod(F.xxhash64("least", "cls"), F.lit(1 << 30)) / float(1 << 30)
+        block = F.floor((F.col("start") + F.floor(share * F.col("held"))) / BLOCK)
+        out = saved(held.join(starts, cell).select("token", "cls", "n", "least", "label", "band", block.alias("block")))
+        drop(held)
+        return out
+
+    def block_pairs(self, placed: DataFrame, classes: DataFrame) -> DataFrame:
+        """``token, a, b``: pairs of blocks, ``a <= b``, that a dual traversal of the trees above them leaves.
+
+        A summary is made for each block of a tree with several; a node above has 8 children. A tree of one
+        block is its root's pair with itself.
+        """
+        percent = self.percent
+        last = saved(placed.groupBy("token").agg(F.max("block").alias("last")))
+        tall = last.filter("last > 0")
+        top = tall.agg(F.max("last")).first()[0] or 0
+        schema = "token bigint, node bigint, lo bigint, hi bigint, loose bigint, label bigint, bits binary"
+
+        def summed(key: tuple, table: pa.Table) -> pa.Table:
+            nodes = _Nodes.of(table)
+            return nodes.merged(np.zeros(1, np.int64)).table(key)
+
+        rows = placed.join(tall, "token", "left_semi").join(classes.select("cls", "bits"), "cls").selectExpr("token", "block AS node", *_MEMBER)
+        levels = []
+        while top >> (FAN_BITS * len(levels)):
+            levels.append(saved(rows.groupBy("token", "node").applyInArrow(summed, schema)))
+            rows = levels[-1].withColumn("node", F.shiftright("node", FAN_BITS))
+
+        def tested(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches_:
+                sides = [_Nodes.of(pa.Table.from_batches([batch]).select([f"{c}{x}" for c in _NODE]).rename_columns(_NODE)) for x in "ab"]
+                good = sides[0].joined(sides[1]).possible(np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows, percent)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:3]], ["token", "a", "b"])
+
+        pairs = tall.select("token", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+        for nodes in reversed(levels):
+            one, two = (nodes.select(F.col("token"), F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in nodes.columns[2:]]) for x in "ab")
+            parents = pairs.select("token", F.col("a").alias("pa"), F.col("b").alias("pb"))
+            left = parents.join(one.withColumn("pa", F.shiftright("a", FAN_BITS)), ["token", "pa"])
+            both = left.join(two.withColumn("pb", F.shiftright("b", FAN_BITS)), ["token", "pb"]).filter("a <= b").filter(100 * F.least("hia", "hib") >= percent * F.greatest("loa", "lob"))
+            pairs = both.select("token", "a", "b", *one.columns[2:], *two.columns[2:]).mapInArrow(tested, "token bigint, a bigint, b bigint")
+            pairs = saved(pairs)
+        return pairs.union(last.filter("last = 0").select("token", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")))
+
+    def tree_pairs(self, placed: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs of classes of different components that the trees let through."""
         percent = self.percent
-        order = Window.partitionBy("token").orderBy("n", "cls")
-        wanted = saved(large.select("cls").distinct())
-        held = classes.select("cls", "bits", "first").join(F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted, "cls", "left_semi")
-        rows = large.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
-        rows = rows.withColumn("node", F.floor((F.row_number().over(order) - 1) / LEAF)).join(held, "cls").withColumn("before", F.slice("first", F.lit(1), F.col("at")))
-        schema = "token bigint, node bigint, lo bigint, hi bigint, one bigint, fewest int, bits binary, members array<struct<cls: bigint, n: bigint, at: int, label: bigint, bits: binary, before: array<bigint>>>"
-
-        def leaf(table: pa.Table) -> pa.Table:
-            got = table.select(["cls", "n", "at", "label", "bits", "before"]).to_pylist()
-            size = min(len(m["bits"]) for m in got)
-            maps = [_folded(np.frombuffer(m["bits"], np.uint8), size) for m in got]
-            labels = {m["label"] for m in got}
-            sizes = [m["n"] for m in got]
-            kind = pa.list_(pa.struct([("cls", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("label", pa.int64()), ("bits", pa.binary()), ("before", pa.list_(pa.int64()))]))
-            cols = [table.column("token")[:1], table.column("node")[:1], [min(sizes)], [max(sizes)], pa.array([labels.pop() if len(labels) == 1 else None], pa.int64()), pa.array([min(int(np.bitwise_count(m).sum()) for m in maps)], pa.int32()), pa.array([np.bitwise_or.reduce(maps).tobytes()], pa.binary()), pa.array([got], kind)]
-            return pa.table(cols, ["token", "node", "lo", "hi", "one", "fewest", "bits", "members"])
-
-        nodes = saved(rows.select("token", "node", "cls", "n", "at", "label", "bits", "before").groupBy("token", "node").applyInArrow(leaf, schema))
-        left = nodes.select("token", *[F.col(c).alias(f"{c}_a") for c in nodes.columns[1:]])
-        right = nodes.select("token", *[F.col(c).alias(f"{c}_b") for c in nodes.columns[1:]])
-        # nodes lie in the order of sizes
-        fits = (F.col("node_a") <= F.col("node_b")) & (100 * F.col("hi_a") >= percent * F.col("lo_b")) & ~F.coalesce(F.col("one_a") == F.col("one_b"), F.lit(False))
-        both = left.join(right, "token").filter(fits)
+        pairs = self.block_pairs(placed, classes)
+        sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
+        asked = pairs.select("token", "a", "b", F.explode(sides).alias("s")).select("token", "a", "b", "s.block", "s.side")
+        leads = placed.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("token")), 1, LEADS).alias("leads"))
+        # bitmaps come last, so that they are shuffled once
+        rows = placed.join(asked, ["token", "block"]).join(classes.select("cls", "bits").join(leads, "cls"), "cls").selectExpr("token", "a", "b", "side", "band", "least", "cls", "leads", *_MEMBER)
+        rows = rows.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "side", "band", "least", "cls")
 
         def traverse(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches_:
-                a, b = [], []
-                for r in batch.to_pylist():
-                    for x, y in _leaf_pairs(r, percent):
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for table in _whole(batches_, 3):
+                x, y = _once(table, *_traversed(table, percent))
+                cls = table.column("cls").to_numpy()
+                both = np.unique(np.sort(np.stack([cls[x], cls[y]]), axis=0), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-        return both.mapInArrow(traverse, "a bigint, b bigint")
+        return rows.mapInArrow(traverse, "a bigint, b bigint").distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """``doc_id, cls, n`` of all rows, and ``node, component`` of linked classes."""
-        percent = self.percent
         members, heavy = self.members()
         classes = self.classes(heavy)
         groups = self.groups(classes)
-        in_leaf = groups.filter(F.col("size") <= LEAF)
-        left = in_leaf.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-        right = in_leaf.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-        pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & _sized(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), percent)).select("a", "b")
-        large = saved(groups.filter(F.col("size") > LEAF))
-        # a chain through each large group, in an order of its own, joins most of what links there
-        after = F.lead("cls").over(Window.partitionBy("token").orderBy(F.xxhash64("token", "cls")))
-        chain = large.select("cls", after.alias("next")).filter("next is not null").select(F.least("cls", "next").alias("a"), F.greatest("cls", "next").alias("b"))
-        close = saved(self.pruned(pairs.union(chain).distinct(), classes))
-        found = saved(components(self.verified(close, members)))
-        drop(close)
-        if not large.isEmpty():
-            close = saved(self.pruned(self.tree_pairs(large, classes, found), classes))
+        found = edges = None
+        for turn in range(HUBS):
+            close = saved(self.pruned(self.hubs(groups, found, turn), classes))
             more = self.verified(close, members)
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-            drop(close)
-        drop(classes, large)
+            found = saved(components(more if edges is None else edges.union(more)))
+            edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            drop(close, more)
+        placed = self.placed(groups, found)
+        drop(groups)
+        close = saved(self.tree_pairs(placed, classes))
+        drop(classes)
+        more = self.verified(close, members)
+        found = components(edges.union(more))
+        drop(placed, close)
         return members, found
 
 
-def _leaf_pairs(r: dict, percent: int) -> Iterator[tuple[int, int]]:
-    """Member pairs of two nodes that sizes, bitmaps and components let through.
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap as of ``size`` bytes: its parts OR-combined."""
+    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
 
-    A pair comes out only in the group of its first common token, so once at most.
-    """
-    a, b = np.frombuffer(r["bits_a"], np.uint8), np.frombuffer(r["bits_b"], np.uint8)
-    size = min(len(a), len(b))
-    a, b = _folded(a, size), _folded(b, size)
-    common = int(np.bitwise_count(a & b).sum())
-    need = _needed(r["lo_a"] + r["lo_b"], percent)
-    if len(r["bits_a"]) == len(r["bits_b"]) and r["hi_a"] - max(0, r["fewest_a"] - common) < need:
-        return  # even the member with the fewest bits has too many outside the other node
-    maps = [np.frombuffer(m["bits"], np.uint8) for m in r["members_b"]]
-    before = [set(m["before"]) for m in r["members_b"]]
-    for i, x in enumerate(r["members_a"]):
-        bits = np.frombuffer(x["bits"], np.uint8)
-        if x["n"] - _missing(bits, b) < _needed(x["n"] + max(r["lo_b"], -(-percent * x["n"] // 100)), percent):
-            continue
-        for j, y in enumerate(r["members_b"]):
-            if r["node_a"] == r["node_b"] and j <= i or x["label"] == y["label"] or x["cls"] == y["cls"]:
+
+class _Nodes:
+    """Nodes of one level: size ranges, the most tokens without a bit of their own, one label or -1, and
+    bitmaps, as long as the shortest of the members'."""
+
+    def __init__(self, lo, hi, loose, label, bits: list[np.ndarray]):
+        self.lo, self.hi, self.loose, self.label, self.bits = lo, hi, loose, label, bits
+        self.width = np.array([len(b) for b in bits], np.int64)
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Nodes:
+        """Nodes of a table; ``loose`` is null for members, whose bitmaps say it."""
+        bits = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+        lo, hi = (table.column(c).to_numpy() for c in ("lo", "hi"))
+        label = table.column("label").fill_null(-1).to_numpy()
+        loose = table.column("loose")
+        if loose.null_count:
+            loose = lo - np.array([int(np.bitwise_count(b).sum()) for b in bits], np.int64)
+        else:
+            loose = loose.to_numpy()
+        return cls(lo, hi, loose, label, bits)
+
+    def joined(self, other: _Nodes) -> _Nodes:
+        cols = (np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("lo", "hi", "loose", "label"))
+        return _Nodes(*cols, self.bits + other.bits)
+
+    def merged(self, first: np.ndarray) -> _Nodes:
+        """The nodes above: each has the nodes from one of ``first`` up to the next as its children."""
+        stop = np.append(first[1:], len(self.lo)).tolist()
+        lowest, highest = np.minimum.reduceat(self.label, first), np.maximum.reduceat(self.label, first)
+        bits, loose = [], []
+        for a, b in zip(first.tolist(), stop, strict=True):
+            if b - a == 1:
+                bits.append(self.bits[a])
+                loose.append(self.loose[a])
                 continue
-            if 100 * min(x["n"], y["n"]) >= percent * max(x["n"], y["n"]) and min(x["n"] - x["at"], y["n"] - y["at"]) >= _needed(x["n"] + y["n"], percent) and before[j].isdisjoint(x["before"]) and _possible(x["n"], bits, y["n"], maps[j], percent):
-                yield x["cls"], y["cls"]
+            size = min(map(len, self.bits[a:b]))
+            folded = [_folded(x, size) for x in self.bits[a:b]]
+            bits.append(np.bitwise_or.reduce(folded))
+            # a token that folding takes onto another's bit has no bit of its own any more
+            lost = [int(np.bitwise_count(x).sum()) - int(np.bitwise_count(y).sum()) if len(x) != size else 0 for x, y in zip(self.bits[a:b], folded, strict=True)]
+            loose.append(max(int(n) + m for n, m in zip(self.loose[a:b], lost, strict=True)))
+        return _Nodes(np.minimum.reduceat(self.lo, first), np.maximum.reduceat(self.hi, first), np.array(loose, np.int64), np.where(lowest == highest, lowest, -1), bits)
+
+    def table(self, key: tuple) -> pa.Table:
+        label = pa.array(self.label, mask=self.label == -1)
+        return pa.table([pa.array([k.as_py()], pa.int64()) for k in key] + [pa.array(x) for x in (self.lo, self.hi, self.loose)] + [label, pa.array([b.tobytes() for b in self.bits], pa.binary())], ["token", "node", *_NODE])
+
+    def possible(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether a member of ``a[i]`` and one of ``b[i]`` may link, by the largest overlap they can have."""
+        need = _needed(self.lo[a] + self.lo[b], percent)
+        good = 100 * np.minimum(self.hi[a], self.hi[b]) >= percent * np.maximum(self.lo[a], self.lo[b])
+        good &= (self.label[a] != self.label[b]) | (self.label[a] == -1)
+        at = np.flatnonzero(good)
+        for lo in range(0, len(at), CHUNK):
+            part = at[lo : lo + CHUNK]
+            widths = np.minimum(self.width[a[part]], self.width[b[part]])
+            for w in np.unique(widths).tolist():
+                of = part[widths == w]
+                sides = []
+                for x in (a[of], b[of]):
+                    nodes, back = np.unique(x, return_inverse=True)
+                    bits = np.stack([_folded(self.bits[i], w) for i in nodes.tolist()])
+                    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+                    folded = np.array([int(np.bitwise_count(self.bits[i]).sum()) if len(self.bits[i]) != w else 0 for i in nodes.tolist()], np.int64)
+                    lost = np.where(folded > 0, folded - ones, 0)
+                    sides.append((bits[back], (self.loose[nodes] + lost)[back]))
+                common = np.bitwise_count(sides[0][0] & sides[1][0]).sum(axis=1, dtype=np.int64)
+                good[of] = np.minimum(sides[0][1], sides[1][1]) + common >= need[of]
+        return good
+
+
+def _whole(batches_: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted batches cut anew so that rows that agree in the first ``keys`` columns stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches_:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns[:keys]]
+        turn = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            turn[1:] |= c[1:] != c[:-1]
+        turn[0] = bool(held) and any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(cols))
+        cut = np.flatnonzero(turn)
+        if len(cut):
+            done = [*held, batch.slice(0, int(cut[-1]))]
+            if sum(x.num_rows for x in done):
+                yield pa.Table.from_batches(done).combine_chunks()
+            held = [batch.slice(int(cut[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _traversed(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``table`` that may link: trees over the rows of each ``token, a, b, side``, and a dual traversal
+    of the tree of side 0 with itself, or with that of side 1 where there is one."""
+    cols = [table.column(c).to_numpy() for c in ("token", "a", "b", "side")]
+    n = table.num_rows
+    group, tree = np.zeros(n, bool), np.zeros(n, bool)
+    for c in cols[:3]:
+        group[1:] |= c[1:] != c[:-1]
+    tree[1:] = group[1:] | (cols[3][1:] != cols[3][:-1])
+    group[0] = tree[0] = True
+    of_tree = np.cumsum(tree) - 1
+    rank = np.arange(n) - np.flatnonzero(tree)[of_tree]
+    levels, firsts = [_Nodes.of(table)], []
+    while int(rank.max()):
+        rank = rank >> FAN_BITS
+        first = np.flatnonzero(np.append(True, (of_tree[1:] != of_tree[:-1]) | (rank[1:] != rank[:-1])))
+        firsts.append(np.append(first, len(rank)))
+        levels.append(levels[-1].merged(first))
+        of_tree, rank = of_tree[first], rank[first]
+    # roots are trees now, in order; a group has one or two
+    starts = np.flatnonzero(group[np.flatnonzero(tree)])
+    x, y = starts, np.append(starts[1:], int(tree.sum())) - 1
+    keep = levels[-1].possible(x, y, percent)
+    x, y = x[keep], y[keep]
+    for nodes, first in zip(reversed(levels[:-1]), reversed(firsts), strict=True):
+        found = []
+        for at in range(0, len(x), CHUNK):
+            a, b = _children(x[at : at + CHUNK], y[at : at + CHUNK], first)
+            keep = nodes.possible(a, b, percent)
+            found.append((a[keep], b[keep]))
+        x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    keep = x != y
+    return x[keep], y[keep]
+
+
+def _once(table: pa.Table, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows without those that the group of an earlier token gives, as far as the rows' first tokens tell."""
+    token, lists = table.column("token").to_numpy(), table.column("leads").combine_chunks()
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    leads = np.full((len(n), LEADS), np.iinfo(np.int64).max)
+    leads[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
+    keep = np.ones(len(x), bool)
+    for at in range(0, len(x), CHUNK):
+        a, b = x[at : at + CHUNK], y[at : at + CHUNK]
+        shared = (leads[a][:, :, None] == leads[b][:, None, :]) & (leads[a] < token[a][:, None])[:, :, None]
+        keep[at : at + CHUNK] = ~shared.any(axis=(1, 2))
+    return x[keep], y[keep]
+
+
+def _children(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children of each pair of nodes, once each."""
+    nx, ny = first[x + 1] - first[x], first[y + 1] - first[y]
+    of = np.repeat(np.arange(len(x)), nx * ny)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(nx * ny) - nx * ny, nx * ny)
+    a, b = first[x][of] + k // ny[of], first[y][of] + k % ny[of]
+    keep = (x[of] != y[of]) | (a <= b)
+    return a[keep], b[keep]
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -295,7 +501,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of ``docs``, that of the smallest id, and every row without words.
 
     Rows are told apart by a 64-bit hash of id and text; null ids come last, equal ids go by that hash. Of
-    rows with the same id and text one stays. Columns are those of ``docs``.
+    rows with the same id and text one stays. An empty table gives no rows. Columns are those of ``docs``,
+    whatever their names.
     """
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     ids = docs.select(key.alias("key"), F.col("doc_id").cast("bigint")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -306,17 +513,18 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = lowest.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     kept = named.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.key", F.lit(True).alias("kept"))
     # joined by key, as a class of many copies would be one task
-    decided = saved(rows.join(kept, "key", "left").filter("kept IS NULL OR copies > 1").select(F.col("key").alias("jac_key"), F.col("kept").isNull().alias("gone")))
+    decided = saved(rows.join(kept, "key", "left").filter("kept IS NULL OR copies > 1").select("key", F.col("kept").isNull().alias("gone")))
     drop(rows)
     stay = _matched(docs, key, decided.filter("gone"), "left_anti")
     again = decided.filter("not gone")
     if again.isEmpty():
         return stay
-    one = _matched(docs, key, again, "left_semi").groupBy(key.alias("jac_key")).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    one = _matched(docs, key, again, "left_semi").groupBy(key.alias("key")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return _matched(stay, key, again, "left_anti").union(one.select("row.*"))
 
 
 def _matched(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined to ``jac_key`` of ``keys``, which are broadcast if they are few."""
-    keys = keys.select("jac_key")
-    return docs.join(F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys, key == F.col("jac_key"), how)
+    """``docs`` joined to ``key`` of ``keys``, which are broadcast if they are few."""
+    name = fresh(docs, "key")
+    keys = keys.select(F.col("key").alias(name))
+    return docs.join(F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys, key == F.col(name), how)

@@ -3,7 +3,8 @@
 The automaton holds the words of all licence templates and of short licence phrases. Each file's words
 are streamed through it; the state gives the longest stretch ending at a word that some template has
 (the matching statistics). Long stretches of one template, in order and close together, are chained into
-a span; a span that covers enough words labels the file. Phrases are found by the same pass.
+a span; a span that covers enough words labels the file, unless it meets one that covers more. Phrases are
+found by the same pass.
 """
 
 from __future__ import annotations
@@ -30,6 +31,14 @@ TEMPLATES = {
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "cc-by": "you are free to share copy and redistribute the material in any medium or format and adapt remix transform and build upon the material for any purpose even commercially you must give appropriate credit provide a link to the license and indicate if changes were made",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details",
+    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+    "bsl": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "cc0": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide this software is distributed without any warranty",
 }
 
 #: Bytes of words: ASCII digits and letters, and all bytes of other characters.
@@ -115,17 +124,17 @@ class Scanner:
             self.places[a.link[s]] = sorted({*self.places[a.link[s]], *self.places[s]}) if a.link[s] > 0 else self.places[a.link[s]]
 
     def matched(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Matching statistics ``(place, length, state)``, where two words or more match."""
-        known = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)) if len(ids) > 1 else []
+        """Matching statistics ``(place, length, state)``, where two words or more match, or one where a phrase is one word."""
+        alone = any(len(p) == 1 for p, _ in self.phrases)
+        again = np.append(ids[1:] > 0, False) | np.append(False, ids[:-1] > 0) if len(ids) else np.zeros(0, bool)
+        known = np.flatnonzero((ids > 0) & (again | alone))
         state = length = 0
         before = -2
-        for i in known:
-            i = int(i)
-            if i != before + 1:  # a run of known words begins
-                state, length = self._step(0, 0, int(ids[i]))
-            state, length = self._step(state, length, int(ids[i + 1]))
-            if length > 1:
-                yield i + 1, length, state
+        for i, word in zip(known.tolist(), ids[known].tolist(), strict=True):
+            # without a known word before it, a run begins
+            state, length = self._step(state, length, word) if i == before + 1 else self._step(0, 0, word)
+            if length > 1 or alone:
+                yield i, length, state
             before = i
 
     def _step(self, state: int, length: int, word: int) -> tuple[int, int]:
@@ -154,7 +163,7 @@ class Scanner:
                 long.append((at, length, state))
         spans = self._chained(long)
         score = max((covered / self.lengths[t] for t, _, _, covered in spans), default=0.0)
-        labels = base | {self.labels[t] for t, _, _, covered in spans if covered >= self.covered}
+        labels = base | {self.labels[t] for t, _, _, covered in _foremost(spans) if covered >= self.covered}
         return {"n_words": len(found), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": min(1.0, max(score, 0.5 if starts else 0.0)), "spans": [{"label": self.labels[t], "first": a, "last": b, "covered": c} for t, a, b, c in spans]}
 
     def _chained(self, long: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -180,6 +189,18 @@ class Scanner:
         return sorted(done, key=lambda x: (x[1], x[0]))
 
 
+def _foremost(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans, sorted by their first words, without those that meet one that covers more words: licences share wording."""
+    behind, open_ = set(), []
+    for i, (_, first, _, covered) in enumerate(spans):
+        open_ = [j for j in open_ if spans[j][2] >= first]
+        behind |= {j for j in open_ if spans[j][3] < covered}
+        if any(spans[j][3] > covered for j in open_):
+            behind.add(i)
+        open_.append(i)
+    return [s for i, s in enumerate(spans) if i not in behind]
+
+
 OUT = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label: string, first: bigint, last: bigint, covered: bigint>>"
 
 
@@ -187,7 +208,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     """One row for each row of ``docs``: word and phrase counts, labels, a score and template spans.
 
     A stretch of at least ``shortest`` words of a template counts; stretches at most ``gap`` words apart
-    chain; a span labels the file if it covers ``covered`` words. ``score`` is the largest covered share of
+    chain; a span labels the file if it covers ``covered`` words and no span that it meets covers more. ``score`` is the largest covered share of
     a template, 0.5 at least where a phrase stands. Null and empty texts have no words, empty labels, score
     0 and null places. Repeated rows are scanned alike; other columns are not read. The pass has no shuffle.
     """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.scratch import saved, small
+from verdigris.llm.scratch import drop, fresh, saved, small
 
 #: Weights by the rank of a source, the share of all words, the ceiling of a source.
 WEIGHTS, SHARE, CEILING = (3, 1, 2), 1.5, 2.0
@@ -51,41 +51,45 @@ def plan(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
 
     Null texts have size 0; a null source is a source. Rows that agree in id and text are emitted alike.
     A source without words has target 0 and gives no copies. An empty table gives no rows. The plan is
-    the same in every run. Columns of ``docs`` with these names are replaced.
+    the same in every run. Columns of ``docs`` with these names are replaced, others stay.
     """
-    named = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    made = ("size", "source_size", "target", "copies")
+    planned, name = _planned(docs.drop(*[f"mix_{c}" for c in made]), seed, **how)
+    return planned.withColumnsRenamed({name[c]: f"mix_{c}" for c in made})
+
+
+def _planned(docs: DataFrame, seed: int, **how) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with each row's size, its source's size and target, and its copies; and those columns' names."""
+    name = {c: fresh(docs, f"mix_{c}") for c in ("size", "source_size", "target", "copies", "key", "rate", "turn", "source")}
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    sized = named.withColumns({"mix_size": words(F.col("text")), "mix_key": key})
-    narrow = saved(sized.select("source", "mix_key", F.col("mix_size").alias("size")))
+    sized = docs.withColumns({name["size"]: words(F.col("text")), name["key"]: key})
+    narrow = saved(sized.select("source", F.col(name["key"]).alias("key"), F.col(name["size"]).alias("size")))
     rates = saved(targets(narrow, **how).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     few = small(rates, FEW_SOURCES)
 
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed("source", "mix_source")
-        return left.join(F.broadcast(right) if few else right, left["source"].eqNullSafe(right["mix_source"])).drop("mix_source")
+        right = right.withColumnRenamed("source", name["source"])
+        return left.join(F.broadcast(right) if few else right, left["source"].eqNullSafe(right[name["source"]])).drop(name["source"])
 
+    def draw(key: str, turn: Column) -> Column:
+        """A number from 0 to 1 that a document's hash and the seed's number decide."""
+        return F.pmod(F.xxhash64(F.col(key), turn), F.lit(1 << 40)) / float(1 << 40)
+
+    fraction = F.col("rate") - F.floor("rate")
     draws = joined(narrow, rates.select("source", "rate"))
-    extra = [F.sum(F.when(_draw(i) < _fraction(), F.col("size")).otherwise(0)).cast("double").alias(f"x{i}") for i in range(SEEDS)]
+    extra = [F.sum(F.when(draw("key", F.lit(i)) < fraction, F.col("size")).otherwise(0)).cast("double").alias(f"x{i}") for i in range(SEEDS)]
     sums = draws.groupBy("source").agg(*extra)
     best = rates.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("want", F.col("target") - F.floor("rate") * F.col("source_size"))
     errors = F.array(*[F.struct(F.abs(F.col(f"x{i}") - F.col("want")).alias("e"), F.lit(i).alias("i")) for i in range(SEEDS)])
     chosen = saved(best.select("source", "source_size", "target", "rate", F.array_min(errors)["i"].alias("turn")))
-    out = joined(sized, chosen.withColumnsRenamed({"source_size": "mix_source_size", "target": "mix_target", "rate": "mix_rate", "turn": "mix_turn"}))
-    draw = F.pmod(F.xxhash64("mix_key", "mix_turn"), F.lit(1 << 40)) / float(1 << 40)
-    copies = F.floor("mix_rate") + (draw < F.col("mix_rate") - F.floor("mix_rate")).cast("int")
-    return out.withColumn("mix_copies", copies.cast("int")).drop("mix_rate", "mix_turn", "mix_key")
-
-
-def _draw(turn: int) -> Column:
-    """A number from 0 to 1 that a document's hash and the seed decide."""
-    return F.pmod(F.xxhash64("mix_key", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
-
-
-def _fraction() -> Column:
-    return F.col("rate") - F.floor("rate")
+    drop(narrow, rates)
+    out = joined(sized, chosen.withColumnsRenamed({c: name[c] for c in ("source_size", "target", "rate", "turn")}))
+    rate = F.col(name["rate"])
+    copies = F.floor(rate) + (draw(name["key"], F.col(name["turn"])) < rate - F.floor(rate)).cast("int")
+    return out.withColumn(name["copies"], copies.cast("int")).drop(*[name[c] for c in ("rate", "turn", "key")]), name
 
 
 def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """The mixed documents, with the columns of ``docs``: each row as often as :func:`plan` says."""
-    planned = plan(docs, seed, **how)
-    return planned.withColumn("mix_turn", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)
+    """The mixed documents: each row as often as :func:`plan` says, with the columns of ``docs`` unchanged."""
+    planned, name = _planned(docs, seed, **how)
+    return planned.withColumn(name["turn"], F.explode(F.array_repeat(F.lit(0), F.col(name["copies"])))).select(*[F.col(f"`{c}`") for c in docs.columns])

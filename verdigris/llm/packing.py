@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.text import batches
 
 #: Distinct words, and parts of words, whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS, CACHE_PARTS = 700_000, 700_000
+CACHE_WORDS, CACHE_PARTS = 250_000, 250_000
 
 
 class _Ids:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.labelled import held_out, sample
-from verdigris.llm.scratch import drop, saved
+from verdigris.llm.scratch import drop, fresh, saved
 
 #: At most so many labelled documents are learned from.
 SAMPLE_ROWS = 20_000
@@ -23,26 +23,24 @@ SAMPLE_ROWS = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a whole text; a null text counts as empty."""
+#: What is counted in a text, by the patterns of each.
+COUNTED = {"capitals": r"\p{Lu}{2,}", "symbols": r"[#*$%&|<>]+", "bangs": "!+", "digits": "[0-9]+", "stops": "[.,;:?]+", "lines": r"\n"}
+STATISTICS = ("s_words", "s_word_chars", *(f"s_{n}" for n in COUNTED), "s_distinct")
+
+
+def _counts(text: Column) -> Column:
+    """What is counted in a whole text, as a struct; a null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
+    found = {n: F.regexp_count(text, F.lit(p)).cast("double") for n, p in ({"words": _WORD} | COUNTED).items()}
+    distinct = F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+")))
+    return F.struct(*[c.alias(n) for n, c in (found | {"word_chars": F.char_length(text), "distinct": distinct}).items()])
 
-    def count(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern)).cast("double")
 
-    words = count(_WORD)
-    per = F.greatest(words, F.lit(1.0))
-    return {
-        "s_words": words,
-        "s_word_chars": F.char_length(text) / per,
-        "s_capitals": count(r"\p{Lu}{2,}") / per,
-        "s_symbols": count(r"[#*$%&|<>]+") / per,
-        "s_bangs": count(r"!+") / per,
-        "s_digits": count(r"[0-9]+") / per,
-        "s_stops": count(r"[.,;:?]+") / per,
-        "s_lines": count(r"\n") / per,
-        "s_distinct": F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+"))) / per,
-    }
+def _shares(counts: str) -> Column:
+    """The statistics, as a struct, from the column of counts: the words, and all else for each word."""
+    of = lambda n: F.col(f"{counts}.{n}").cast("double")
+    per = F.greatest(of("words"), F.lit(1.0))
+    return F.struct(*[(of("words") if n == "s_words" else of(n.removeprefix("s_")) / per).alias(n) for n in STATISTICS])
 
 
 @dataclass(frozen=True)
@@ -51,10 +49,12 @@ class Rule:
 
     tests: tuple[tuple[str, bool, float], ...]
 
-    def column(self) -> Column:
+    def column(self, within: str = "") -> Column:
+        """The rule over columns of its statistics' names, or over fields of the column ``within``."""
         out = F.lit(True)
         for name, at_most, threshold in self.tests:
-            out = out & (F.col(name) <= threshold if at_most else F.col(name) > threshold)
+            value = F.col(f"{within}.{name}" if within else name)
+            out = out & (value <= threshold if at_most else value > threshold)
         return out
 
 
@@ -86,12 +86,12 @@ class RuleModel:
     intercept: float
     constant: float | None = None
 
-    def score(self) -> Column:
+    def score(self, within: str = "") -> Column:
         if self.constant is not None:
             return F.lit(self.constant)
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
-            total = total + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(within), F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -100,16 +100,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     With one label among them the score is that label, with none it is 0.5.
     """
-    stats = statistics(F.col("text"))
     chosen = F.broadcast(sample(labels, label, rows))  # at most ``rows`` rows
-    seen = saved(docs.select(F.col("doc_id"), "text").join(chosen, "doc_id").select("label", *[c.alias(n) for n, c in stats.items()]))
+    measured, name = _measured(docs.select("doc_id", "text").join(chosen, "doc_id"))
+    seen = saved(measured.select("label", f"{name}.*"))
     try:
         got = {r["label"] for r in seen.select("label").distinct().collect()}
         if len(got) < 2:
             return RuleModel((), 0.0, next(iter(got), 0.5))
-        data = seen.coalesce(2).select("label", array_to_vector(F.array(*stats)).alias("features"))
+        data = seen.coalesce(2).select("label", array_to_vector(F.array(*STATISTICS)).alias("features"))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", subsamplingRate=0.8).fit(data)
-        rules = list(dict.fromkeys(rule for tree in forest.trees for rule in paths(tree, list(stats))))
+        rules = list(dict.fromkeys(rule for tree in forest.trees for rule in paths(tree, list(STATISTICS))))
         held = F.array(*[rule.column().cast("double") for rule in rules])
         lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False)
         model = lasso.fit(seen.coalesce(2).select("label", array_to_vector(held).alias("features")))
@@ -119,18 +119,35 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return RuleModel(tuple((r, w) for r, w in zip(rules, weights, strict=True) if w), float(model.intercept))
 
 
+def _measured(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a struct of the statistics, and that column's name.
+
+    The struct comes out of a generator, as do the counts that it is made of, so that a filter on what is computed
+    from it can't be moved below it: that would write each count out again for every rule that reads it.
+    """
+    counts, name = fresh(docs, "counts"), fresh(docs, "statistics")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    counted = docs.select(*own, F.explode(F.array(_counts(F.col("text")))).alias(counts))
+    return counted.select(*own, F.explode(F.array(_shares(counts))).alias(name)), name
+
+
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``held_out, score, predicted``; columns of these names are replaced.
+    """``docs`` with ``held_out, score, predicted``; columns of these names are replaced, others stay.
 
-    Every row is scored by its whole text; null and empty texts have the statistics of an empty text.
+    Every row is scored by its whole text, repeated rows alike; null and empty texts have the statistics of an
+    empty text. Null ids count as not held out. An empty table gives no rows.
     """
-    rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    stats = statistics(F.col("text"))
-    kept = docs.select(*[F.col(f"`{c}`") for c in rest if c not in stats], *[c.alias(n) for n, c in stats.items()])
-    out = kept.withColumn("score", model.score()).drop(*stats)
+    measured, name = _measured(docs.drop("held_out", "score", "predicted"))
+    out = measured.withColumn("score", model.score(name)).drop(name)
     return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """The documents that the classifier accepts, with their columns."""
-    return score(docs, fit(docs, labels, **how), threshold).filter("predicted = 1").select(*docs.columns)
+    """The rows of ``docs`` that the classifier accepts, unchanged, whatever their columns are called.
+
+    Null and empty texts are judged as empty texts; repeated rows are kept or go together; null ids, which no
+    label marks, are judged by their texts. Without labels all rows score 0.5. An empty table gives no rows.
+    """
+    measured, name = _measured(docs)
+    model = fit(docs, labels, **how)
+    return measured.filter(model.score(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

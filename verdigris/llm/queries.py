@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import jaccard, licences, linerules, mixing, packing, passages, quality, search, sharding, toxicity
+from verdigris.llm import jaccard, licences, linerules, mixing, packing, passages, quality, scratch, search, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,14 +57,60 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slot_map = sharding.SlotMap.even(8)
-    docs = _table(spark, sf_dir, "documents")
+    docs, store = _table(spark, sf_dir, "documents"), scratch.place(spark)
+    first = sharding.published(docs, store, 8)
+    grown = sharding.edited(spark, store, lambda last, _: last.grown()).frame(spark).withColumnRenamed("shard", "grown_shard")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = sharding.numbered(sharding.assign(rows, slot_map), ["doc_id", "text_crc32", "size"])
-    grown = slot_map.grown().frame(spark).withColumnRenamed("shard", "grown_shard")
+    placed = sharding.numbered(sharding.assign(rows, first), ["doc_id", "text_crc32", "size"])
     return placed.join(F.broadcast(grown), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op9_top_k, op10_slots)}
 
-ORACLES: dict[str, str] = {}
+#: Words of a text, of a line or lower-cased; a document's id is taken to be unique.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op6_line_rules": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        lines AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+        worded AS (SELECT doc_id, source, t, line, {_WORDS.format("line")} AS lw FROM lines),
+        normal AS (SELECT *, {_LOWER.format("array_to_string(lw, ' ')")} AS norm FROM worded WHERE len(lw) > 0),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM normal GROUP BY doc_id),
+        frequent AS (SELECT source, norm FROM normal GROUP BY source, norm HAVING count(DISTINCT t) > 5),
+        gone AS (SELECT n.doc_id, sum(len(n.lw)) AS n_removed_words FROM normal n JOIN frequent f ON n.norm = f.norm AND n.source IS NOT DISTINCT FROM f.source GROUP BY n.doc_id),
+        pos AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d),
+        win AS (SELECT doc_id, p, CASE WHEN p + 4 <= len(w) THEN array_to_string(w[p:p + 4], ' ') END AS g FROM pos),
+        hit AS (SELECT doc_id, p, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS h FROM win),
+        cover AS (SELECT doc_id, p, sum(h) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0 AS c FROM hit),
+        rep AS (SELECT doc_id, sum(CAST(c AS INT)) AS n_repeat_words FROM cover GROUP BY doc_id),
+        base AS (
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+            FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN rep USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed_words >= 10 AND 10 * (n_words - n_removed_words) >= 3 * n_words AS kept
+        FROM base""",
+    "op7_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        pos AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d),
+        win AS (SELECT doc_id, p, w[p] AS word, CASE WHEN p + 34 <= len(w) THEN sha256(array_to_string(w[p:p + 34], ' ')) END AS g FROM pos),
+        hit AS (SELECT doc_id, p, word, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 THEN 1 ELSE 0 END AS h FROM win),
+        cover AS (SELECT doc_id, p, word, sum(h) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS c FROM hit),
+        kept AS (SELECT doc_id, sum(CAST(c AS INT)) AS n, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT c) AS k FROM cover GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op8_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS p FROM d WHERE len(w) >= 5)
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL""",
+}

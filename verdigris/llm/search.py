@@ -1,9 +1,12 @@
-"""Exact top-k search: BM25 over sharded inverted indexes with block-max pruning.
+"""Exact top-k search: BM25 over sharded inverted indexes with block-max WAND pruning.
 
-Documents hash into shards. Each shard holds postings by term with their impacts, and for each term and
-block of documents the largest impact. A query's bounds of all blocks come first; blocks are scored from
-the highest bound on, and those whose bound stays below the k-th score so far are skipped. Document
-frequencies, the number of documents and their mean length are global, so shards' lists merge exactly.
+A task turns the documents it reads into shards of some megabytes, one after another: posting lists by term
+with their impacts, the largest impact of a list and of each block of documents in it, and the same postings
+by document. A query's lists are ordered by the most they can add to a score; the pivot is the list from which
+on a document can reach the query's k-th best score so far, and only documents in lists from the pivot on are
+looked at. The block bounds of the other lists leave few of these, which are scored in full. A query's k-th
+best score is carried from shard to shard. Document frequencies, the number of documents and their mean length
+are global, so the tasks' lists merge exactly. Documents pass in bulk, not one by one as cursors would have it.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.licences import _CLEAN
-from verdigris.llm.scratch import saved
+from verdigris.llm.scratch import drop, saved
 from verdigris.llm.text import as_bytes, batches, hashed, signed
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_BYTES = 32 << 20
+#: Bytes of text in a shard; bytes of terms and weights of the queries that tasks hold at once.
+SHARD_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
+#: Bounds are sums of floats in another order than scores: they are held to be so much larger.
+SLACK = 1 - 1e-9
 
 
 def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,47 +67,91 @@ class Shard:
 
     def __init__(self, texts: list[bytes], mean: float):
         # long documents together, so that a block's bounds are close to its documents
-        lengths = np.array([len(t) for t in texts])
-        self.order = np.argsort(lengths, kind="stable")
+        self.order = np.argsort([len(t) for t in texts], kind="stable")
         term, doc, tf, words = _pairs([texts[i] for i in self.order])
         self.docs = len(texts)
-        self.doc = doc
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / mean)) if len(doc) else np.zeros(0)
-        block = doc // BLOCK
         new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.start = np.flatnonzero(new)
-        self.stop = np.append(self.start[1:], len(term))
-        self.block = block[self.start]
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(self.start) else np.zeros(0)
-        self.terms, first = np.unique(term[self.start], return_index=True)
-        self.first, self.last = first, np.append(first[1:], len(self.start))
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and scores of the ``k`` best documents and of all that equal the last."""
+        new[1:] = term[1:] != term[:-1]
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(term))
+        self.terms, of_term = term[self.first], np.cumsum(new, dtype=np.int32) - 1
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / mean))
+        self.doc = doc.astype(np.int32)
+        block = self.doc // BLOCK
+        new[1:] |= block[1:] != block[:-1]
+        starts = np.flatnonzero(new)
+        self.block, self.block_most = block[starts], np.maximum.reduceat(self.impact, starts) if len(starts) else self.impact
+        self.block_first, self.block_last = np.searchsorted(starts, self.first), np.searchsorted(starts, self.last)
+        self.most = np.maximum.reduceat(self.impact, self.first) if len(self.first) else self.impact
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.doc_first = np.searchsorted(self.doc[by_doc], np.arange(self.docs + 1))
+        self.doc_term, self.doc_impact = of_term[by_doc], self.impact[by_doc]
+        self.weight = np.zeros(len(self.terms))
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of documents, among them all of the ``k`` best, and all that equal the last of
+        these, that score ``least`` or more."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        entries, which = _ranges(self.first[at[known]], self.last[at[known]])
-        weight = weights[known][which]
-        blocks = self.block[entries]
-        bound = np.bincount(blocks, weight * self.most[entries], -(-self.docs // BLOCK)) * (1 + 1e-9)
-        turn = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.docs)
-        done, step, least = 0, -(-k // BLOCK) + 1, 0.0
-        while done < len(turn) and bound[turn[done]] > 0 and bound[turn[done]] >= least:
-            now = np.zeros(len(bound), bool)
-            chosen = turn[done : done + step]
-            now[chosen[bound[chosen] >= least]] = True
-            part = now[blocks]
-            postings, of = _ranges(self.start[entries[part]], self.stop[entries[part]])
-            scores += np.bincount(self.doc[postings], weight[part][of] * self.impact[postings], self.docs)
-            done += step
-            step *= 4
-            if self.docs > k:
-                least = np.partition(scores, -k)[-k]
-        found = np.flatnonzero((scores > 0) & (scores >= least))
-        return self.order[found], scores[found]
+        t, w = at[known], weights[known]
+        bound = w * self.most[t]
+        turn = np.argsort(bound, kind="stable")
+        t, w, bound = t[turn], w[turn], bound[turn]
+        self.weight[t] = w
+        if least <= 0 and self.docs > k:
+            least = self._reached(t, w, k)
+        rise = np.cumsum(bound)
+        pivot = int(np.searchsorted(rise, least * SLACK))  # the lists before it can't reach least together
+        part = self._added(t[pivot:], w[pivot:])
+        others = rise[pivot - 1] if pivot else 0.0
+        found = np.flatnonzero(part)
+        found = found[part[found] + others >= least * SLACK]
+        if pivot and len(found):
+            entries, which = _ranges(self.block_first[t[:pivot]], self.block_last[t[:pivot]])
+            most = np.bincount(self.block[entries], w[:pivot][which] * self.block_most[entries], -(-self.docs // BLOCK))
+            found = found[part[found] + most[found // BLOCK] >= least * SLACK]
+        elif len(found) > k:
+            found = found[part[found] >= np.partition(part[found], -k)[-k] * SLACK]
+        scores = self._scores(found)
+        self.weight[t] = 0
+        good = scores >= least
+        return self.order[found[good]], scores[good]
+
+    def _added(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What these lists add to each document's score."""
+        postings, which = _ranges(self.first[t], self.last[t])
+        return np.bincount(self.doc[postings], w[which] * self.impact[postings], self.docs)
+
+    def _reached(self, t: np.ndarray, w: np.ndarray, k: int) -> float:
+        """A score that ``k`` documents reach: of those that the lists with the largest bounds hold."""
+        sizes = np.cumsum((self.last - self.first)[t[::-1]])
+        lists = int(np.searchsorted(sizes, 8 * k)) + 1
+        part = self._added(t[-lists:], w[-lists:])
+        few = np.argpartition(part, -min(2 * k, self.docs))[-min(2 * k, self.docs) :]
+        return float(np.partition(self._scores(few), -k)[-k])
+
+    def _scores(self, docs: np.ndarray) -> np.ndarray:
+        """Full scores, summed in the order of the terms' hashes, so that equal documents score alike."""
+        at, which = _ranges(self.doc_first[docs], self.doc_first[docs + 1])
+        return np.bincount(which, self.weight[self.doc_term[at]] * self.doc_impact[at], len(docs))
+
+
+class _Best:
+    """The best documents of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.least = np.zeros(queries)
+        none = (np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64))
+        self.held = [none] * queries
+
+    def add(self, query: int, scores: np.ndarray, null: np.ndarray, ids: np.ndarray) -> None:
+        scores, null, ids = (np.concatenate(x) for x in zip(self.held[query], (scores, null, ids), strict=True))
+        order = np.lexsort((ids, null, -scores))[: self.k]
+        self.held[query] = scores[order], null[order], ids[order]
+        if len(order) == self.k:
+            self.least[query] = scores[order[-1]]
 
 
 def _weighted(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, float]:
@@ -109,9 +159,11 @@ def _weighted(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, float]:
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            term, _, _, lengths = _pairs(as_bytes(batch.column(0)))
-            terms, df = np.unique(term, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), signed(terms)]), pa.array(np.concatenate([[len(lengths)], df])), pa.array(np.concatenate([[lengths.sum()], np.zeros(len(df), np.int64)]).astype(np.int64))], ["term", "df", "words"])
+            texts = as_bytes(batch.column(0))
+            for lo, hi in batches(texts, 8 << 20):
+                term, _, _, lengths = _pairs(texts[lo:hi])
+                terms, df = np.unique(term, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), signed(terms)]), pa.array(np.concatenate([[len(lengths)], df])), pa.array(np.concatenate([[lengths.sum()], np.zeros(len(df), np.int64)]).astype(np.int64))], ["term", "df", "words"])
 
     stats = saved(docs.select(F.col("text").cast("string")).mapInArrow(counted, "term bigint, df bigint, words bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")))
     total = stats.filter("term is null").first()
@@ -119,58 +171,93 @@ def _weighted(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, float]:
 
     def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            term, owner, _, _ = _pairs(as_bytes(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), signed(term)], ["query_id", "q_key", "term"])
+            texts = as_bytes(batch.column(2))
+            for lo, hi in batches(texts, 8 << 20):
+                term, owner, _, _ = _pairs(texts[lo:hi])
+                owner = pa.array(owner + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), signed(term)], ["query_id", "q_key", "term"])
 
     keyed = queries.select(F.col("query_id").cast("bigint"), F.xxhash64("query_id", "text").alias("q_key"), F.col("text").cast("string")).dropDuplicates(["query_id", "q_key"])
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = keyed.mapInArrow(split, "query_id bigint, q_key bigint, term bigint").join(stats.filter("term is not null"), "term")
     listed = terms.groupBy("query_id", "q_key").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("weight")))).alias("list"))
-    return listed.select("query_id", "q_key", F.col("list.term").alias("terms"), F.col("list.weight").alias("weights")), mean
+    asked = saved(listed.select("query_id", "q_key", F.col("list.term").alias("terms"), F.col("list.weight").alias("weights")))
+    drop(stats)
+    return asked, mean
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES, tasks: int | None = None) -> DataFrame:
     """``query_id, rank, doc_id, score``: the ``k`` best rows of ``docs (doc_id, text)`` for each of ``queries (query_id, text)``.
 
     A query is the set of its words; documents without any of them are not found. Equal scores go by id, nulls
     last. Null and empty texts have no words. Repeated query rows are one query; repeated documents are found
-    as often as they are there. Other columns don't matter.
+    as often as they are there. Empty tables give no rows. Other columns don't matter. Terms are told apart by
+    64-bit hashes.
+
+    Queries are sent to the tasks in blocks of about ``query_bytes``; each block is one pass over ``docs``, in
+    ``tasks`` tasks (by default as many as there are cores), and each task gives ``k`` rows for a query.
     """
-    weighted, mean = _weighted(queries, docs)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + total // shard_bytes
-    dealt = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
-    asked = saved(weighted).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-
-    def search(key: tuple, table: pa.Table, questions: pa.Table) -> pa.Table:
-        shard = Shard(as_bytes(table.column("text").combine_chunks()) if table.num_rows else [], mean)
-        ids = table.column("doc_id").combine_chunks()
-        query, q_key, doc, score = [], [], [], []
-        for batch in questions.to_batches():
-            offsets = batch.column("terms").offsets.to_numpy()
-            terms = batch.column("terms").values.to_numpy().view(np.uint64)
-            weights = batch.column("weights").values.to_numpy()
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                order = np.argsort(terms[a:b])
-                rows, scores = shard.top(terms[a:b][order], weights[a:b][order], k)
-                best = _best(ids, rows, scores, k)
-                query.append(np.full(len(best), i))
-                doc.append(rows[best])
-                score.append(scores[best])
-            picked = pa.array(np.concatenate(query) if query else np.zeros(0, np.int64), pa.int64())
-            q_key.append((batch.column("query_id").take(picked), batch.column("q_key").take(picked)))
-            query = []
-        if not q_key:
-            return pa.table({"query_id": pa.array([], pa.int64()), "q_key": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return pa.table({"query_id": pa.concat_arrays([x for x, _ in q_key]), "q_key": pa.concat_arrays([x for _, x in q_key]), "doc_id": ids.take(pa.array(np.concatenate(doc).astype(np.int64))), "score": pa.array(np.concatenate(score))})
-
-    found = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(search, "query_id bigint, q_key bigint, doc_id bigint, score double")
+    spark = docs.sparkSession
+    asked, mean = _weighted(queries, docs)
+    blocks = 1 + 16 * (asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // query_bytes
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).coalesce(tasks or spark.sparkContext.defaultParallelism)
+    parts = []
+    for block in range(blocks):
+        sent = spark.sparkContext.broadcast(_queries(asked.filter(F.pmod("q_key", F.lit(blocks)) == block).toArrow()))
+        found = texts.mapInArrow(_searching(sent, mean, k, shard_bytes), "query_id bigint, q_key bigint, doc_id bigint, score double")
+        parts.append(saved(found))
+        sent.unpersist()
+    drop(asked)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
     order = Window.partitionBy("query_id", "q_key").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _best(ids: pa.Array, rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """The first ``k`` by score, then by id."""
-    id_ = ids.take(pa.array(rows.astype(np.int64)))
-    key = id_.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-    return np.lexsort((key, -scores))[:k]
+def _queries(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, keys, offsets, terms (in rising order within a query) and weights of a block of queries."""
+    table = table.combine_chunks()
+    ids, keys = (table.column(c).combine_chunks() for c in ("query_id", "q_key"))
+    terms, weights = table.column("terms").combine_chunks(), table.column("weights").combine_chunks()
+    flat, weight = terms.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    order = np.lexsort((flat, np.repeat(np.arange(len(ids)), np.diff(offsets))))
+    return ids, keys, offsets, flat[order], weight[order]
+
+
+def _searching(sent, mean: float, k: int, shard_bytes: int):
+    """A function over batches ``doc_id, text``: the ``k`` best documents among them for each query sent."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, keys, offsets, terms, weights = sent.value
+        best = _Best(len(query_ids), k)
+        texts: list[bytes] = []
+        ids: list[pa.Array] = []
+        size = 0
+
+        def search() -> None:
+            shard, held = Shard(texts, mean), pa.concat_arrays(ids)
+            null = held.is_null().to_numpy(zero_copy_only=False)
+            held = held.fill_null(0).to_numpy()
+            for q, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                found, scores = shard.top(terms[a:b], weights[a:b], k, best.least[q])
+                if len(found):
+                    best.add(q, scores, null[found], held[found])
+
+        for batch in rows:
+            whole = as_bytes(batch.column(1))
+            for lo, hi in batches(whole):
+                texts += whole[lo:hi]
+                ids.append(batch.column(0).slice(lo, hi - lo))
+                size += sum(map(len, whole[lo:hi]))
+                if size >= shard_bytes:
+                    search()
+                    texts, ids, size = [], [], 0
+        if texts:
+            search()
+        of = pa.array(np.repeat(np.arange(len(query_ids)), [len(h[0]) for h in best.held]), pa.int64())
+        scores, null, found = (np.concatenate([h[i] for h in best.held]) if best.held else np.zeros(0) for i in range(3))
+        yield pa.RecordBatch.from_arrays([query_ids.take(of), keys.take(of), pa.array(found.astype(np.int64), mask=null.astype(bool)), pa.array(scores, pa.float64())], ["query_id", "q_key", "doc_id", "score"])
+
+    return run

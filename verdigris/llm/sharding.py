@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of virtual slots; a small versioned table maps slots to shards. Adding
-a shard or evening out bytes edits that table, so only the slots that change hands move. Shard and
-position come from per-slot counts, never from a pass over a whole shard in one task.
+Records hash into a fixed number of virtual slots, and rows and bytes are added up for each. A small versioned
+table maps slots to shards and keeps these sums; rows are placed by a version read from it. Adding a shard or
+evening out bytes writes a new version, so only the slots that change hands move. A row's position comes from
+counts by slot, never from a pass over a whole shard in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigris.llm.scratch import fresh, saved
+
 SLOTS = 4096
+#: Parts that a slot's rows are numbered in, so that many rows with one key aren't one task.
+PARTS = 16
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -65,9 +70,11 @@ class SlotMap:
         """``virtual_slot, shard``: as many rows as there are slots."""
         return spark.createDataFrame(list(enumerate(self.shards)), "virtual_slot int, shard int")
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the map's table at ``path``."""
+    def save(self, spark: SparkSession, path: str, stats: DataFrame | None = None) -> None:
+        """Add this version to the map's table at ``path``, with what each slot holds (:func:`slot_stats`)."""
         rows = self.frame(spark).withColumns({"version": F.lit(self.version), "shards": F.lit(self.count), "history": F.array(*map(F.lit, self.history))})
+        held = stats if stats is not None else spark.createDataFrame([], "virtual_slot int, rows bigint, bytes bigint")
+        rows = rows.join(held, "virtual_slot", "left").fillna(0, ["rows", "bytes"])
         rows.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
     @classmethod
@@ -80,11 +87,31 @@ class SlotMap:
 
 
 def slot_stats(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``virtual_slot, rows, bytes``: what each slot holds; texts count their UTF-8 bytes plus 1."""
+    """``virtual_slot, rows, bytes``: what each slot holds; texts count their UTF-8 bytes plus 1.
+
+    Null texts count 1, null ids are one key; a slot without rows has no row here. One row a slot is shuffled
+    from each task.
+    """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1
     return docs.groupBy(slot_of(F.col("doc_id"), slots).alias("virtual_slot")).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
 
 
+def published(docs: DataFrame, path: str, count: int, slots: int = SLOTS) -> SlotMap:
+    """Store version 1 of a map over ``count`` shards at ``path``, with the sums over ``docs``, and read it back."""
+    spark = docs.sparkSession
+    SlotMap.even(count, slots).save(spark, path, slot_stats(docs, slots))
+    return SlotMap.load(spark, path, 1)
+
+
+def edited(spark: SparkSession, path: str, edit) -> SlotMap:
+    """Store ``edit(latest version, bytes by slot)`` as the next version at ``path``, and read it back."""
+    last = SlotMap.load(spark, path)
+    held = spark.read.parquet(path).filter(F.col("version") == last.version).select("virtual_slot", "rows", "bytes")
+    slot_bytes = {r["virtual_slot"]: r["bytes"] for r in held.collect()}  # a row for each slot
+    edit(last, slot_bytes).save(spark, path, held)
+    return SlotMap.load(spark, path, last.version + 1)
+
+
 def assign(docs: DataFrame, slot_map: SlotMap) -> DataFrame:
     """``docs`` with ``virtual_slot`` and ``shard``; the map has a fixed number of rows and is broadcast.
 
@@ -97,13 +124,15 @@ def assign(docs: DataFrame, slot_map: SlotMap) -> DataFrame:
 def numbered(rows: DataFrame, order: list) -> DataFrame:
     """``rows`` (from :func:`assign`) with ``slot``, their place in the shard, gapless from 0.
 
-    Rows are numbered within their virtual slot and a part of it by the text's checksum, and each part
-    starts where the parts before it in the shard end.
+    Rows are written once with a part of their virtual slot, by where they were read, so that repeated rows
+    and keys are dealt as well; they are numbered by ``order`` within a part, and each part starts where those
+    before it in the shard end. A column ``slot`` is replaced, others stay.
     """
-    part = ["virtual_slot", "slot_part"]
-    rows = rows.withColumn("slot_part", F.pmod(F.xxhash64("text_crc32"), F.lit(4)).cast("int"))
-    counts = rows.groupBy("shard", *part).agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("shard").orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("begin", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n", "shard")
-    place = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
-    return rows.withColumn("place", place).join(F.broadcast(starts), part).withColumn("slot", (F.col("begin") + F.col("place")).cast("bigint")).drop("place", "begin", "slot_part")
+    part, begin, place = (fresh(rows, f"slot_{c}") for c in ("part", "begin", "place"))
+    rows = saved(rows.drop("slot").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")))
+    by = ["virtual_slot", part]
+    counts = rows.groupBy("shard", *by).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("shard").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(begin))  # at most PARTS rows a slot
+    within = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return rows.withColumn(place, within).join(F.broadcast(starts), by).withColumn("slot", (F.col(begin) + F.col(place)).cast("bigint")).drop(place, begin, part)

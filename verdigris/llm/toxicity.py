@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.llm.labelled import held_out, sample
-from verdigris.llm.scratch import drop, saved
+from verdigris.llm.scratch import drop, fresh, saved
 
-#: At most so many labelled documents are learned from, into at most so many lexicon words and exceptions.
-SAMPLE_ROWS, LEXICON_WORDS, EXCEPTIONS = 20_000, 2_000, 2_000
+#: At most so many labelled documents are learned from.
+SAMPLE_ROWS = 20_000
 
 # Letters of other scripts that look like Latin ones, and signs used in place of letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнαορντικυ", "aeopcyxijsdhkmtbhaopvtiku")
@@ -102,12 +104,19 @@ def matches(automaton, text: str) -> tuple[float, int]:
         weight = kinds.get("stem" if inside else "word")
         if weight is not None and weight > found.get(a, (0, 0.0))[1]:
             found[a] = (b, weight)
-    kept = [w for a, (b, w) in found.items() if not any(x <= a and b <= y for x, y in spared)]
+    # phrases by their starts, with the furthest end so far: whether one of them holds a place is one look-up
+    spared.sort()
+    starts, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+    kept = [w for a, (b, w) in found.items() if not (i := bisect_right(starts, a)) or ends[i - 1] < b]
     return sum(kept), len(kept)
 
 
 def measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``tox_weight``, ``tox_density`` (for the square root of the words) and ``tox_matches``."""
+    """Columns ``keep`` of ``docs`` with ``tox_weight``, ``tox_density`` (for the square root of the words) and ``tox_matches``.
+
+    Columns of these names are replaced.
+    """
+    keep = [c for c in keep if c.lower() not in ("tox_weight", "tox_density", "tox_matches")]
     out = T.StructType(list(docs.select(*keep).schema)).add("tox_weight", "double").add("tox_density", "double").add("tox_matches", "long")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +131,7 @@ def measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
             arrays = [pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.float64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "tox_weight", "tox_density", "tox_matches"])
 
-    return docs.select(*keep, F.col("text").alias("tox_text")).mapInArrow(run, out)
+    return docs.select(*keep, F.col("text").cast("string").alias(fresh(docs, "tox_text"))).mapInArrow(run, out)
 
 
 def _counted(seen: DataFrame, lexicon: Lexicon | None) -> DataFrame:
@@ -178,6 +187,8 @@ def _needed(seen: DataFrame, ranked: list[tuple[str, float]], least: int = 2, en
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, support: int = 3) -> Lexicon:
     """Learn from at most ``rows`` labelled documents; only their text is used.
 
+    All words of these documents that are strong enough are candidates of the lexicon, and all phrases that are
+    usual enough are exceptions: their number is bounded by that of the documents alone.
     With one label among them the curve is flat at that label, with none at 0.5.
     """
     chosen = F.broadcast(sample(labels, label, rows))  # at most ``rows`` rows
@@ -189,10 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
             return Lexicon((), (), (50.0 * (2 * at - 1), 0.0, 0.0))
         odds = F.log((F.col("toxic") + 0.1) / (n[1.0] + 0.2)) - F.log((F.col("clean") + 0.1) / (n[0.0] + 0.2))
         rare = _counted(seen, None).filter(F.col("toxic") >= support).withColumn("weight", odds).filter("weight > 2.5")
-        ranked = rare.orderBy(F.desc("weight"), F.length("item"), "item").limit(LEXICON_WORDS).collect()
+        ranked = rare.orderBy(F.desc("weight"), F.length("item"), "item").collect()  # of the sample
         lexicon = Lexicon(tuple(_needed(seen, [(r["item"], round(r["weight"], 4)) for r in ranked])))
         usual = _counted(seen, lexicon).filter((F.col("clean") >= support) & (F.col("clean") > 4 * F.col("toxic")))
-        lexicon = Lexicon(lexicon.words, tuple(r["item"] for r in usual.orderBy(F.desc("clean"), "item").limit(EXCEPTIONS).collect()))
+        lexicon = Lexicon(lexicon.words, tuple(r["item"] for r in usual.orderBy(F.desc("clean"), "item").collect()))
         data = measure(seen, lexicon, ["label"]).select("label", array_to_vector(F.array("tox_weight", "tox_density")).alias("features"))
         measured = saved(data)
         model = LogisticRegression(regParam=0.001, maxIter=60).fit(measured)
