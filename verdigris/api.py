@@ -62,7 +62,11 @@ class Engine:
 
     def record_reports(self, run_id: str, files: DataFrame) -> None:
         """All test reports among ``files (doc, filename, content)``; files of no format are left out."""
-        self.record_tests(run_id, events(formats.test_cases(files, self.formats)))
+        known = self.formats.detect(files).persist()  # read once, for all formats
+        try:
+            self.record_tests(run_id, events(formats.test_cases(known, self.formats)))
+        finally:
+            known.unpersist()
 
     def record_coverage(self, run_id: str, content: str, filename: str) -> DataFrame:
         got = self.parse_coverage(content, filename)

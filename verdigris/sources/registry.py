@@ -61,9 +61,12 @@ def read_files(spark: SparkSession, root: str, patterns: tuple[str, ...] | None
 
 
 def parse(files: DataFrame, registry: Registry | None = None) -> dict[str, TestReports | CoverageReports]:
-    """Each detected format's reader over its own files; files of no format are left out."""
+    """Each detected format's reader over its own files; files of no format are left out.
+
+    ``files`` may have been through :meth:`Registry.detect` already, and be persisted, as each reader reads them.
+    """
     registry = registry or with_defaults()
-    known = registry.detect(files)
+    known = files if "format" in files.columns else registry.detect(files)
     return {f.id: f.read(known.filter(F.col("format.id") == f.id).select("doc", "content")) for f in registry.formats}
 
 
