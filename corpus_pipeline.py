@@ -1,4 +1,8 @@
-"""A training corpus from documents: each stage works on all that the one before it kept."""
+"""A training corpus from documents: each stage works on all that the one before it kept.
+
+Stages take rows with nulls in any column, repeated rows, empty and very long texts and further columns of any
+name, which come out unchanged; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +15,32 @@ from verdigris.llm.scratch import saved
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Texts alone decide: null and empty ones are judged as empty
+    texts, repeated rows alike, and null ids are no matter. Without labels every document stays."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays, that with the smallest id."""
+    """One row of each group of near duplicates stays, that with the smallest id; null ids come last. Texts
+    without words are no duplicates of one another, so all of their rows stay."""
     return jaccard.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that stand in two places go; other texts stay as they are."""
+    """Words of passages that stand in two places go, and ``n_chars`` follows; other texts stay as they are.
+    A text that loses all its words is empty, a null text becomes an empty one, and no row goes."""
     text = passages.remove(docs, rejoin=False).withColumnRenamed("kept_text", "text")
     return text.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources come near their target words."""
+    """Documents repeated so that sources come near their target words. A null source is a source; rows that
+    agree in id and text are repeated alike, and those of a source without words go."""
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths."""
+    """Token sequences of power-of-two lengths; a null or empty text gives its end id alone."""
     return packing.decompose(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
