@@ -58,3 +58,13 @@ def test_mix_repeats_rows_and_agrees_with_itself(docs, clashing, empty):
     assert mixing.mix(clashing).columns == clashing.columns
     assert mixing.mix(empty).count() == 0
     assert mixing.plan(docs.filter("text is null")).first()["mix_copies"] == 0
+
+
+def test_own_columns_stay(docs):
+    names = ("mix_size", "mix_key", "mix_rate", "mix_turn", "mix_source", "mix_copies", "size", "rate")
+    own = docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    got = mixing.mix(own)
+    assert got.columns == own.columns and got.filter(" OR ".join(f"{n} <> 'own {n}'" for n in names)).count() == 0
+    assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, mixing.mix(docs).collect()))
+    planned = mixing.plan(own)
+    assert planned.filter("mix_key = 'own mix_key'").count() == docs.count() and dict(planned.dtypes)["mix_size"] == "bigint"

@@ -46,3 +46,43 @@ def test_odd_tables(docs, clashing, empty):
     assert {r["query_id"] for r in got} == {43} and {r["doc_id"] for r in got} == {43, 44}
     assert search.top_k(empty, queries).count() == 0
     assert search.top_k(docs, queries.limit(0)).count() == 0
+
+
+def test_blocks_of_queries_and_carried_bounds_change_nothing(spark, docs):
+    """Many blocks of queries, many shards to a task, or all at once: the same rows."""
+    queries = docs.filter("doc_id % 7 = 0").selectExpr("doc_id AS query_id", "text")
+    key = lambda df: sorted((r["query_id"], r["rank"], str(r["doc_id"]), r["score"]) for r in df.collect())
+    whole = key(search.top_k(docs, queries, 4))
+    assert whole == key(search.top_k(docs, queries, 4, shard_bytes=500, tasks=1))
+    assert whole == key(search.top_k(docs, queries, 4, shard_bytes=2000, query_bytes=3000, tasks=3))
+
+
+def test_pruning_keeps_the_best(monkeypatch):
+    """One shard after another against scores of all documents, with bounds that prune."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    words = [f"w{i}".encode() for i in range(300)]
+    texts = [b" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(300)], k=r.randrange(1, 60))) for _ in range(900)]
+    monkeypatch.setattr(search, "BLOCK", 8)
+    whole = search.Shard(texts, 30.0)
+    parts = [search.Shard(texts[a : a + 150], 30.0) for a in range(0, 900, 150)]
+    for _ in range(40):
+        terms, _ = search._terms([b" ".join(r.sample(words, 12))])
+        terms = np.unique(terms)
+        weights = np.array([r.uniform(0.1, 6) for _ in terms])
+        at = np.searchsorted(whole.terms, terms)
+        at[at == len(whole.terms)] = 0
+        known = whole.terms[at] == terms
+        whole.weight[at[known]] = weights[known]
+        scores = np.zeros(900)
+        scores[whole.order] = whole._scores(np.arange(900))
+        whole.weight[:] = 0
+        want = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if s > 0))[:5]
+        best = search._Best(1, 5)
+        for p, shard in enumerate(parts):
+            found, got = shard.top(terms, weights, 5, best.least[0])
+            best.add(0, got, np.zeros(len(found), bool), found + 150 * p)
+        assert [(-s, i) for s, _, i in zip(*(x.tolist() for x in best.held[0]), strict=True)] == want

@@ -50,3 +50,26 @@ def test_places_are_gapless_and_ids_decide(docs, clashing, empty):
     assert placed(clashing).count() == len(rows) and placed(empty).count() == 0
     stats = sharding.slot_stats(docs).agg(F.sum("rows"), F.sum("bytes")).first()
     assert tuple(stats) == (len(rows), sum(len((r["text"] or "").encode()) + 1 for r in docs.collect()))
+
+
+def test_maps_are_made_from_sums_and_edited_in_the_store(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    first = sharding.published(docs, path, 4, 64)
+    assert first == SlotMap.even(4, 64)
+    held = spark.read.parquet(path).agg(F.sum("rows"), F.sum("bytes"), F.count("*")).first()
+    assert tuple(held) == (docs.count(), sum(len((r["text"] or "").encode()) + 1 for r in docs.collect()), 64)
+    grown = sharding.edited(spark, path, lambda last, _: last.grown())
+    even = sharding.edited(spark, path, lambda last, sizes: last.rebalanced(sizes))
+    assert (grown.version, even.version, even.count) == (2, 3, 5)
+    loads = lambda m: [r["b"] for r in sharding.assign(docs, m).groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).collect()]
+    assert max(loads(even)) <= max(loads(grown))
+    assert SlotMap.load(spark, path, 1) == first and SlotMap.load(spark, path) == even
+
+
+def test_repeated_rows_and_clashing_names_are_numbered(spark):
+    rows = spark.createDataFrame([(7, "same", "own")] * 500 + [(None, None, "own")] * 40, "doc_id bigint, text string, slot_part string").withColumn("text_crc32", F.lit(1))
+    got = sharding.numbered(sharding.assign(rows, SlotMap.even(3)), ["doc_id"]).collect()
+    assert all(r["slot_part"] == "own" for r in got)
+    for shard in {r["shard"] for r in got}:
+        places = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert places == list(range(len(places)))

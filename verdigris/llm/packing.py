@@ -137,6 +137,9 @@ def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: in
 
 
 def write_buckets(pieces: DataFrame, path: str, seed: int = 0) -> None:
-    """Write pieces for training: one folder for each length, rows within it in hashed order."""
+    """Write pieces for training: one folder for each length, rows within it in hashed order.
+
+    Every row is written once, repeated ones and those with null ids as well; an empty table makes no folder.
+    """
     mixed = F.xxhash64(F.lit(seed), "doc_id", "start")
     pieces.withColumn("turn", mixed).sortWithinPartitions("bucket", "turn").write.partitionBy("bucket").parquet(path)

@@ -25,7 +25,7 @@ from verdigris.llm.text import as_bytes, batches, hashed, signed
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Bytes of text in a shard; bytes of terms and weights of the queries that tasks hold at once.
-SHARD_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
+SHARD_BYTES, QUERY_BYTES = 16 << 20, 32 << 20
 #: Bounds are sums of floats in another order than scores: they are held to be so much larger.
 SLACK = 1 - 1e-9
 
