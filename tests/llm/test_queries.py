@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from verdigris.llm import queries
 from tests.llm.test_passages import brute as passages_brute
 from tests.llm.test_passages import words
+from tests.llm.test_search import brute as ranked
 
 
 @pytest.fixture(scope="module")
@@ -108,7 +109,9 @@ def test_op3_mixing(spark, tables):
             left -= want[s]
             open_.remove(s)
     assert all(abs(target[s] - want[s]) < 1e-6 for s in order)
-    assert all(abs(taken[s] - target[s]) < 0.1 * target[s] + 130 for s in order)
+    # documents are taken whole, so a source may miss its target by its largest one
+    largest = {s: max(got[i]["size"] for i, _, x in tables[1] if x == s) for s in order}
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in order)
     assert got == {r["doc_id"]: r for r in rows_of(spark, "op3_mixing", tables)}
 
 
@@ -120,8 +123,10 @@ def test_op7_substring_dedup(spark, tables):
 
 def test_op9_top_k(spark, tables):
     got = rows_of(spark, "op9_top_k", tables)
-    assert {r["query_id"] for r in got} == {0, 50}
-    assert all(r["doc_id"] == r["query_id"] for r in got if r["rank"] == 1)
+    rows = [(i, t) for i, t, _ in tables[1]]
+    want = ranked(rows, [x for x in rows if x[0] % 50 == 0], 10)
+    assert sorted((r["query_id"], r["rank"], round(r["score"], 6)) for r in got) == sorted((q, n, round(x, 6)) for q, n, _, x in want)
+    assert len({(r["query_id"], r["doc_id"]) for r in got} ^ {(q, d) for q, _, d, _ in want}) <= 2  # scores equal but for the last digit may swap
 
 
 def test_op10_slots(spark, tables):

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.text import as_bytes, hashed, ngrams, signed
+from verdigris.llm.text import as_bytes, hashed, ngrams, signed, trim
 
 #: Bytes of text in a bucket, about.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 
 
 class _Bucket:
@@ -218,12 +218,14 @@ def remove(docs: DataFrame, window: int = 35, rejoin: bool = True, bucket_bytes:
 
     def passages(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
         found = list(_Bucket(_texts(table), window).served(_hashes(asked), asked.column("dup_bucket").to_numpy())) if asked.num_rows else []
+        trim()
         return pa.table({"dup_bucket": pa.array([x for x, _ in found], pa.int64()), "passage": pa.array([x for _, x in found], pa.binary())})
 
     def result(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         texts = _texts(table)
         b = _Bucket(texts, window)
         gone = b.covered(told.column("passage").to_pylist())
+        trim()
         removed = np.concatenate([[0], np.cumsum(gone)])
         removed = removed[b.first[1:]] - removed[b.first[:-1]]
         kept = []

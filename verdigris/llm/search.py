@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.licences import _CLEAN
 from verdigris.llm.scratch import drop, saved
-from verdigris.llm.text import as_bytes, batches, hashed, signed
+from verdigris.llm.text import as_bytes, batches, hashed, signed, trim
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -256,6 +256,7 @@ def _searching(sent, mean: float, k: int, shard_bytes: int):
                     texts, ids, size = [], [], 0
         if texts:
             search()
+        trim()
         of = pa.array(np.repeat(np.arange(len(query_ids)), [len(h[0]) for h in best.held]), pa.int64())
         scores, null, found = (np.concatenate([h[i] for h in best.held]) if best.held else np.zeros(0) for i in range(3))
         yield pa.RecordBatch.from_arrays([query_ids.take(of), keys.take(of), pa.array(found.astype(np.int64), mask=null.astype(bool)), pa.array(scores, pa.float64())], ["query_id", "q_key", "doc_id", "score"])
