@@ -111,8 +111,12 @@ class Shard:
             entries, which = _ranges(self.block_first[t[:pivot]], self.block_last[t[:pivot]])
             most = np.bincount(self.block[entries], w[:pivot][which] * self.block_most[entries], -(-self.docs // BLOCK))
             found = found[part[found] + most[found // BLOCK] >= least * SLACK]
-        elif len(found) > k:
-            found = found[part[found] >= np.partition(part[found], -k)[-k] * SLACK]
+            if (self.doc_first[found + 1] - self.doc_first[found]).sum() > (self.last - self.first)[t[:pivot]].sum():
+                # many are left: the other lists add what they have before scores are summed by document
+                part += self._added(t[:pivot], w[:pivot])
+                pivot = 0
+        if not pivot and len(found) > k:
+            found = found[part[found] >= max(least, np.partition(part[found], -k)[-k]) * SLACK]
         scores = self._scores(found)
         self.weight[t] = 0
         good = scores >= least
