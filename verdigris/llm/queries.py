@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import jaccard, licences, linerules, mixing, packing, passages, quality, scratch, search, sharding, toxicity
+from verdigris.llm import alignment, jaccard, licences, linerules, mixing, packing, passages, quality, scratch, search, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,12 @@ def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(grown), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op9_top_k, op10_slots)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op9_top_k, op10_slots, op11_alignment)}
 
 #: Words of a text, of a line or lower-cased; a document's id is taken to be unique.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
