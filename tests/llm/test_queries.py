@@ -11,7 +11,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm import queries
+from verdigris.llm import lattice, queries
+from tests.llm.test_alignment import brute as aligned
+from tests.llm.test_lattice import brute as scored
+from tests.llm.test_lattice import near
 from tests.llm.test_passages import brute as passages_brute
 from tests.llm.test_passages import words
 from tests.llm.test_search import brute as ranked
@@ -35,6 +38,7 @@ def tables(spark, tmp_path_factory):
     docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(i >= 60), int(i % 9 == 0)) for i, _, _ in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(i, rows[i * 7][1]) for i in range(12)] + [(12, "ka-LO nowhere"), (13, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return path, rows
 
 
@@ -47,7 +51,8 @@ def test_sql_gives_the_same_rows(spark, tables, name):
     got = queries.QUERIES[name](spark, tables[0])
     cols = sorted(got.columns)
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables[0]}/documents.parquet/*.parquet'")
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tables[0]}/{table}.parquet/*.parquet'")
     want = db.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(want, key=str)
 
@@ -145,3 +150,16 @@ def test_fewer_rows_go_to_the_same_shards(spark, tables, tmp_path):
     spark.read.parquet(f"{tables[0]}/documents.parquet").filter(F.col("doc_id") % 2 == 0).write.parquet(f"{half}/documents.parquet")
     where = {r["doc_id"]: r["shard"] for r in rows_of(spark, "op10_slots", tables)}
     assert all(where[r["doc_id"]] == r["shard"] for r in queries.QUERIES["op10_slots"](spark, half).collect())
+
+
+def test_op11_alignment(spark, tables):
+    got = {r["doc_id"]: tuple(r)[1:] for r in rows_of(spark, "op11_alignment", tables)}
+    want = aligned([t for _, t, _ in tables[1]])
+    assert got == {i: (*x[:-1], hashlib.sha256(x[-1].encode()).hexdigest() if x[-1] else "") for (i, _, _), x in zip(tables[1], want, strict=True)}
+
+
+def test_op12_lattice(spark, tables):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    weights = lattice.fit(lattice.count_words(docs), path)
+    near(map(tuple, rows_of(spark, "op12_lattice", tables)), scored([(i, t) for i, t, _ in tables[1]], weights, lattice.vocabulary(path)))

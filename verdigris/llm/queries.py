@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import alignment, jaccard, licences, linerules, mixing, packing, passages, quality, scratch, search, sharding, toxicity
+from verdigris.llm import alignment, jaccard, lattice, licences, linerules, mixing, packing, passages, quality, ranking, scratch, search, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,12 +70,23 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op9_top_k, op10_slots, op11_alignment)}
+def op12_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_licences, op5_toxicity, op6_line_rules, op7_substring_dedup, op8_jaccard_join, op9_top_k, op10_slots, op11_alignment, op12_lattice, op13_ranking)}
 
 #: Words of a text, of a line or lower-cased; a document's id is taken to be unique.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLES: dict[str, str] = {
     "op6_line_rules": f"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -118,4 +129,16 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL""",
+    "op13_ranking": f"""
+        WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_TERM}) AS w FROM documents),
+        d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+        g AS (SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS length FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_TERM})) AS term FROM benchmark),
+        p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        f AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+        s AS (
+            SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * documents) // length))))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN f USING (term), g GROUP BY item_id, r, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }
