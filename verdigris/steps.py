@@ -1,0 +1,69 @@
+"""Tables written between two steps, in the folder all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Sessions of the tables written and not dropped yet, by path.
+_written: dict[str, SparkSession] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a temporary folder on one machine; a cluster needs a folder that all executors share.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="verdigris-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def place(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, deleted at exit."""
+    path = f"{folder(spark)}/step-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; cuts its lineage."""
+    spark = df.sparkSession
+    path = place(spark)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`saved` that no later step reads."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch_path)
+
+
+def release() -> None:
+    """Delete all tables made so far, when what was computed from them is written elsewhere."""
+    for path, spark in list(_written.items()):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
+
+
+@atexit.register
+def _clean() -> None:
+    try:
+        release()
+    except Exception:  # the session has ended already
+        return
