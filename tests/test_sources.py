@@ -1,9 +1,11 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.sources import coverage, detect, json_tests, xml_tests
+from verdigris.sources import coverage, detect, json_tests, keys, xml, xml_tests
 from verdigris.sources.registry import DEFAULT, with_defaults
 from verdigris.sources.reports import events, with_percentages
 
@@ -190,6 +192,71 @@ def test_registry_ties(spark):
         with_defaults().register(DEFAULT[0])
 
 
+def walked(text, depth, first_object):
+    """Keys of a text one character at a time."""
+    at, level, key, found = 0, 0, False, []
+    while at < len(text):
+        c, start = text[at], at
+        at += 1
+        if c == '"':
+            while at < len(text) and text[at] != '"':
+                at += 2 if text[at] == "\\" else 1
+            if level == depth:
+                if key:
+                    found.append(text[start + 1 : at])
+                key = False
+            at += 1
+        elif c in "{[":
+            level += 1
+            key = c == "{" if level == depth else key
+        elif c in "}]":
+            level = max(0, level - 1)
+            if first_object and level == 0:
+                return found
+        elif c == "," and level == depth:
+            key = True
+    return found
+
+
+def test_keys_of_any_text():
+    """Malformed texts too: random runs of the characters that matter."""
+    r = random.Random(4)
+    for _ in range(3000):
+        text = "".join(r.choices(['"', "\\", "{", "}", "[", "]", ",", "a", ":", "é"], weights=[6, 2, 4, 2, 2, 2, 3, 3, 2, 1], k=r.randrange(0, 40)))
+        for depth in (1, 2, 3):
+            for first in (False, True):
+                assert keys.keys(text.encode(), depth, first) == walked(text, depth, first), (text, depth, first)
+
+
+def test_many_raw_sections_take_linear_time(spark):
+    """A section goes to the elements whose text is kept, not to all around it."""
+    took = []
+    for n in (500, 4000):
+        text = "<testsuites><testsuite name='s'><system-out>" + f"<![CDATA[{'x' * 2000}]]>" * n + "</system-out><testcase name='a'/></testsuite></testsuites>"
+        out = xml._Buffers()
+        began = time.process_time()
+        xml._read("d", text, xml.Asked(frozenset({"testcase"}), frozenset({"testcase"}), frozenset({"testsuite"}), frozenset({"failure"}), False), out)
+        took.append(time.process_time() - began)
+        assert out.batch().num_rows == 2
+    assert took[1] < 40 * max(took[0], 0.001)
+
+
+def test_playwright_suites_of_any_depth(spark):
+    """One job, whatever the depth: suites three hundred deep beside flat ones."""
+    suite = {"title": "end", "specs": [{"title": "t", "id": "s", "tests": [{"status": "expected"}]}]}
+    for i in range(300):
+        suite = {"title": f"n{i}", "suites": [suite]}
+    text = json.dumps({"config": {}, "suites": [suite, {"title": 7, "specs": [{"title": "u", "tests": [{"status": "skipped"}]}, None], "suites": None}, None], "stats": {}})
+    tracker, group = spark.sparkContext.statusTracker(), "suites of any depth"
+    table = docs(spark, text)
+    spark.sparkContext.setJobGroup(group, group)
+    got = json_tests.playwright(table)
+    assert len(tracker.getJobIdsForGroup(group)) == 0
+    names = [r["full_name"] for r in cases(got)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert names[0].startswith("n299 > n298") and names[0].endswith("n0 > end > t") and names[1] == "7 > u"
+
+
 def test_keys(spark):
     at = lambda text, depth: spark.range(1).select(detect.keys_at_depth(F.lit(text), depth)).first()[0]
     top = lambda text: spark.range(1).select(detect.top_keys(F.lit(text))).first()[0]

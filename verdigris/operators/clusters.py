@@ -93,22 +93,24 @@ def assign(found: DataFrame, block: int = BLOCK) -> DataFrame:
     open_ = saved(_measured(keyed.drop("run_id").withColumnRenamed("run", "run_id").filter("pattern <> ''")))
     settled = found.filter("pattern = ''").select("run_id", "pattern", "first", F.col("pattern").alias("leader"), F.col("first").alias("leads"))
     order = Window.partitionBy("run_id").orderBy("first")
-    left = open_.count()
-    while left:
-        heads = saved(open_.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= block).drop("turn"))
-        new = saved(heads.join(block_leaders(heads), ["run_id", "first"], "left_semi"))
+    kept = [F.col(f"a.{c}") for c in open_.columns]
+    while most := open_.groupBy("run_id").count().agg(F.max("count")).first()[0]:
+        last = most <= block
+        heads = open_ if last else saved(open_.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= block).drop("turn"))
+        new = heads.join(block_leaders(heads), ["run_id", "first"], "left_semi")
+        new = new if last else saved(new)
         a, b = open_.alias("a"), _beside(new).alias("b")
         met = a.join(b, (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("b.first") <= F.col("a.first")) & _near("a", "b"), "left")
         best = F.min(F.when(F.col("b.first").isNotNull(), F.struct(F.col("b.first").alias("leads"), F.col("b.pattern").alias("leader")))).alias("best")
-        kept = [F.col(f"a.{c}") for c in open_.columns]
-        done = saved(met.groupBy(*kept).agg(best))
-        counts = heads.agg(F.count("*")).first()[0], new.agg(F.count("*")).first()[0]
+        done = met.groupBy(*kept).agg(best)
+        done = done if last else saved(done)
         settled = settled.union(done.filter("best is not null").select("run_id.run_id", "pattern", "first", "best.leader", "best.leads"))
+        if last:  # the block was all that was open
+            break
+        if 2 * new.count() > heads.count():
+            block = min(2 * block, LARGEST_BLOCK)
         drop(heads, new)
         open_ = done.filter("best is null").drop("best")
-        left = open_.count()
-        if 2 * counts[1] > counts[0]:
-            block = min(2 * block, LARGEST_BLOCK)
     return settled
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import condition_counts, strip_bom
 from verdigris.sources.reports import COUNTS, KINDS, CoverageReports, totals
-from verdigris.sources.xml import attr, attr_within, elements, number, only, owner, parent_tag, within
+from verdigris.sources.xml import attr, attr_within, elements, number, only, owner, within
 
 #: LCOV's counters by what they count.
 LCOV_COUNTERS = {"lines_covered": "LH", "lines_total": "LF", "branches_covered": "BRH", "branches_total": "BRF", "functions_covered": "FNH", "functions_total": "FNF"}
@@ -46,7 +46,7 @@ def lcov(docs: DataFrame) -> CoverageReports:
 
 def cobertura(docs: DataFrame) -> CoverageReports:
     """Cobertura: classes merged by file name; files without lines outside methods are left out."""
-    rows = elements(docs, "class")
+    rows = elements(docs, "coverage", "line", "method", near=("methods",), carried=("class",))
     in_methods = within("methods").isNotNull()
     line, method = (F.col("tag") == "line") & ~in_methods, (F.col("tag") == "method") & in_methods
     hits = F.coalesce(number("hits"), F.lit(0)) > 0
@@ -78,7 +78,7 @@ def _counters(when: Column) -> list[Column]:
 
 def jacoco(docs: DataFrame) -> CoverageReports:
     """JaCoCo: source files; without any, classes merged by their source file. The report's own counters win."""
-    rows = elements(docs, "package")
+    rows = elements(docs, "report", "sourcefile", "class", "counter", near=("sourcefile", "class"), carried=("package",))
     counter = F.col("tag") == "counter"
     kind = F.when(owner("sourcefile").isNotNull(), "sourcefile").when(owner("class").isNotNull(), "class")
     owned = rows.filter(counter | F.col("tag").isin("sourcefile", "class")).withColumn("kind", kind).filter("kind is not null").withColumn("owner", F.coalesce(owner("sourcefile"), owner("class")))
@@ -93,13 +93,13 @@ def jacoco(docs: DataFrame) -> CoverageReports:
     # a source file stands for itself, classes of one file are one
     alone = F.when(F.col("kind") == "sourcefile", F.col("owner"))
     files = each.filter((F.col("kind") == "sourcefile") == F.col("sourced")).groupBy("doc", "path", alone.alias("alone")).agg(F.min("owner").alias("pos"), *[F.sum(c).alias(c) for c in COUNTS]).select("doc", "pos", "path", *COUNTS)
-    tops = rows.filter(counter & (parent_tag() == "report")).groupBy("doc").agg(*_counters(counter)).filter("lines_total > 0 OR branches_total > 0")
+    tops = rows.filter(counter & (F.col("parent") == "report")).groupBy("doc").agg(*_counters(counter)).filter("lines_total > 0 OR branches_total > 0")
     return CoverageReports(files, _reports(docs, "jacoco", totals(files), tops, rows.filter("tag = 'report'"), "No report element found in JaCoCo XML"))
 
 
 def clover(docs: DataFrame) -> CoverageReports:
     """Clover: a file's first metrics win over its lines; project metrics ahead of packages and files are the totals."""
-    rows = elements(docs)
+    rows = elements(docs, "coverage", "package", "file", "line", "metrics", near=("file",))
     value = lambda name: F.coalesce(number(name), F.lit(0))
     measures = {
         "lines_covered": value("coveredstatements"), "lines_total": F.coalesce(number("statements"), number("ncloc"), number("loc"), F.lit(0)),
@@ -120,7 +120,7 @@ def clover(docs: DataFrame) -> CoverageReports:
     both = inner.groupBy("doc", "file").agg(only("file", path).alias("path"), F.min_by(measured, F.when(F.col("tag") == "metrics", F.col("id"))).alias("m"), F.count_if(known).alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(c) for c, v in sums.items()])
     files = both.filter("path is not null AND (m is not null OR n > 0)").select("doc", F.col("file").alias("pos"), "path", *[F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(c)).cast("bigint").alias(c) for c in COUNTS])
     begun = rows.filter(F.col("tag").isin("package", "file")).groupBy("doc").agg(F.min("id").alias("begun"))
-    metrics = rows.filter((F.col("tag") == "metrics") & (parent_tag() == "project")).select("doc", "id", measured.alias("m"))
+    metrics = rows.filter((F.col("tag") == "metrics") & (F.col("parent") == "project")).select("doc", "id", measured.alias("m"))
     early = metrics.join(begun, "doc", "left").filter("begun is null OR id < begun").groupBy("doc").agg(F.max_by("m", "id").alias("m"))
     own = early.select("doc", "m.*").filter("lines_total > 0 OR functions_total > 0")
     return CoverageReports(files, _reports(docs, "clover", totals(files), own, rows.filter("tag = 'coverage'"), "No coverage element found in Clover XML"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.sources.keys import scanned
+
 #: The score that wins at once, and the least that counts.
 CERTAIN, LEAST = 100, 50
 
@@ -26,35 +28,20 @@ def _score(*cases: tuple[Column, int]) -> Column:
     return out.otherwise(0)
 
 
-def _scanned(text: Column, depth: int, first_object: bool = False) -> Column:
-    """Keys at a depth of braces and brackets, of any text: strings that follow a brace or a comma there.
-
-    With ``first_object`` the scan ends where the first bracket closes.
-    """
-    tokens = F.regexp_extract_all(text, F.lit(r'''(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}\[\],]'''), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("key"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("found"))
-
-    def step(state: Column, token: Column) -> Column:
-        opens, closes, here = token.isin("{", "["), token.isin("}", "]"), state["depth"] == depth
-        now = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
-        word = token.startswith('"') & here
-        key = F.when(opens & (now == depth), token == "{").when(here & (token == ","), True).when(word, False).otherwise(state["key"])
-        done = state["done"] | (closes & (now == 0)) if first_object else state["done"]
-        found = F.when(word & state["key"] & ~state["done"], F.array_append(state["found"], F.regexp_replace(token, '^"|"$', ""))).otherwise(state["found"])
-        return F.struct(now.alias("depth"), key.alias("key"), done.alias("done"), found.alias("found"))
-
-    return F.aggregate(tokens, start, step, lambda state: state["found"])
-
-
 def top_keys(text: Column) -> Column:
     """Keys of the outer JSON object; of malformed text, those that a scan of its first object finds."""
-    loose = F.when(F.ltrim(F.regexp_replace(text, r"^[\t\n\r ]+", "")).startswith("{"), _scanned(text, 1, True))
-    return F.coalesce(F.json_object_keys(text), loose, F.array().cast("array<string>"))
+    return F.coalesce(F.json_object_keys(text), scanned(text)["top"], F.array().cast("array<string>"))
 
 
 def keys_at_depth(text: Column, depth: int) -> Column:
     """Keys of JSON objects at a depth; objects in arrays are one deeper, depth 0 has none."""
-    return _scanned(text, depth) if depth > 0 else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    return F.coalesce(scanned(text, depth)["deep"], none) if depth > 0 else none
+
+
+def _json(text: Column, name: Column) -> Column:
+    """The text of a file named as JSON, which alone is scanned for keys."""
+    return F.when(name.endswith(".json"), text)
 
 
 def _all_keys(text: Column, *keys: str) -> Column:
@@ -70,17 +57,18 @@ def junit(t: Column, name: Column) -> Column:
 
 
 def jest(t: Column, name: Column) -> Column:
-    return _score((name.endswith(".json") & _all_keys(t, "numTotalTests", "testResults", "success"), 90))
+    return _score((_all_keys(_json(t, name), "numTotalTests", "testResults", "success"), 90))
 
 
 def playwright(t: Column, name: Column) -> Column:
-    return _score((name.endswith(".json") & _all_keys(t, "config", "suites", "stats"), 90))
+    return _score((_all_keys(_json(t, name), "config", "suites", "stats"), 90))
 
 
 def ctrf(t: Column, name: Column) -> Column:
+    t = _json(t, name)
     marked = _all_keys(t, "reportFormat") & t.contains('"CTRF"')
     shaped = _all_keys(t, "results") & F.array_contains(keys_at_depth(t, 2), "tests")
-    return F.when(name.endswith(".json"), _score((marked, 95), (shaped, 70))).otherwise(0)
+    return _score((marked, 95), (shaped, 70))
 
 
 def lcov(t: Column, name: Column) -> Column:

@@ -1,7 +1,14 @@
-"""Jest/Vitest, Playwright and CTRF readers: JSON schemas, explodes and window-free groupings."""
+"""Jest/Vitest, Playwright and CTRF readers: JSON schemas, explodes and window-free groupings.
+
+Suites of Playwright nest to any depth, which no schema says: one pass in Python walks them and gives their specs.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +18,16 @@ from verdigris.sources.reports import TestReports, case, report, summed
 JEST = "struct<numTotalTests: bigint, numPassedTests: bigint, numFailedTests: bigint, numPendingTests: bigint, numTodoTests: bigint, numTotalTestSuites: bigint, numPassedTestSuites: bigint, numFailedTestSuites: bigint, numPendingTestSuites: bigint, numRuntimeErrorTestSuites: bigint, startTime: double, success: boolean, wasInterrupted: boolean, openHandles: array<string>, snapshot: struct<total: bigint, matched: bigint, unmatched: bigint, updated: bigint>, testResults: array<struct<name: string, startTime: double, endTime: double, assertionResults: array<struct<fullName: string, title: string, status: string, duration: double, failureMessages: array<string>, location: struct<line: bigint>, meta: string, invocations: bigint, numPassingAsserts: bigint>>>>>"
 
 SPEC = "struct<title: string, id: string, file: string, line: bigint, tests: array<struct<projectName: string, status: string, results: array<struct<status: string, duration: double, retry: int, error: struct<message: string>, errors: array<struct<message: string>>>>>>>"
-SUITE = f"struct<title: string, file: string, specs: array<{SPEC}>, suites: array<string>>"
 PLAYWRIGHT = "struct<config: struct<projects: array<struct<id: string, name: string>>>, suites: array<string>, errors: array<struct<message: string>>, stats: struct<startTime: string, duration: double, expected: bigint, unexpected: bigint, flaky: bigint, skipped: bigint>>"
 
 CTRF = "struct<reportFormat: string, specVersion: string, results: struct<tool: struct<name: string, version: string>, summary: struct<tests: bigint, passed: bigint, failed: bigint, skipped: bigint, pending: bigint, other: bigint, flaky: bigint, start: double, stop: double, duration: double>, tests: array<struct<name: string, status: string, duration: double, id: string, suite: string, message: string, trace: string, filePath: string, line: bigint, retries: int, flaky: boolean>>>>"
 
 
+#: Specs in a record batch, about.
+BATCH = 5_000
+_ARROW_SPECS = pa.schema([("doc", pa.string()), ("path", pa.list_(pa.int32())), ("titles", pa.list_(pa.string())), ("spec", pa.string())])
+
+
 def _nothing(text: Column, empty: str = "") -> Column:
     return F.nullif(text, F.lit(empty))
 
@@ -46,34 +57,43 @@ def jest(docs: DataFrame) -> TestReports:
     return TestReports(cases, reports)
 
 
-def _suites(parsed: DataFrame) -> DataFrame:
-    """``doc, path, titles, suite``: suites at every depth, a level at a time until none is left.
+_SPECS = "doc string, path array<int>, titles array<string>, spec string"
 
-    ``path`` orders specs of a suite before its child suites.
-    """
-    level = parsed.select("doc", F.posexplode("r.suites").alias("i", "json")).select("doc", F.array("i").alias("path"), F.array().cast("array<string>").alias("titles"), F.from_json("json", SUITE).alias("suite"))
-    found = level
-    while True:
-        inner = level.select("doc", "path", _titled().alias("titles"), F.posexplode("suite.suites").alias("i", "json"))
-        level = inner.select("doc", F.concat("path", F.array(F.col("i") + 1)).alias("path"), "titles", F.from_json("json", SUITE).alias("suite"))
-        if level.isEmpty():
-            return found
-        found = found.union(level)
 
+def _walked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Specs of suites at every depth from ``doc, suites``, the latter a list of JSON texts.
 
-def _titled() -> Column:
-    """The titles above plus this suite's, unless it is empty or a path."""
-    title = F.col("suite.title")
-    plain = (F.coalesce(title, F.lit("")) != "") & ~title.contains("/") & ~title.contains("\\")
-    return F.when(plain, F.concat("titles", F.array(title))).otherwise(F.col("titles"))
+    Suites have the titles above them and their own, unless it is empty or a path. ``path`` orders the specs of a
+    suite ahead of its child suites.
+    """
+    many = lambda x: x if isinstance(x, list) else []
+    for batch in rows:
+        found: list[dict] = []
+        for doc, suites in zip(batch.column(0), batch.column(1), strict=True):
+            open_ = [((i,), (), json.loads(text)) for i, text in enumerate(suites.as_py() or ()) if text]
+            while open_:
+                path, titles, suite = open_.pop()
+                if not isinstance(suite, dict):
+                    continue
+                title = suite.get("title")
+                if title is not None and not isinstance(title, str):
+                    title = json.dumps(title)
+                if title and "/" not in title and "\\" not in title:
+                    titles = (*titles, title)
+                found += [{"doc": doc.as_py(), "path": [*path, 0, i], "titles": titles, "spec": json.dumps(spec)} for i, spec in enumerate(many(suite.get("specs")))]
+                open_ += [((*path, i + 1), titles, child) for i, child in enumerate(many(suite.get("suites")))]
+            if len(found) >= BATCH:
+                yield pa.RecordBatch.from_pylist(found, schema=_ARROW_SPECS)
+                found = []
+        yield pa.RecordBatch.from_pylist(found, schema=_ARROW_SPECS)
 
 
 def playwright(docs: DataFrame) -> TestReports:
     """Playwright JSON: one case for each test of a spec, by its last result."""
     parsed = docs.select("doc", F.from_json("content", PLAYWRIGHT).alias("r"))
     many = parsed.select("doc", (F.size("r.config.projects") > 1).alias("many"))
-    specs = _suites(parsed).select("doc", "path", _titled().alias("titles"), F.posexplode("suite.specs").alias("i", "spec"))
-    tests = specs.select("doc", F.concat("path", F.array(F.lit(0), F.col("i"))).alias("path"), "titles", "spec", F.posexplode("spec.tests").alias("j", "t")).join(many, "doc")
+    specs = parsed.select(F.col("doc").cast("string"), "r.suites").mapInArrow(_walked, _SPECS).withColumn("spec", F.from_json("spec", SPEC))
+    tests = specs.select("doc", "path", "titles", "spec", F.posexplode("spec.tests").alias("j", "t")).join(many, "doc")
     last = F.when(F.size("t.results") > 0, F.element_at("t.results", -1))
     tests = tests.withColumn("last", last).withColumn("order", F.transform(F.concat("path", F.array("j")), lambda x: F.lpad(x.cast("string"), 10, "0")))
     status = F.when(F.col("t.status") == "expected", "passed").when((F.col("t.status") == "unexpected") & (F.col("last.status") == "timedOut"), "timedOut").when(F.col("t.status") == "unexpected", "failed").when(F.col("t.status") == "flaky", "flaky").otherwise("skipped")

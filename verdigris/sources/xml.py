@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -12,65 +13,159 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import strip
 
-_TOKEN = re.compile(r"""<!--.*?-->|<\?.*?\?>|<!\[CDATA\[(?P<raw>.*?)\]\]>|<![^>]*>|</\s*(?P<end>[^\s>]+)\s*>|<(?P<tag>[^\s/>!?]+)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>|(?P<text>[^<]+)""", re.S)
+#: Comments and instructions, raw text, end tags, start tags with attributes and all, text.
+_TOKEN = re.compile(r"""<!--.*?-->|<\?.*?\?>|<!\[CDATA\[(?P<raw>.*?)\]\]>|<![^>]*>|</\s*(?P<end>[^\s>]+)\s*>|<(?P<tag>[^\s/>!?]++)(?P<attrs>[^<>"']*+(?:(?:"[^"]*"|'[^']*')[^<>"']*+)*+)>|(?P<text>[^<]+)""", re.S)
 _ATTR = re.compile(r"""([^\s=]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 
 #: Elements in a record batch, about.
 BATCH = 5_000
 
-ELEMENTS = "doc string, id bigint, end bigint, depth int, tag string, attrs map<string,string>, text string, empty boolean, ancestors array<struct<id: bigint, tag: string, attrs: map<string,string>>>, fault string"
+ELEMENTS = "doc string, id bigint, end bigint, depth int, tag string, parent string, attrs map<string,string>, text string, empty boolean, ancestors array<struct<id: bigint, tag: string, attrs: map<string,string>>>, fault string"
 
-_ARROW = pa.schema([("doc", pa.string()), ("id", pa.int64()), ("end", pa.int64()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("empty", pa.bool_()), ("ancestors", pa.list_(pa.struct([("id", pa.int64()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))), ("fault", pa.string())])
+Attributes = list[tuple[str, str]]
 
 
-def _elements(doc: str, content: str, carried: frozenset[str]) -> Iterator[dict]:
-    """Elements in the order of their ends; those never closed come last without an end."""
-    open_: list[dict] = []
+def _attributes(written: str) -> Attributes:
+    """The first of each name; values keep their entities."""
+    found: dict[str, str] = {}
+    for name, a, b in _ATTR.findall(written):
+        found.setdefault(name, a or b)
+    return list(found.items())
+
+
+class _Maps:
+    """Buffers of a column of maps."""
+
+    def __init__(self):
+        self.offsets, self.names, self.values, self.null = [0], [], [], []
+
+    def add(self, pairs: Attributes | None) -> None:
+        for name, value in pairs or ():
+            self.names.append(name)
+            self.values.append(value)
+        self.offsets.append(len(self.names))
+        self.null.append(pairs is None)
+
+    def array(self) -> pa.MapArray:
+        offsets = [None if n else o for o, n in zip(self.offsets, self.null, strict=False)] + self.offsets[-1:]
+        return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
+
+
+class _Buffers:
+    """Elements by column, as they are closed."""
+
+    def __init__(self):
+        self.plain = [[] for _ in range(9)]
+        self.attrs, self.above = _Maps(), _Maps()
+        self.above_ids, self.above_tags, self.above_offsets = [], [], [0]
+
+    def add(self, doc, number, end, depth, tag, parent, attrs, text, empty, ancestors, fault=None) -> None:
+        for column, value in zip(self.plain, (doc, number, end, depth, tag, parent, text, empty, fault), strict=True):
+            column.append(value)
+        self.attrs.add(attrs)
+        for at, name, carried in ancestors:
+            self.above_ids.append(at)
+            self.above_tags.append(name)
+            self.above.add(carried)
+        self.above_offsets.append(len(self.above_ids))
+
+    def batch(self) -> pa.RecordBatch:
+        doc, number, end, depth, tag, parent, text, empty, fault = self.plain
+        strings = [pa.array(x, pa.string()) for x in (doc, tag, parent, text, fault)]
+        each = pa.StructArray.from_arrays([pa.array(self.above_ids, pa.int64()), pa.array(self.above_tags, pa.string()), self.above.array()], ["id", "tag", "attrs"])
+        ancestors = pa.ListArray.from_arrays(pa.array(self.above_offsets, pa.int32()), each)
+        columns = [strings[0], pa.array(number, pa.int64()), pa.array(end, pa.int64()), pa.array(depth, pa.int32()), strings[1], strings[2], self.attrs.array(), strings[3], pa.array(empty, pa.bool_()), ancestors, strings[4]]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "id", "end", "depth", "tag", "parent", "attrs", "text", "empty", "ancestors", "fault"])
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a reader asks for, by tag: elements that become rows, those named as ancestors, with attributes or
+    without, and those whose text is kept. ``local`` drops namespaces from tags."""
+
+    rows: frozenset[str]
+    near: frozenset[str]
+    carried: frozenset[str]
+    texts: frozenset[str]
+    local: bool
+
+
+def _read(doc: str, content: str, asked: Asked, out: _Buffers) -> None:
+    """Add the elements of a document in the order of their ends; those never closed come last without an end.
+
+    Only open elements are held. Raw text goes to the open elements whose text is kept, other text to the innermost
+    two elements, if theirs is.
+    """
+    stack: list[tuple] = []  # tag, name, the row so far, pieces of text
+    near: list[tuple] = []
+    kept: list[list[str]] = []
     started = ended = 0
-    for m in _TOKEN.finditer(content.removeprefix("﻿")):
-        if m["tag"]:
-            first: dict[str, str] = {}
-            for name, a, b in _ATTR.findall(m["attrs"]):
-                first.setdefault(name, a or b)  # values keep their entities
+    for m in _TOKEN.finditer(content.removeprefix("\ufeff")):
+        kind = m.lastgroup
+        if kind == "attrs":
+            tag, written = m["tag"], m["attrs"]
+            name = tag.rpartition(":")[2] if asked.local else tag
+            empty = written.endswith("/")
             started += 1
-            row = {"doc": doc, "id": started, "end": None, "depth": len(open_), "tag": m["tag"], "attrs": list(first.items()), "text": "", "empty": bool(m["empty"]), "ancestors": [{"id": x["id"], "tag": x["tag"], "attrs": x["attrs"] if x["tag"] in carried else None} for x in open_], "fault": None}
-            if row["empty"]:
+            attrs = row = None
+            if name in asked.rows or name in asked.carried or not stack:
+                attrs = _attributes(written)
+            if name in asked.rows or not stack:
+                row = (doc, started, len(stack), name, stack[-1][1] if stack else None, attrs, empty, tuple(near))
+            if empty:
                 ended += 1
-                yield row | {"end": ended}
-            else:
-                open_.append(row)
-        elif m["end"]:
-            if not open_ or open_[-1]["tag"] != m["end"]:
-                yield {"doc": doc, "fault": f"XML parse error: unexpected </{m['end']}>"}
+                if row:
+                    out.add(*row[:2], ended, *row[2:6], "", *row[6:])
+                continue
+            pieces = [] if name in asked.texts else None
+            if pieces is not None:
+                kept.append(pieces)
+            if name in asked.near:
+                near.append((started, name, attrs if name in asked.carried else None))
+            stack.append((tag, name, row, pieces))
+        elif kind == "end":
+            if not stack or stack[-1][0] != m["end"]:
+                out.add(doc, None, None, None, None, None, None, None, None, (), f"XML parse error: unexpected </{m['end']}>")
                 return
             ended += 1
-            yield open_.pop() | {"end": ended}
-        elif open_ and m["raw"] is not None:
-            for x in open_:
-                x["text"] += m["raw"]
-        elif open_ and m["text"]:
-            for x in open_[-2:]:
-                x["text"] += unescape(m["text"])
-    yield from open_
-
-
-def elements(docs: DataFrame, *carried: str) -> DataFrame:
+            _, name, row, pieces = stack.pop()
+            if pieces is not None:
+                kept.pop()
+            if name in asked.near:
+                near.pop()
+            if row:
+                out.add(*row[:2], ended, *row[2:6], "".join(pieces or ()), *row[6:])
+        elif kind == "raw":
+            for pieces in kept:
+                pieces.append(m["raw"])
+        elif kind == "text":
+            for _, _, _, pieces in stack[-2:]:
+                if pieces is not None:
+                    pieces.append(unescape(m["text"]))
+    for _, _, row, pieces in stack:
+        if row:
+            out.add(*row[:2], None, *row[2:6], "".join(pieces or ()), *row[6:])
+
+
+def elements(docs: DataFrame, *rows: str, near: tuple = (), carried: tuple = (), texts: tuple = (), local: bool = False) -> DataFrame:
     """Rows :data:`ELEMENTS` of ``docs (doc, content)``: ``id`` by start, ``end`` by end, text with entities decoded.
 
-    Ancestors with a tag of ``carried`` come with their attributes, so that no join is needed to look them up.
-    A mismatched end tag gives a row with ``fault`` and ends its document.
+    Elements with a tag of ``rows``, and the outermost ones, are given. ``ancestors`` are those with a tag of
+    ``near`` or ``carried``, the latter with their attributes, so that no join is needed to look them up. Texts are
+    kept for the tags of ``texts`` and empty elsewhere. A mismatched end tag gives a row with ``fault`` and ends its
+    document.
     """
-    carry = frozenset(carried)
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            found: list[dict] = []
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found += _elements(doc, content or "", carry)
-                if len(found) >= BATCH:
-                    yield pa.RecordBatch.from_pylist(found, schema=_ARROW)
-                    found = []
-            yield pa.RecordBatch.from_pylist(found, schema=_ARROW)
+    asked = Asked(frozenset(rows), frozenset(near) | frozenset(carried), frozenset(carried), frozenset(texts), local)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Buffers()
+            for doc, content in zip(batch.column(0), batch.column(1), strict=True):
+                _read(doc.as_py(), content.as_py() or "", asked, out)
+                if len(out.plain[0]) >= BATCH:
+                    yield out.batch()
+                    out = _Buffers()
+            yield out.batch()
 
     return docs.select(F.col("doc").cast("string"), "content").mapInArrow(run, ELEMENTS)
 
@@ -106,7 +201,3 @@ def owner(tag: str) -> Column:
 def only(tag: str, value: Column) -> Column:
     """In a group of rows: the value of the one element with the tag."""
     return F.first(F.when(F.col("tag") == tag, value), ignorenulls=True)
-
-
-def parent_tag() -> Column:
-    return F.get(F.col("ancestors"), F.size("ancestors") - 1)["tag"]
