@@ -29,8 +29,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that stand in two places go, and ``n_chars`` follows; other texts stay as they are.
     A text that loses all its words is empty, a null text becomes an empty one, and no row goes."""
-    text = passages.remove(docs, rejoin=False).withColumnRenamed("kept_text", "text")
-    return text.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    hidden = docs.toDF(*[c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
+    kept = passages.remove(hidden, rejoin=False)
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
+    return kept.select(*[new.get(c, F.col(f"column_{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -61,3 +62,18 @@ def test_stages_against_brute_force(spark, clashing, tmp_path):
 
 def test_empty_tables(spark, empty, tmp_path):
     assert all(df.count() == 0 for df in stages(spark, empty, str(tmp_path)).values())
+
+
+NAMES = ("n_words", "N_Removed", "kept_text", "a.b", "text_", "column_0", "value")
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES[:-1]], ids=lambda s: s[0])
+def test_further_columns_come_out_as_they_are(spark, docs, tmp_path, stage):
+    """Of names that stages use themselves, in other cases, with dots and quotes."""
+    wide = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in NAMES])
+    wide = wide.select(F.lit(7).alias("ahead"), "*")
+    docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("quality")).distinct().write.parquet(f"{tmp_path}/labels.parquet")
+    got = stage[1](spark, wide, str(tmp_path))
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert rows and all(tuple(r)[-len(NAMES) :] == tuple(f"mine {c}" for c in NAMES) and r[0] == 7 for r in rows)

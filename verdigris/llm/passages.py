@@ -198,16 +198,16 @@ def remove(docs: DataFrame, window: int = 35, rejoin: bool = True, bucket_bytes:
     ``kept_text`` is the words left, joined by one space; without ``rejoin``, a text that loses nothing stays
     as it is. Null and empty texts have no words. Repeated rows are documents of their own, so their windows
     recur; they are dealt over all buckets. An empty table gives no rows. Columns of ``docs`` named as the new
-    ones are replaced.
+    ones, in any case, are replaced.
 
     Windows meet by a 64-bit hash but are removed only where their words agree; if different windows had one
     hash, a copy could stay. Words are compared by 64-bit hashes. ``docs`` is read several times and must give the
     same rows in the same partitions each time, as files do.
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_text")]
+    rest = [c for c in docs.columns if c.lower() not in ("text", "n_words", "n_removed", "kept_text")]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // bucket_bytes
-    named = [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(rest)]
+    named = [F.col(f"`{c.replace('`', '``')}`").alias(f"keep_{i}") for i, c in enumerate(rest)]
     dealt = docs.select(*named, F.col("text").cast("string").alias("dup_text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).alias("dup_bucket"))
 
     def phrases(key: tuple, table: pa.Table) -> pa.Table:
