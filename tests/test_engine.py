@@ -1,10 +1,13 @@
 import json
 import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.api import Engine
-from verdigris.operators.tables import numbered
+from verdigris.operators.tables import history, numbered
+from verdigris.schemas import TABLES
 from verdigris.sources.registry import DEFAULT_PATTERNS, glob_pattern, read_files
 from verdigris.streaming.ingest import ingest, report_stream
 
@@ -85,11 +88,61 @@ def test_one_document_of_a_run(spark, engine):
     assert not {"coverage", "comparison", "context_files", "sync"} & set(alone)
 
 
-def test_replaced_snapshots_are_deleted(engine):
-    run = engine.start_run()
-    engine.end_run(run)
-    assert engine.store.vacuum() > 0 and engine.store.vacuum() == 0
-    assert engine.runs().count() == 1
+def written(engine, table):
+    """Data files of a table by run."""
+    found = {}
+    for path in Path(engine.store.root, table).glob("*/*.parquet"):
+        found.setdefault(path.parent.name.split("=")[1], set()).add(path.name)
+    return found
+
+
+def test_changes_write_the_partitions_of_their_runs_only(spark, engine):
+    runs = [engine.start_run(started_at=f"2024-01-0{i}T00:00:00+00:00") for i in range(1, 4)]
+    for run in runs:
+        engine.record_tests(run, rows(spark, ("a", "passed", None)))
+        engine.store.enqueue(run, spark.createDataFrame([("{}",)], "payload string"), "2024")
+    before = {t: written(engine, t) for t in TABLES}
+    engine.store.finish_run(runs[0], {"total": 1}, "2024-01-01T01:00:00+00:00")
+    after = written(engine, "test_runs")
+    assert {r for r in runs if after[r] != before["test_runs"][r]} == {runs[0]}
+    first = engine.store.read("pending_uploads").filter(F.col("run_id") == runs[1]).first()["id"]
+    engine.store.settle([(first, runs[1])], [], "now")
+    assert written(engine, "pending_uploads") == {r: f for r, f in before["pending_uploads"].items() if r != runs[1]}
+    assert engine.store.clean_up(2, "2024-01-02") == 1 and engine.store.clean_up(2, "2024-01-02") == 0
+    for table in TABLES:
+        left = written(engine, table)
+        assert runs[0] not in left and left.get(runs[2]) == before[table].get(runs[2])
+
+
+def test_histories_read_the_partitions_of_their_runs_only(spark, engine):
+    for i in range(3):
+        run = engine.start_run(started_at=f"2024-01-0{i + 1}T00:00:00+00:00")
+        engine.record_tests(run, rows(spark, ("a", "passed", None)))
+        engine.end_run(run)
+    te, tr = engine._history()
+    recent = history(te, tr, 1)
+    assert recent.count() == 1
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert "PartitionFilters: [isnotnull(run_id" in te.filter(F.col("run_id") == run)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_writers_get_ranges_of_their_own(spark, tmp_path):
+    first, second = (Engine(spark, str(tmp_path / "store")) for _ in range(2))
+    run = first.start_run()
+    claims = [e.store.claim("test_executions") for e in (first, second, first, second, second)]
+    assert claims == sorted(set(claims)) and claims[0] == 1
+    second.record_tests(run, rows(spark, ("a", "passed", None)))
+    assert first.store.read("test_executions").first()["id"] > claims[-1]
+
+
+def test_run_ids_of_any_characters(spark, engine):
+    for run in ("2024-01-01", "a/b=c %41", "x y"):
+        engine.store.insert_run(run, "cli", "2024-01-01")
+        engine.record_tests(run, rows(spark, ("a", "failed", "e")))
+        engine.store.finish_run(run, {"total": 1}, "2024")
+    assert {r["run_id"] for r in engine.store.read("test_executions").collect()} == {"2024-01-01", "a/b=c %41", "x y"}
+    assert engine.store.clean_up(0, "2025") == 3 and engine.store.read("test_executions").count() == 0
 
 
 def test_migration_repeats(engine):

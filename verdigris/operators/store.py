@@ -1,23 +1,26 @@
-"""The tables as Parquet snapshots.
+"""The tables as Parquet folders, partitioned by run.
 
-A mutation writes new snapshots of one or more tables and then names them in the manifest, all in one file;
-readers see the snapshot named last, so a job that dies half-way changes nothing. Appends add files to the
-current snapshot. There is one writer at a time; a snapshot that is replaced stays until ``vacuum``.
+Every row belongs to a run, so each change rewrites the partitions of the runs it touches and no others, by Spark's
+dynamic partition overwrite, and readers of some runs prune the rest. Writers of different runs don't meet. A change
+of several tables writes children before the run's own row and deletes in that order too, so one that dies half-way
+is done by repeating it. Ids come in ranges, each claimed by making a file that only one writer can make.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from verdigris import schemas
 from verdigris.operators import payload, retention, tables
 
-_MANIFEST = T.StructType().add("table", "string").add("snapshot", "string").add("seq", "long")
 _VERSION = "schema_version"
+#: Ids in a range.
+RANGE = 1 << 32
+
+
+def run_column(table: str) -> str:
+    return "id" if table == "test_runs" else "run_id"
 
 
 class Store:
@@ -25,83 +28,62 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.migrate()
 
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def _names(self) -> dict[str, str]:
-        path = f"{self.root}/manifest"
-        if not self._exists(path):
-            return {}
-        last = self.spark.read.schema(_MANIFEST).parquet(path).groupBy("table").agg(F.max_by("snapshot", "seq").alias("snapshot"))
-        return {r["table"]: r["snapshot"] for r in last.collect()}  # a row for each table
-
-    def _name(self, snapshots: dict[str, str]) -> None:
-        path = f"{self.root}/manifest"
-        seq = self.spark.read.schema(_MANIFEST).parquet(path).agg(F.max("seq")).first()[0] if self._exists(path) else 0
-        rows = self.spark.createDataFrame([(t, s, (seq or 0) + 1) for t, s in snapshots.items()], _MANIFEST)
-        rows.coalesce(1).write.mode("append").parquet(path)
+    def _partition(self, table: str, run_id: str):
+        named = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+        return self._path(f"{self.root}/{table}/{run_column(table)}={named}")
 
     def migrate(self) -> int:
-        """Create missing tables and bring the schema version up to date; safe to repeat."""
-        names = self._names()
-        absent = {t: self.spark.createDataFrame([], schema) for t, schema in schemas.TABLES.items() if t not in names}
-        if absent:
-            self.replace(absent)
+        """Create missing tables and bring the schema version up to date; safe to repeat.
+
+        Columns that a version adds need no rewrite: files without them read as 0.
+        """
+        for table in schemas.TABLES:
+            self._fs.mkdirs(self._path(f"{self.root}/{table}"))
         if self.version() < schemas.LATEST_VERSION:
-            for version, added in schemas.ADDED.items():
-                if self.version() < version:
-                    for table, columns in added.items():
-                        self.replace({table: self.read(table).fillna(0, list(columns))})
-                    row = self.spark.createDataFrame([(version,)], "version int").withColumn("applied_at", F.current_timestamp().cast("string"))
-                    row.coalesce(1).write.mode("append").parquet(f"{self.root}/{_VERSION}")
+            rows = self.spark.createDataFrame([(v,) for v in schemas.ADDED], "version int").withColumn("applied_at", F.current_timestamp().cast("string"))
+            rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{_VERSION}")
         return self.version()
 
     def version(self) -> int:
         path = f"{self.root}/{_VERSION}"
-        return (self.spark.read.schema(schemas.SCHEMA_VERSION).parquet(path).agg(F.max("version")).first()[0] or 0) if self._exists(path) else 0
+        return (self.spark.read.schema(schemas.SCHEMA_VERSION).parquet(path).agg(F.max("version")).first()[0] or 0) if self._fs.exists(self._path(path)) else 0
 
     def read(self, table: str) -> DataFrame:
-        """A table's current rows; columns that old files lack are null."""
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.root}/{self._names()[table]}")
-
-    def replace(self, tables_: dict[str, DataFrame]) -> None:
-        """Make these rows the tables, all at once."""
-        snapshots = {}
-        for table, rows in tables_.items():
-            snapshots[table] = f"{table}/{uuid.uuid4().hex}"
-            self._typed(table, rows).write.parquet(f"{self.root}/{snapshots[table]}")
-        self._name(snapshots)
-
-    def vacuum(self) -> int:
-        """Delete snapshots that are no table's current one; returns how many. No reader may be at work on them."""
-        current, gone = set(self._names().values()), 0
-        for table in schemas.TABLES:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-            for found in self._fs.listStatus(where) if self._fs.exists(where) else ():
-                if f"{table}/{found.getPath().getName()}" not in current:
-                    self._fs.delete(found.getPath(), True)
-                    gone += 1
-        return gone
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        self._typed(table, rows).write.mode("append").parquet(f"{self.root}/{self._names()[table]}")
-
-    @staticmethod
-    def _typed(table: str, rows: DataFrame) -> DataFrame:
-        return rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[table]])
-
-    def next_id(self, table: str) -> int:
-        return (self.read(table).agg(F.max("id")).first()[0] or 0) + 1
+        """A table's rows; columns that a later version added are 0 in older files."""
+        added = {c for tables_ in schemas.ADDED.values() for c in tables_.get(table, ())}
+        rows = self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.root}/{table}")
+        return rows.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in added else F.col(c) for c in schemas.TABLES[table].names])
+
+    def write(self, table: str, rows: DataFrame, mode: str = "overwrite") -> None:
+        """Make these rows the partitions of their runs, or with ``append`` add them; other runs stay as they are."""
+        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[table]])
+        typed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(run_column(table)).parquet(f"{self.root}/{table}")
+
+    def delete(self, table: str, run_id: str) -> None:
+        self._fs.delete(self._partition(table, run_id), True)
+
+    def claim(self, table: str) -> int:
+        """The first of :data:`RANGE` ids that no other writer gets; later claims are larger."""
+        folder = f"{self.root}/ids/{table}"
+        self._fs.mkdirs(self._path(folder))
+        number = max([int(x.getPath().getName()) for x in self._fs.listStatus(self._path(folder))], default=-1) + 1
+        while not self._fs.createNewFile(self._path(f"{folder}/{number}")):
+            number += 1
+        self._fs.delete(self._path(f"{folder}/{number - 2}"), False)  # the largest ones are enough
+        return number * RANGE + 1
 
     def insert_run(self, run_id: str, framework: str, started_at: str, branch: str | None = None, commit_sha: str | None = None, ci_provider: str | None = None) -> None:
         """A running run; ids are unique."""
-        if not self.read("test_runs").filter(F.col("id") == run_id).isEmpty():
-            raise ValueError(f"run {run_id} exists")
+        if not run_id or self._fs.exists(self._partition("test_runs", run_id)):
+            raise ValueError(f"run {run_id} exists" if run_id else "a run has an id")
         row = (run_id, branch, commit_sha, ci_provider, framework, started_at, None, "running", None, None, None, None, None, None)
-        self.append("test_runs", self.spark.createDataFrame([row], schemas.TEST_RUNS))
+        self.write("test_runs", self.spark.createDataFrame([row], schemas.TEST_RUNS).coalesce(1), "append")
 
     def insert_tests(self, run_id: str, tests: DataFrame) -> None:
         """Executions ``name, status, duration_ms[, file_path, error_message, retry_count, flaky][, doc][, pos]`` of a run.
@@ -115,35 +97,37 @@ class Store:
         rows = rows.withColumn("status", F.when(valid, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("Invalid test status: "), F.coalesce("status", F.lit("null"))))))
         if "pos" not in tests.columns:
             rows = rows.withColumn("pos", F.monotonically_increasing_id())
-        rows = tables.numbered(rows, self.next_id("test_executions"))
-        self.append("test_executions", rows.withColumns({"run_id": F.lit(run_id), "retry_count": F.coalesce("retry_count", F.lit(0)), "flaky": F.coalesce("flaky", F.lit(False))}))
+        rows = tables.numbered(rows, self.claim("test_executions"))
+        self.write("test_executions", rows.withColumns({"run_id": F.lit(run_id), "retry_count": F.coalesce("retry_count", F.lit(0)), "flaky": F.coalesce("flaky", F.lit(False))}), "append")
 
     def finish_run(self, run_id: str, summary: dict, finished_at: str) -> None:
         """Set a running run's counts and end; there must be one."""
-        runs = self.read("test_runs")
-        target = (F.col("id") == run_id) & (F.col("status") == "running")
-        if runs.filter(target).isEmpty():
+        run = self._run(run_id).filter(F.col("status") == "running")
+        if run.isEmpty():
             raise ValueError(f"no running run {run_id}")
         new = {"status": "finished", "finished_at": finished_at, **summary}
-        self.replace({"test_runs": runs.withColumns({c: F.when(target, F.lit(v)).otherwise(F.col(c)) for c, v in new.items()})})
+        self.write("test_runs", run.withColumns({c: F.lit(v) for c, v in new.items()}))
 
     def update_framework(self, run_id: str, framework: str) -> None:
-        self.replace({"test_runs": self.read("test_runs").withColumn("framework", F.when(F.col("id") == run_id, framework).otherwise(F.col("framework")))})
+        self.write("test_runs", self._run(run_id).withColumn("framework", F.lit(framework)))
+
+    def _run(self, run_id: str) -> DataFrame:
+        return self.read("test_runs").filter(F.col("id") == run_id).coalesce(1)
 
     def insert_coverage(self, run_id: str, report: DataFrame, files: DataFrame | None, created_at: str) -> None:
         """One coverage row from a report row ``format, *_covered, *_total``; the run's rows all get the files' JSON."""
-        row = report.limit(1).withColumns({"id": F.lit(self.next_id("coverage_reports")), "run_id": F.lit(run_id), "data": F.lit(None).cast("string"), "created_at": F.lit(created_at)})
-        self.append("coverage_reports", row)
+        row = report.limit(1).withColumns({"id": F.lit(self.claim("coverage_reports")), "run_id": F.lit(run_id), "data": F.lit(None).cast("string"), "created_at": F.lit(created_at)})
+        self.write("coverage_reports", row, "append")
         if files is not None:
             data = files.select(F.col("data").alias("new_data")).limit(1)
-            rows = self.read("coverage_reports").join(F.broadcast(data.withColumn("run", F.lit(run_id))), F.col("run_id") == F.col("run"), "left")
-            self.replace({"coverage_reports": rows.withColumn("data", F.coalesce("new_data", "data"))})
+            rows = self.read("coverage_reports").filter(F.col("run_id") == run_id).join(F.broadcast(data), F.lit(True), "left")
+            self.write("coverage_reports", rows.withColumn("data", F.coalesce("new_data", "data")))
 
     def enqueue(self, run_id: str, document: DataFrame, created_at: str) -> int:
         """Queue a run's payload (``payload``, one row) and return its id."""
-        new = self.next_id("pending_uploads")
+        new = self.claim("pending_uploads")
         row = document.limit(1).select(F.lit(new).alias("id"), F.lit(run_id).alias("run_id"), "payload", F.lit(created_at).alias("created_at"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"))
-        self.append("pending_uploads", row)
+        self.write("pending_uploads", row, "append")
         return new
 
     def mark_synced(self, upload_id: int, run_id: str, at: str) -> None:
@@ -154,17 +138,31 @@ class Store:
         self.settle([], [(upload_id, error)], None)
 
     def settle(self, accepted: list[tuple[int, str]], failed: list[tuple[int, str]], at: str | None) -> None:
-        """Drop accepted uploads ``(id, run_id)``, mark their runs and count failed attempts ``(id, error)``, all in one write."""
-        done = self.spark.createDataFrame(accepted, "id bigint, run_id string")
-        left, marked = payload.synced(self.read("pending_uploads"), self.read("test_runs"), done, at)
+        """Mark runs of accepted uploads ``(id, run_id)`` and drop these, and count failed attempts ``(id, error)``.
+
+        Runs are marked first: what is sent again after a crash is marked again.
+        """
+        queue = self.read("pending_uploads")
+        ids = [i for i, _ in accepted] + [i for i, _ in failed]
+        owners = {r["run_id"] for r in queue.filter(F.col("id").isin(ids)).select("run_id").distinct().toLocalIterator()}
+        queue, runs = queue.filter(F.col("run_id").isin(list(owners))), self.read("test_runs").filter(F.col("id").isin([r for _, r in accepted]))
+        left, marked = payload.synced(queue, runs, self.spark.createDataFrame(accepted, "id bigint, run_id string"), at)
+        if accepted:
+            self.write("test_runs", marked)
         left = payload.attempted(left, self.spark.createDataFrame(failed, "id bigint, error string"))
-        self.replace({"pending_uploads": left, "test_runs": marked} if accepted else {"pending_uploads": left})
+        still = {r["run_id"] for r in left.select("run_id").distinct().toLocalIterator()}
+        self.write("pending_uploads", left)
+        for run_id in owners - still:
+            self.delete("pending_uploads", run_id)
 
     def clean_up(self, max_runs: int = retention.MAX_RUNS, before: str | None = None) -> int:
-        """Drop expired runs and all rows that belong to them; returns how many runs went."""
-        runs = self.read("test_runs")
-        gone = retention.expired(runs, max_runs, before).count()
-        if gone:
-            left = retention.survivors(runs, max_runs, before)
-            self.replace({"test_runs": left} | {t: retention.cascade(self.read(t), left) for t in list(schemas.TABLES)[1:]})
+        """Drop expired runs and all rows that belong to them; returns how many runs went.
+
+        A run's own row goes last, so what a crash leaves is dropped the next time.
+        """
+        gone = 0
+        for run in retention.expired(self.read("test_runs"), max_runs, before).select("id").toLocalIterator():
+            for table in reversed(schemas.TABLES):
+                self.delete(table, run["id"])
+            gone += 1
         return gone
