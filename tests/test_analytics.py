@@ -1,3 +1,6 @@
+import bisect
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +137,23 @@ def test_payload_leaves_out_what_is_missing(spark):
     assert got["tests"] == [{"name": "a", "status": "passed", "durationMs": 1.0, "retryCount": 0, "flaky": False}]
     shown = json.loads(payload.documents(tr.select("id", "branch")).first()["json"])
     assert shown == {"id": "r", "branch": None}
+
+
+def test_one_run_of_distinct_durations(spark):
+    """As large as the table: ranges of it are sorted apart, and give what one sort gives."""
+    n = 50_000
+    values = [((i * 7919) % n) ** 2 / 1000 for i in range(n)] + [5.0] * 7
+    te = spark.createDataFrame([(i, "r", f"t{i}", v, None) for i, v in enumerate(values)] + [(n + 9, "s", "one", 3.0, "f")], "id bigint, run_id string, name string, duration_ms double, file_path string").repartition(6)
+    order = sorted(values)
+    got = {r["run_id"]: r for r in durations.percentiles(te).collect()}
+    for p in durations.PERCENTILES:
+        at = p / 100 * (len(order) - 1)
+        low, high = order[math.floor(at)], order[math.ceil(at)]
+        assert abs(got["r"][f"p{p}"] - (low + (high - low) * (at - math.floor(at)))) < 0.006 and got["s"][f"p{p}"] == 3.0
+    ranks = {r["id"]: r["percentile"] for r in durations.ranked(te).collect()}
+    assert len(ranks) == len(values) + 1
+    assert all(abs(ranks[i] - bisect.bisect_right(order, values[i]) / len(order) * 100) < 0.006 for i in range(0, n, 97))
+    top = [r["duration_ms"] for r in durations.slowest(te).filter("run_id = 'r'").orderBy("rank").collect()]
+    assert len(top) == 10 and all(abs(a - b) < 0.006 for a, b in zip(top, order[:-11:-1], strict=True))
+    sizes = [r["n"] for r in durations._steps(te, ("run_id",)).groupBy("run_id").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) == len(set(values))

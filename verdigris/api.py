@@ -38,26 +38,26 @@ class Engine:
     def record_tests(self, run_id: str, tests: DataFrame) -> None:
         self.store.insert_tests(run_id, tests)
 
-    def _one(self, content: str, filename: str) -> tuple[DataFrame, str]:
+    def _one(self, content: str, filename: str, missing: str) -> tuple[DataFrame, str]:
         files = self.spark.createDataFrame([(filename, filename, content)], "doc string, filename string, content string")
         found = self.formats.detect(files).select("format.id").first()
         if found["id"] is None:
-            raise ValueError(f"Unknown report format for {filename}")
+            raise ValueError(missing)
         return files.select("doc", "content"), found["id"]
 
     def parse_report(self, content: str, filename: str) -> TestReports:
         """A test report by its detected format."""
-        docs, id_ = self._one(content, filename)
+        docs, id_ = self._one(content, filename, formats.NO_PARSER)
         got = self.formats.get(id_).read(docs)
         if isinstance(got, CoverageReports):
-            raise ValueError("File is a coverage report, not a test report")
+            raise ValueError("".join(id_ if x == "id" else x for x in formats.NOT_TESTS))
         return got
 
     def parse_coverage(self, content: str, filename: str) -> CoverageReports:
-        docs, id_ = self._one(content, filename)
+        docs, id_ = self._one(content, filename, formats.NO_COVERAGE_PARSER)
         got = self.formats.get(id_).read(docs)
         if isinstance(got, TestReports):
-            raise ValueError("File is a test report, not a coverage report")
+            raise ValueError(formats.NOT_COVERAGE)
         return got
 
     def record_reports(self, run_id: str, files: DataFrame) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris import sql
 from verdigris.functions import scalars
 from verdigris.operators import clusters, compare, durations, flaky, health, payload, retention, tables
 from verdigris.plans import adapters, render
@@ -18,13 +19,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
     """Register a query by its function's name, with the SQL of its rows."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if text:
+            ORACLES[f.__name__] = text
         return f
 
     return add
@@ -307,8 +308,8 @@ cov.format AS coverage_format, cov.lines_covered, cov.branches_total, CAST(2 AS
 FROM tr JOIN te ON te.run_id = tr.id JOIN cov ON cov.run_id = tr.id AND cov.format = 'lcov' WHERE tr.finished_at IS NOT NULL GROUP BY ALL""")
 def ingest_payload(spark, sf_dir):
     te, tr = _both(spark, sf_dir)
-    sql = COVERED.replace("{", "{{").replace("}", "}}").replace("FROM tr", "FROM {tr}")
-    covered = spark.sql(f"WITH {sql} SELECT * FROM cov", tr=tr)
+    rows = COVERED.replace("{", "{{").replace("}", "}}").replace("FROM tr", "FROM {tr}")
+    covered = spark.sql(f"WITH {rows} SELECT * FROM cov", tr=tr)
     metric = "struct<covered: int, total: int>"
     kind = f"struct<branch: string, finishedAt: string, summary: struct<total: int>, tests: array<struct<name: string, status: string, filePath: string, error: string, retryCount: int>>, coverage: struct<format: string, lines: {metric}, branches: {metric}, files: array<struct<path: string, lines: {metric}>>>>"
     got = payload.ingest_payload(tr, te, covered).withColumn("p", F.from_json("payload", kind))
@@ -337,6 +338,27 @@ def detect_formats(spark, sf_dir):
     return with_defaults().detect(_rendered(spark, sf_dir)).select("doc", "format.id", "format.score", "format.result_type")
 
 
+def _attached(spark, sf_dir) -> None:
+    sql.register(spark)
+    sql.attach(spark, _rendered(spark, sf_dir), prefix="rendered_")
+
+
+@query(f"""{WITH_LINES} SELECT CAST(doc AS VARCHAR) AS doc, CASE doc % 5 WHEN 0 THEN 'junit' WHEN 1 THEN 'jest-vitest-json' ELSE 'ctrf' END AS format, count(*) AS cases, count(*) FILTER (status = 'failed') AS failed,
+round(count(*) FILTER (status = 'passed') / count(*) * 10000) / 100 AS rate, count(DISTINCT CASE WHEN status = 'failed' THEN message END) AS errors FROM ln WHERE doc % 5 < 3 GROUP BY doc""")
+def sql_test_reports(spark, sf_dir):
+    _attached(spark, sf_dir)
+    return spark.sql("""
+        SELECT c.doc, f.id AS format, count(*) AS cases, count_if(status = 'failed') AS failed, round2(pass_rate(count_if(status = 'passed'), count(*))) AS rate, count(DISTINCT normalize_error(error_message)) AS errors
+        FROM rendered_test_cases c JOIN rendered_report_formats f ON f.doc = c.doc WHERE f.result_type = 'testReport' GROUP BY c.doc, f.id""")
+
+
+@query(f"""{WITH_LINES} SELECT CASE doc % 5 WHEN 3 THEN 'lcov' ELSE 'cobertura' END AS format, path, CAST(sum(least(hit, total)) AS BIGINT) AS lines_covered, CAST(sum(total) AS BIGINT) AS lines_total,
+round(sum(least(hit, total)) / sum(total) * 100) AS percent FROM ln WHERE doc % 5 > 2 GROUP BY 1, 2""")
+def sql_covered_paths(spark, sf_dir):
+    _attached(spark, sf_dir)
+    return spark.sql("SELECT format, path, sum(lines_covered) AS lines_covered, sum(lines_total) AS lines_total, coverage_percentage(sum(lines_covered), sum(lines_total)) AS percent FROM rendered_coverage_files GROUP BY format, path")
+
+
 def _cases(reports, *extra: str) -> DataFrame:
     return reports.cases.select("doc", "pos", "full_name", "status", "duration_ms", "error_message", *extra)
 

@@ -13,6 +13,10 @@ from verdigris.sources.reports import CoverageReports, TestReports
 
 TEST, COVERAGE = "testReport", "coverage"
 
+#: Errors of a reader that is given a file of the other kind (``id`` is the format's), or of none.
+NOT_TESTS = ("File detected as coverage format (", "id", "), not a test report. Use parse_coverage() instead.")
+NOT_COVERAGE, NO_PARSER, NO_COVERAGE_PARSER = "Not a coverage format", "No parser matched the input", "No coverage parser matched the input"
+
 #: Formats in their order, with names and priorities.
 DEFAULT = (
     Format("junit", "JUnit XML", 90, TEST, detect.junit, xml_tests.junit),
