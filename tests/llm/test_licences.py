@@ -85,3 +85,21 @@ def test_phrases_of_one_word_and_long_texts(spark):
     text = "WTFPL some art, free art wtfpl " + "word " * 200_000 + "wtfpl"
     got = licences.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), phrases=phrases).first()
     assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (6, 0, 200_006, "a,b,w")
+
+
+def test_one_line_grants(spark):
+    """As they stand in texts: a version or a variant is a label of its own beside the phrase's."""
+    lines = {
+        "Licensed under CC BY-NC 4.0.": ("cc-by", "cc-by,cc-by-nc", 1.0),
+        "This work is licensed under the GNU General Public License, version 3.": ("gpl", "gpl,gpl-3.0", 1.0),
+        "Licensed under the Apache License, Version 2.0": ("apache", "apache,apache-2.0", 1.0),
+        "Released under the MIT License.": ("mit", "mit", 0.5),
+        "// SPDX-License-Identifier: BSD-3-Clause": ("", "bsd-3-clause", 1.0),
+        "CC BY-NC-SA, and apart from it CC BY": ("cc-by", "cc-by,cc-by-nc-sa", 1.0),
+        "GNU Lesser General Public License": ("", "lgpl", 1.0),
+        "the general public of version 3 and cc by the way nc": ("cc-by", "cc-by", 0.5),
+        "public license version 3": ("", "", 0.0),
+    }
+    rows = [(i, f"Some words, then {t} more words") for i, t in enumerate(lines)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r["base_labels"], r["labels"], r["score"]) for r in got] == list(lines.values())

@@ -15,6 +15,7 @@ from verdigris.llm import lattice, queries
 from tests.llm.test_alignment import brute as aligned
 from tests.llm.test_lattice import brute as scored
 from tests.llm.test_lattice import near
+from tests.llm.test_licences import brute as licence_counts
 from tests.llm.test_passages import brute as passages_brute
 from tests.llm.test_passages import words
 from tests.llm.test_search import brute as ranked
@@ -120,6 +121,19 @@ def test_op3_mixing(spark, tables):
     assert got == {r["doc_id"]: r for r in rows_of(spark, "op3_mixing", tables)}
 
 
+def test_op4_licences(spark, tables, tmp_path):
+    """The tables' texts, and some with grants."""
+    more = [(200, "CC BY-SA 4.0 and the MIT license", "s0"), (201, "gnu General PUBLIC license version 2; apache license", None)]
+    rows = [*tables[1], *more]
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_licences"](spark, str(tmp_path)).collect()}
+    for i, text, _ in rows:
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == licence_counts(text)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert (got[200]["labels"], got[201]["labels"]) == ("cc-by,cc-by-sa,mit", "apache,gpl,gpl-2.0")
+
+
 def test_op7_substring_dedup(spark, tables):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(spark, "op7_substring_dedup", tables)}
     want = passages_brute([t for _, t, _ in tables[1]], 35)

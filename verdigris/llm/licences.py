@@ -41,6 +41,22 @@ TEMPLATES = {
     "cc0": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide this software is distributed without any warranty",
 }
 
+# Licences as texts name them in one line, and as SPDX writes them; each is a template of its own.
+GRANTS = {
+    "gnu general public license version 2": "gpl-2.0", "gnu general public license version 3": "gpl-3.0", "gnu gpl version 2": "gpl-2.0", "gnu gpl version 3": "gpl-3.0", "gnu gpl v2": "gpl-2.0", "gnu gpl v3": "gpl-3.0",
+    "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl", "apache license version 2 0": "apache-2.0", "apache license 2 0": "apache-2.0",
+    "mozilla public license": "mpl", "eclipse public license": "epl", "boost software license": "bsl", "under the isc license": "isc", "under the zlib license": "zlib", "2 clause bsd license": "bsd-2-clause", "bsd 2 clause license": "bsd-2-clause", "3 clause bsd license": "bsd-3-clause", "bsd 3 clause license": "bsd-3-clause",
+    "cc by nc": "cc-by-nc", "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd", "cc0 1 0": "cc0", "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution non commercial": "cc-by-nc", "creative commons attribution sharealike": "cc-by-sa", "creative commons attribution share alike": "cc-by-sa",
+}
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+
+
+def notices() -> list[tuple[str, str]]:
+    """``label, words`` of all templates: whole notices, one-line grants, and SPDX lines."""
+    spdx = [(i.lower(), " ".join(w.decode() for w in words(f"SPDX-License-Identifier: {i}".encode()))) for i in SPDX]
+    return [*TEMPLATES.items(), *((label, text) for text, label in GRANTS.items()), *spdx]
+
+
 #: Bytes of words: ASCII digits and letters, and all bytes of other characters.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -101,11 +117,13 @@ class Automaton:
 class Scanner:
     """The automaton of templates and phrases, and the scan of one file's words."""
 
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str], shortest: int, gap: int, covered: int):
-        self.shortest, self.gap, self.covered = shortest, gap, covered
-        texts = [t.split() for t in templates.values()]
-        self.labels = list(templates)
+    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], shortest: int, gap: int, covered: int):
+        self.gap = gap
+        texts = [t.split() for _, t in templates]
+        self.labels = [label for label, _ in templates]
         self.lengths = [len(t) for t in texts]
+        # a template with fewer words counts where all of it stands
+        self.shortest, self.covered = ([min(least, n) for n in self.lengths] for least in (shortest, covered))
         self.phrases = [(p.split(), label) for p, label in phrases.items()]
         self.number: dict[bytes, int] = {}
         self.automaton = Automaton()
@@ -123,6 +141,22 @@ class Scanner:
         for s in reversed(order):
             self.places[a.link[s]] = sorted({*self.places[a.link[s]], *self.places[s]}) if a.link[s] > 0 else self.places[a.link[s]]
 
+        # the fewest words of a state's string that count for any template
+        self.least = [min((self.shortest[t] for t, _ in x), default=1 << 30) for x in self.places]
+        # shorter ends of a state's string that count for further templates, such as a grant within a notice
+        self.also: list[list[tuple[int, set[int]]]] = [[] for _ in a.size]
+        for s in order:
+            seen, p = {t for t, _ in self.places[s]}, a.link[s]
+            while p > 0:
+                if more := self.counted(a.size[p], p) - seen:
+                    self.also[s].append((p, more))
+                    seen |= more
+                p = a.link[p]
+
+    def counted(self, length: int, state: int) -> set[int]:
+        """Templates for which a stretch counts."""
+        return {t for t, _ in self.places[state] if length >= self.shortest[t]}
+
     def matched(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Matching statistics ``(place, length, state)``, where two words or more match, or one where a phrase is one word."""
         alone = any(len(p) == 1 for p, _ in self.phrases)
@@ -157,22 +191,26 @@ class Scanner:
                 if len(phrase) <= length:
                     starts.append(at + 1 - len(phrase))
                     base.add(label)
-            if length >= self.shortest:
-                if long and long[-1][0] == at - 1 and long[-1][1] == length - 1:
-                    long.pop()  # the same stretch, longer
-                long.append((at, length, state))
+            if length >= self.least[state]:
+                counted = self.counted(length, state)
+                if long and long[-1][0] == at - 1 and long[-1][1] == length - 1 and long[-1][3] <= counted:
+                    long.pop()  # the same stretch of the same templates, longer
+                long.append((at, length, state, counted))
+            for shorter, templates in self.also[state]:
+                if self.automaton.size[shorter] < length:
+                    long.append((at, self.automaton.size[shorter], shorter, templates))
         spans = self._chained(long)
         score = max((covered / self.lengths[t] for t, _, _, covered in spans), default=0.0)
-        labels = base | {self.labels[t] for t, _, _, covered in _foremost(spans) if covered >= self.covered}
+        labels = base | {self.labels[t] for t, _, _, _ in _foremost([s for s in spans if s[3] >= self.covered[s[0]]], self.lengths)}
         return {"n_words": len(found), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": min(1.0, max(score, 0.5 if starts else 0.0)), "spans": [{"label": self.labels[t], "first": a, "last": b, "covered": c} for t, a, b, c in spans]}
 
-    def _chained(self, long: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    def _chained(self, long: list[tuple[int, int, int, set[int]]]) -> list[tuple[int, int, int, int]]:
         """Spans ``(template, first word, last word, words covered)``: stretches in the template's order, at most ``gap`` words apart."""
         open_: dict[int, list[list[int]]] = {}
         done = []
-        for at, length, state in long:
+        for at, length, state, templates in long:
             first = at - length + 1
-            for t in {t for t, _ in self.places[state]}:
+            for t in templates:
                 ends = [e for x, e in self.places[state] if x == t]
                 chains = open_.setdefault(t, [])
                 for chain in [c for c in chains if first - c[2] > self.gap + 1]:
@@ -189,13 +227,15 @@ class Scanner:
         return sorted(done, key=lambda x: (x[1], x[0]))
 
 
-def _foremost(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Spans, sorted by their first words, without those that meet one that covers more words: licences share wording."""
+def _foremost(spans: list[tuple[int, int, int, int]], lengths: list[int]) -> list[tuple[int, int, int, int]]:
+    """Spans, sorted by their first words, without those that meet one that covers more words, or as many of a
+    shorter template: licences share wording."""
+    weight = [(covered, -lengths[t]) for t, _, _, covered in spans]
     behind, open_ = set(), []
-    for i, (_, first, _, covered) in enumerate(spans):
+    for i, (_, first, _, _) in enumerate(spans):
         open_ = [j for j in open_ if spans[j][2] >= first]
-        behind |= {j for j in open_ if spans[j][3] < covered}
-        if any(spans[j][3] > covered for j in open_):
+        behind |= {j for j in open_ if weight[j] < weight[i]}
+        if any(weight[j] > weight[i] for j in open_):
             behind.add(i)
         open_.append(i)
     return [s for i, s in enumerate(spans) if i not in behind]
@@ -208,11 +248,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     """One row for each row of ``docs``: word and phrase counts, labels, a score and template spans.
 
     A stretch of at least ``shortest`` words of a template counts; stretches at most ``gap`` words apart
-    chain; a span labels the file if it covers ``covered`` words and no span that it meets covers more. ``score`` is the largest covered share of
-    a template, 0.5 at least where a phrase stands. Null and empty texts have no words, empty labels, score
+    chain; a span of ``covered`` words labels the file if no other such span that it meets covers more. Of a template
+    with fewer words, such as a one-line grant, all must stand together. ``score`` is the largest covered share of a
+    template, 0.5 at least where a phrase stands. Templates are by label, :func:`notices` by default. Null and empty texts have no words, empty labels, score
     0 and null places. Repeated rows are scanned alike; other columns are not read. The pass has no shuffle.
     """
-    scanner = Scanner(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, shortest, gap, covered)
+    scanner = Scanner(notices() if templates is None else list(templates.items()), PHRASES if phrases is None else phrases, shortest, gap, covered)
     kinds = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")], ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), *[(n, pa.int64()) for n in ("first", "last", "covered")]])))])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
