@@ -11,8 +11,8 @@ from verdigris.operators import clusters, compare, durations, flaky, health, pay
 from verdigris.plans import adapters, render
 from verdigris.plans.adapters import WITH, WITH_COVERAGE, WITH_LINES
 from verdigris.sources import coverage as coverage_readers
-from verdigris.sources import json_tests, xml_tests
-from verdigris.sources.registry import with_defaults
+from verdigris.sources import ignore, json_tests, xml_tests
+from verdigris.sources.registry import DEFAULT_PATTERNS, with_defaults
 from verdigris.sources.reports import with_percentages
 
 QUERIES: dict = {}
@@ -422,3 +422,27 @@ def parse_jacoco(spark, sf_dir):
 @query(f"{WITH_LINES} SELECT {_DOC}, path, {_LINE_COUNTS}, CAST(1 AS BIGINT) AS branches_covered, CAST(2 AS BIGINT) AS branches_total, CAST(0 AS BIGINT) AS functions_covered, CAST(1 AS BIGINT) AS functions_total FROM ln")
 def parse_clover(spark, sf_dir):
     return _files(coverage_readers.clover(render.clover(adapters.lines(spark, sf_dir))), "lines_covered", "lines_total", "branches_covered", "branches_total", "functions_covered", "functions_total")
+
+
+#: A path for each line of an order: a package with a folder of one kind or another.
+PATHS = """
+SELECT concat('pkg', l_suppkey % 7, '/', CASE l_partkey % 5 WHEN 0 THEN 'build' WHEN 1 THEN 'test-results' WHEN 2 THEN 'build/keep' WHEN 3 THEN 'src' ELSE 'out/deep' END, '/', CASE l_linenumber % 3 WHEN 0 THEN 'junit-' WHEN 1 THEN 'note-' ELSE 'result-' END, l_orderkey, CASE l_quantity % 2 WHEN 0 THEN '.xml' ELSE '.tmp' END) AS path
+FROM {lineitem}
+"""
+RULES = {"": "# built\nbuild/\n!build/keep/\n*.tmp", "pkg3": "/out\n!*.tmp\nnote-*"}
+_WITH_PATHS = f"WITH p AS (SELECT DISTINCT path, split_part(path, '/', 1) AS pkg, split_part(path, '/', 2) AS kind, string_split(path, '/')[-1] AS file FROM ({adapters._other(PATHS)}) x)"
+
+
+def _ruled(spark, sf_dir):
+    files = spark.createDataFrame(list(RULES.items()), "folder string, content string")
+    return spark.sql(PATHS, lineitem=adapters.table(spark, sf_dir, "lineitem")), ignore.rules(files)
+
+
+@query(f"{_WITH_PATHS} SELECT path FROM p WHERE kind = 'build' OR (pkg <> 'pkg3' AND file LIKE '%.tmp') OR (pkg = 'pkg3' AND (kind = 'out' OR starts_with(file, 'note-')))")
+def ignored_paths(spark, sf_dir):
+    return ignore.ignored(*_ruled(spark, sf_dir))
+
+
+@query(f"{_WITH_PATHS} SELECT path FROM p WHERE file LIKE '%.xml' AND (starts_with(file, 'junit') OR kind = 'test-results') AND kind <> 'build' AND NOT (pkg = 'pkg3' AND kind = 'out')")
+def discovered_reports(spark, sf_dir):
+    return ignore.discovered(*_ruled(spark, sf_dir), DEFAULT_PATTERNS)

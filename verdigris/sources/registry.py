@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.sources import coverage, detect, json_tests, xml_tests
+from verdigris.sources import coverage, detect, ignore, json_tests, xml_tests
 from verdigris.sources.detect import Format, Registry
 from verdigris.sources.reports import CoverageReports, TestReports
 
@@ -32,6 +33,7 @@ DEFAULT = (
 
 #: Where reports are looked for, and folders whose files are no reports.
 DEFAULT_PATTERNS = ("**/.verdigris/reports/**/*.xml", "**/.verdigris/reports/**/*.json", "**/junit*.xml", "**/test-results/**/*.xml", "**/test-reports/**/*.xml", "**/ctrf/**/*.json", "**/ctrf-report.json", "**/coverage/lcov.info", "**/lcov.info")
+IGNORE_FILE = ".gitignore"
 SKIPPED_FOLDERS = ("fixtures", "__snapshots__", "examples", ".git")
 
 
@@ -64,6 +66,50 @@ def read_files(spark: SparkSession, root: str, patterns: tuple[str, ...] | None
     return reader.text(root).filter(wanted).select(path.alias("doc"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
 
 
+def _tree(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    """Files below ``root``, hidden ones too, which Spark's own listing leaves out: path below it and time of change."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    start = jvm.Path(root)
+    system = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    open_ = [(system.makeQualified(start), "")]
+    while open_:
+        folder, below = open_.pop()
+        for found in system.listStatus(folder):
+            name = found.getPath().getName()
+            if not found.isDirectory():
+                yield below + name, found.getModificationTime()
+            elif name not in SKIPPED_FOLDERS:
+                open_.append((found.getPath(), f"{below}{name}/"))
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def find_reports(spark: SparkSession, root: str, patterns: tuple[str, ...] = DEFAULT_PATTERNS, modified_after: float = 0) -> DataFrame:
+    """``doc, filename, content`` of a project's reports: files below ``root`` that fit one of ``patterns``, changed
+    at ``modified_after`` (seconds since 1970) or later, and are in no folder that an ignore file shuts.
+
+    The driver lists the project, as Spark does with any folder; only what is found is read. Without reports the
+    table is empty.
+    """
+    root = root.rstrip("/")
+    listed = list(_tree(spark, root))
+    said = [(p.rpartition("/")[0], _text(spark, f"{root}/{p}")) for p, _ in listed if p.rpartition("/")[2] == IGNORE_FILE]
+    rules = ignore.rules(spark.createDataFrame(said, "folder string, content string"))
+    fresh = spark.createDataFrame([(p,) for p, at in listed if at >= modified_after * 1000], "path string")
+    found = sorted(r["path"] for r in ignore.discovered(fresh, rules, patterns).collect())
+    if not found:
+        return spark.createDataFrame([], "doc string, filename string, content string")
+    raw = spark.read.option("wholetext", True).text([f"{root}/{p}" for p in found])
+    return raw.select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+
+
 def parse(files: DataFrame, registry: Registry | None = None) -> dict[str, TestReports | CoverageReports]:
     """Each detected format's reader over its own files; files of no format are left out.
 
