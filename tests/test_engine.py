@@ -1,6 +1,8 @@
 import json
 import re
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from verdigris.api import Engine
 from verdigris.operators.tables import history, numbered
 from verdigris.schemas import TABLES
 from verdigris.sources.registry import DEFAULT_PATTERNS, glob_pattern, read_files
-from verdigris.streaming.ingest import ingest, report_stream
+from verdigris.streaming.ingest import failure_counts, ingest, report_stream
 
 
 @pytest.fixture
@@ -48,6 +50,42 @@ def test_uploads_are_left_alone_after_five_attempts(spark, engine):
     assert engine.sync(lambda payload: 201) == (0, 0)
 
 
+class Server(BaseHTTPRequestHandler):
+    """Answers by what the payload asks for and remembers what came."""
+
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.seen.append((body["n"], self.headers["Authorization"], self.headers["Idempotency-Key"]))
+        self.send_response(body["answer"])
+        self.end_headers()
+
+    def log_message(self, *args):
+        pass
+
+
+def test_payloads_are_posted_by_tasks(spark, engine):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/runs"
+    runs = [engine.start_run() for _ in range(4)]
+    for n, (run, answer) in enumerate(zip(runs, (201, 202, 200, 500), strict=True)):
+        engine.store.enqueue(run, spark.createDataFrame([(json.dumps({"n": n, "answer": answer}),)], "payload string"), "2024")
+    assert engine.upload(url, "secret") == (2, 2)
+    assert sorted(n for n, _, _ in Server.seen) == [0, 1, 2, 3] and {a for _, a, _ in Server.seen} == {"Bearer secret"}
+    assert len({k for _, _, k in Server.seen}) == 4
+    left = {r["run_id"]: (r["attempts"], r["last_error"]) for r in engine.store.read("pending_uploads").collect()}
+    assert left == {runs[2]: (1, "HTTP 200"), runs[3]: (1, "HTTP 500")}
+    assert {r["id"] for r in engine.store.read("test_runs").filter("synced_at is not null").collect()} == set(runs[:2])
+    server.shutdown()
+    server.server_close()
+    for _ in range(4):  # nobody answers any more
+        assert engine.upload(url, timeout=2) == (0, 2)
+    assert engine.upload(url) == (0, 0)
+    assert {r["attempts"] for r in engine.store.read("pending_uploads").collect()} == {5}
+
+
 def test_writes_are_checked(spark, engine):
     run = engine.start_run()
     with pytest.raises(Exception, match="Invalid test status"):
@@ -177,3 +215,20 @@ def test_files_and_streams(spark, tmp_path):
     stream = ingest(report_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     stream.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_failures_of_a_stream(spark, tmp_path):
+    """Counts go on from batch to batch."""
+    rows_ = lambda *x: spark.createDataFrame(list(x), "name string, status string")
+    rows_(("a", "failed"), ("a", "passed"), ("b", "skipped")).write.parquet(str(tmp_path / "in" / "1"))
+    found = {}
+
+    def keep(batch, number):
+        found.update({r["name"]: (r["runs"], r["failures"]) for r in batch.collect()})
+
+    stream = lambda: spark.readStream.schema("name string, status string").parquet(str(tmp_path / "in" / "*"))
+    failure_counts(stream(), keep, str(tmp_path / "cp")).awaitTermination()
+    assert found == {"a": (2, 1)}
+    rows_(("a", "failed"), ("c", "failed")).write.parquet(str(tmp_path / "in" / "2"))
+    failure_counts(stream(), keep, str(tmp_path / "cp")).awaitTermination()
+    assert found == {"a": (3, 2), "c": (1, 1)}

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import clusters, compare, durations, flaky, health, payload, tables
 from verdigris.operators.store import Store
+from verdigris.operators.uploads import ACCEPTED, MAX_ATTEMPTS, TIMEOUT, sent
 from verdigris.sources import registry as formats
 from verdigris.sources.reports import CoverageReports, TestReports, events, stored_files
+from verdigris.steps import drop, saved
 
-#: Answers that count as accepted, and attempts of an upload.
-ACCEPTED, MAX_ATTEMPTS = (201, 202), 5
 #: Uploads whose outcomes are written at once.
 SETTLED = 100
 
@@ -155,6 +155,17 @@ class Engine:
         settle()
         return counts[0], counts[1]
 
+    def upload(self, url: str, token: str | None = None, timeout: float = TIMEOUT) -> tuple[int, int]:
+        """Post queued payloads to ``url`` from the executors; gives how many went and failed.
+
+        What was sent is written once, and the queue is settled from there; the rules are those of :meth:`sync`.
+        """
+        outcomes = saved(sent(tables.pending(self.store.read("pending_uploads"), MAX_ATTEMPTS), url, token, timeout))
+        counts = outcomes.agg(F.count_if("accepted").alias("went"), F.count_if(~F.col("accepted")).alias("failed")).first()
+        self.store.settle_outcomes(outcomes, now())
+        drop(outcomes)
+        return counts["went"], counts["failed"]
+
     def run_document(self, run_id: str, branch: str | None = None, context: DataFrame | None = None, synced: tuple[int, int] | None = None) -> DataFrame:
         """``json``: one document of a run with all that is known of it, parts without rows left out.
 

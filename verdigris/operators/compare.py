@@ -30,8 +30,8 @@ def changes(executions: DataFrame, pairs: DataFrame) -> DataFrame:
     A test's last execution in a run decides; tests that the current run lacks are left out.
     """
     status = last_status(executions)
-    now = status.join(F.broadcast(pairs.select("run_id", "baseline_run_id")), "run_id")
-    old = status.join(F.broadcast(pairs.select("baseline_run_id").distinct()), F.col("run_id") == F.col("baseline_run_id"), "left_semi").select(F.col("run_id").alias("baseline_run_id"), "name", F.col("status").alias("old"))
+    now = status.join(pairs.select("run_id", "baseline_run_id"), "run_id")
+    old = status.join(pairs.select("baseline_run_id").distinct(), F.col("run_id") == F.col("baseline_run_id"), "left_semi").select(F.col("run_id").alias("baseline_run_id"), "name", F.col("status").alias("old"))
     both = now.join(old, ["baseline_run_id", "name"], "left")
     fails, failed = F.col("status") == "failed", F.coalesce(F.col("old") == "failed", F.lit(False))
     kind = F.when(fails & ~failed, "new").when(fails & failed, "pre_existing").when(~fails & failed, "fixed")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from verdigris import schemas
 from verdigris.operators import payload, retention, tables
+from verdigris.steps import drop, saved
 
 _VERSION = "schema_version"
 #: Ids in a range.
@@ -138,22 +139,32 @@ class Store:
         self.settle([], [(upload_id, error)], None)
 
     def settle(self, accepted: list[tuple[int, str]], failed: list[tuple[int, str]], at: str | None) -> None:
-        """Mark runs of accepted uploads ``(id, run_id)`` and drop these, and count failed attempts ``(id, error)``.
+        """:meth:`settle_outcomes` of accepted uploads ``(id, run_id)`` and failed ones ``(id, error)``."""
+        rows = [(i, True, None) for i, _ in accepted] + [(i, False, e) for i, e in failed]
+        self.settle_outcomes(self.spark.createDataFrame(rows, "id bigint, accepted boolean, error string"), at)
 
-        Runs are marked first: what is sent again after a crash is marked again.
+    def settle_outcomes(self, outcomes: DataFrame, at: str | None) -> None:
+        """Mark runs of accepted uploads and drop these, and count failed attempts: ``outcomes (id, accepted, error)``.
+
+        Only partitions of the runs that have outcomes are written. Runs are marked first: what is sent again
+        after a crash is marked again.
         """
         queue = self.read("pending_uploads")
-        ids = [i for i, _ in accepted] + [i for i, _ in failed]
-        owners = {r["run_id"] for r in queue.filter(F.col("id").isin(ids)).select("run_id").distinct().toLocalIterator()}
-        queue, runs = queue.filter(F.col("run_id").isin(list(owners))), self.read("test_runs").filter(F.col("id").isin([r for _, r in accepted]))
-        left, marked = payload.synced(queue, runs, self.spark.createDataFrame(accepted, "id bigint, run_id string"), at)
-        if accepted:
+        touched = queue.join(outcomes.select("id", "accepted", "error"), "id").select("run_id", "id", "accepted", "error")
+        owners = {r["run_id"]: r["any"] for r in touched.groupBy("run_id").agg(F.bool_or("accepted").alias("any")).toLocalIterator()}
+        if not owners:
+            return
+        of_owners = queue.join(touched.select("run_id").distinct(), "run_id", "left_semi")
+        done = touched.filter("accepted").select("id", "run_id")
+        runs = self.read("test_runs").join(done.select(F.col("run_id").alias("id")).distinct(), "id", "left_semi")
+        left, marked = payload.synced(of_owners, runs, done, at)
+        left = saved(payload.attempted(left, touched.filter("NOT accepted")).select(*schemas.PENDING_UPLOADS.names))
+        if any(owners.values()):
             self.write("test_runs", marked)
-        left = payload.attempted(left, self.spark.createDataFrame(failed, "id bigint, error string"))
-        still = {r["run_id"] for r in left.select("run_id").distinct().toLocalIterator()}
         self.write("pending_uploads", left)
-        for run_id in owners - still:
+        for run_id in owners.keys() - {r["run_id"] for r in left.select("run_id").distinct().toLocalIterator()}:
             self.delete("pending_uploads", run_id)
+        drop(left)
 
     def clean_up(self, max_runs: int = retention.MAX_RUNS, before: str | None = None) -> int:
         """Drop expired runs and all rows that belong to them; returns how many runs went.

@@ -120,8 +120,8 @@ def pending(uploads: DataFrame, max_attempts: int = 5) -> DataFrame:
     return uploads.filter(F.col("attempts") < max_attempts).orderBy("created_at", "id")
 
 
-#: Rows that are numbered together.
-NUMBERED = 1 << 16
+#: Rows that are numbered together; leading characters by which reports are put into ranges.
+NUMBERED, HEAD = 1 << 16, 48
 
 
 def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
@@ -133,8 +133,14 @@ def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
     by = ["doc", "part"] if "doc" in rows.columns else ["part"]
     rows = rows.withColumn("part", F.floor(F.col("pos") / NUMBERED))
     counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    ahead = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(c).alias(f"start_{c}") for c in by], (F.coalesce(F.sum("n").over(ahead), F.lit(0)) + first).alias("start"))
+    # two levels, so that no task orders the counts of all reports: ranges of leading characters, then within each
+    head = F.coalesce(F.substring("doc", 1, HEAD), F.lit("")) if "doc" in by else F.floor(F.col("part") / NUMBERED)
+    counts = counts.withColumn("head", head)
+    before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.groupBy("head").agg(F.sum("n").alias("held")).withColumn("ahead", F.coalesce(F.sum("held").over(before("head")), F.lit(0))).drop("held")
+    inside = Window.partitionBy("head").orderBy(*[F.col(c) for c in by]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(heads, "head")
+    starts = starts.select(*[F.col(c).alias(f"start_{c}") for c in by], (F.col("ahead") + F.col("start") + first).alias("start"))
     same = [F.col(c).eqNullSafe(F.col(f"start_{c}")) for c in by]
     within = F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1
     return rows.withColumn("id", within).join(starts, same).withColumn("id", (F.col("start") + F.col("id")).cast("bigint")).drop("part", "start", *[f"start_{c}" for c in by])

@@ -25,12 +25,16 @@ def ingest(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     replaces its own folder, so no execution is stored twice."""
 
     def write(batch: DataFrame, number: int) -> None:
-        events(formats.test_cases(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        known = formats.with_defaults().detect(batch).persist()  # read once, for all formats
+        try:
+            events(formats.test_cases(known)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            known.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def flip_counts(executions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def failure_counts(executions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Failures and executions of each test, kept up to date over a stream of ``name, status``."""
     counts = executions.filter(F.col("status").isin("passed", "failed")).groupBy("name").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failures"))
     return counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
