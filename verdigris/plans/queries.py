@@ -387,9 +387,9 @@ def parse_jest(spark, sf_dir):
     return _cases(json_tests.jest(render.jest(adapters.lines(spark, sf_dir))), "file_path")
 
 
-@query(f"{WITH_LINES} SELECT {_DOC}, n AS pos, concat('lines.spec.ts > all > ', owner, ' > ', name) AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED}, CAST(n AS BIGINT) AS line FROM ln")
+@query(f"{WITH_LINES} SELECT {_DOC}, n AS pos, concat('lines.spec.ts > all > ', owner, CASE WHEN n % 3 = 0 THEN ' > deep' ELSE '' END, ' > ', name, CASE WHEN doc % 2 = 1 THEN ' [one]' ELSE '' END) AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED}, CAST(n AS BIGINT) AS line, CAST(CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END AS INT) AS retry_attempt FROM ln")
 def parse_playwright(spark, sf_dir):
-    return _cases(json_tests.playwright(render.playwright(adapters.lines(spark, sf_dir))), "line")
+    return _cases(json_tests.playwright(render.playwright(adapters.lines(spark, sf_dir))), "line", "retry_attempt")
 
 
 @query(f"{WITH_LINES} SELECT {_DOC}, n - 1 AS pos, concat('all > ', owner, ' > ', name) AS full_name, status, CAST(ms AS BIGINT) AS duration_ms, {_FAILED} FROM ln")
@@ -404,7 +404,7 @@ def _files(reports, *names: str) -> DataFrame:
 _LINE_COUNTS = "CAST(least(hit, total) AS BIGINT) AS lines_covered, CAST(total AS BIGINT) AS lines_total"
 
 
-@query(f"{WITH_LINES} SELECT {_DOC}, n AS pos, path, {_LINE_COUNTS}, CAST(1 AS BIGINT) AS branches_covered, CAST(2 AS BIGINT) AS branches_total FROM ln")
+@query(f"{WITH_LINES} SELECT {_DOC}, n + CASE WHEN doc % 4 = 0 THEN 1 ELSE 0 END AS pos, path, {_LINE_COUNTS}, CAST(1 AS BIGINT) AS branches_covered, CAST(2 AS BIGINT) AS branches_total FROM ln")
 def parse_lcov(spark, sf_dir):
     return _files(coverage_readers.lcov(render.lcov(adapters.lines(spark, sf_dir))), "pos", "lines_covered", "lines_total", "branches_covered", "branches_total")
 
@@ -414,16 +414,22 @@ def parse_cobertura(spark, sf_dir):
     return _files(coverage_readers.cobertura(render.cobertura(adapters.lines(spark, sf_dir))), "lines_covered", "lines_total", "branches_covered", "branches_total", "functions_covered", "functions_total")
 
 
-@query(f"{WITH_LINES} SELECT {_DOC}, path, {_LINE_COUNTS}, CAST(least(hit, total) AS BIGINT) AS functions_covered, CAST(least(hit, total) + 1 AS BIGINT) AS functions_total FROM ln")
+@query(f"{WITH_LINES}, f AS (SELECT *, CASE WHEN doc % 3 = 0 THEN 0 ELSE n END AS alone FROM ln) SELECT {_DOC}, path, CAST(sum(least(hit, total)) AS BIGINT) AS lines_covered, CAST(sum(total) AS BIGINT) AS lines_total, CAST(sum(least(hit, total)) AS BIGINT) AS functions_covered, CAST(sum(least(hit, total) + 1) AS BIGINT) AS functions_total FROM f GROUP BY doc, path, alone")
 def parse_jacoco(spark, sf_dir):
     return _files(coverage_readers.jacoco(render.jacoco(adapters.lines(spark, sf_dir))), "lines_covered", "lines_total", "functions_covered", "functions_total")
 
 
-@query(f"{WITH_LINES} SELECT {_DOC}, path, {_LINE_COUNTS}, CAST(1 AS BIGINT) AS branches_covered, CAST(2 AS BIGINT) AS branches_total, CAST(0 AS BIGINT) AS functions_covered, CAST(1 AS BIGINT) AS functions_total FROM ln")
+@query(f"{WITH_LINES} SELECT {_DOC}, path, CAST(least(hit, total) + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lines_covered, CAST(total + CASE WHEN n % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS lines_total, CAST(1 AS BIGINT) AS branches_covered, CAST(2 AS BIGINT) AS branches_total, CAST(0 AS BIGINT) AS functions_covered, CAST(1 AS BIGINT) AS functions_total FROM ln")
 def parse_clover(spark, sf_dir):
     return _files(coverage_readers.clover(render.clover(adapters.lines(spark, sf_dir))), "lines_covered", "lines_total", "branches_covered", "branches_total", "functions_covered", "functions_total")
 
 
+@query(f"""{WITH_LINES} SELECT {_DOC}, CAST(CASE WHEN doc % 2 = 0 THEN 1 ELSE sum(least(hit, total)) END AS BIGINT) AS lines_covered, CAST(CASE WHEN doc % 2 = 0 THEN doc ELSE sum(total) END AS BIGINT) AS lines_total,
+CAST(CASE WHEN doc % 2 = 0 THEN 7 ELSE sum(2 * (total - least(hit, total))) END AS BIGINT) AS branches_total, CAST(CASE WHEN doc % 2 = 0 THEN 0 ELSE count(*) END AS BIGINT) AS functions_total FROM ln GROUP BY doc""")
+def cobertura_reports(spark, sf_dir):
+    return coverage_readers.cobertura(render.cobertura(adapters.lines(spark, sf_dir))).reports.select("doc", *[F.col(c).cast("bigint").alias(c) for c in ("lines_covered", "lines_total", "branches_total", "functions_total")])
+
+
 #: A path for each line of an order: a package with a folder of one kind or another.
 PATHS = """
 SELECT concat('pkg', l_suppkey % 7, '/', CASE l_partkey % 5 WHEN 0 THEN 'build' WHEN 1 THEN 'test-results' WHEN 2 THEN 'build/keep' WHEN 3 THEN 'src' ELSE 'out/deep' END, '/', CASE l_linenumber % 3 WHEN 0 THEN 'junit-' WHEN 1 THEN 'note-' ELSE 'result-' END, l_orderkey, CASE l_quantity % 2 WHEN 0 THEN '.xml' ELSE '.tmp' END) AS path
