@@ -28,7 +28,7 @@ from verdigris.steps import drop, saved
 #: Bytes of an error that count, the similarity reported, the bucket of failures without a file.
 ERROR_BYTES, THRESHOLD, NO_FILE = 500, 0.7, "(unknown file)"
 #: Patterns of a run that are compared with one another in a round: at first, and at most.
-BLOCK, LARGEST_BLOCK = 64, 4096
+BLOCK, LARGEST_BLOCK = 128, 4096
 #: Classes of bytes in a bag.
 CLASSES = 16
 _CLASS_BYTES = ["".join(chr(b) for b in range(c, 256, CLASSES)) for c in range(CLASSES)]
@@ -93,7 +93,6 @@ def assign(found: DataFrame, block: int = BLOCK) -> DataFrame:
     open_ = saved(_measured(keyed.drop("run_id").withColumnRenamed("run", "run_id").filter("pattern <> ''")))
     settled = found.filter("pattern = ''").select("run_id", "pattern", "first", F.col("pattern").alias("leader"), F.col("first").alias("leads"))
     order = Window.partitionBy("run_id").orderBy("first")
-    kept = [F.col(f"a.{c}") for c in open_.columns]
     while most := open_.groupBy("run_id").count().agg(F.max("count")).first()[0]:
         last = most <= block
         heads = open_ if last else saved(open_.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= block).drop("turn"))
@@ -102,15 +101,15 @@ def assign(found: DataFrame, block: int = BLOCK) -> DataFrame:
         a, b = open_.alias("a"), _beside(new).alias("b")
         met = a.join(b, (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("b.first") <= F.col("a.first")) & _near("a", "b"), "left")
         best = F.min(F.when(F.col("b.first").isNotNull(), F.struct(F.col("b.first").alias("leads"), F.col("b.pattern").alias("leader")))).alias("best")
-        done = met.groupBy(*kept).agg(best)
+        done = met.groupBy("a.run_id", "a.pattern", "a.first").agg(best)
         done = done if last else saved(done)
         settled = settled.union(done.filter("best is not null").select("run_id.run_id", "pattern", "first", "best.leader", "best.leads"))
         if last:  # the block was all that was open
             break
         if 2 * new.count() > heads.count():
             block = min(2 * block, LARGEST_BLOCK)
-        drop(heads, new)
-        open_ = done.filter("best is null").drop("best")
+        drop(open_, heads, new)
+        open_ = saved(_measured(done.filter("best is null").drop("best")))
     return settled
 
 
