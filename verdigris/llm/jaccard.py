@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.components import components
 from verdigris.llm.scratch import drop, fresh, saved, small
-from verdigris.llm.text import as_bytes, batches, hashed, ngrams, signed
+from verdigris.llm.text import as_bytes, batches, hashed, ngrams, signed, trim
 
 #: Children of a node, as a power of two; members of a block, about; turns of hubs, and the orders they come from after the first.
 FAN_BITS, BLOCK, HUBS, ORDERS = 3, 1024, 3, 8
@@ -61,6 +61,7 @@ def _read(docs: DataFrame, n: int, make, schema: str, whole: bool = False) -> Da
             texts, ids = as_bytes(batch.column(1)), batch.column(0)
             for lo, hi in batches(texts):
                 yield from make(ids.slice(lo, hi - lo), _sets(texts[lo:hi], n), *([texts[lo:hi]] if whole else []))
+        trim()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -182,6 +183,7 @@ class _Join:
                         loose = [m[of] - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for m, x in zip(n, (one, two), strict=True)]
                         good[at + of] = np.minimum(*loose) + common >= _needed(n[0][of] + n[1][of], percent)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+            trim()
 
         sides = [classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
         wide = pairs.join(sides[0], "a").join(sides[1], "b")
@@ -214,6 +216,7 @@ class _Join:
                         common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                         good.append(100 * common >= percent * (len(a) + len(b) - common))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            trim()
 
         wide = pairs.join(sets.select(F.col("cls").alias("a"), F.col("whole").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("whole").alias("tb")), "b")
         out = saved(wide.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
@@ -296,6 +299,7 @@ class _Join:
                 cls = table.column("cls").to_numpy()
                 both = np.unique(np.sort(np.stack([cls[x], cls[y]]), axis=0), axis=1) if len(x) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            trim()
 
         return rows.mapInArrow(traverse, "a bigint, b bigint").distinct()
 

@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.text import batches
+from verdigris.llm.text import batches, trim
 
 #: Distinct words, and parts of words, whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS, CACHE_PARTS = 250_000, 250_000
+CACHE_WORDS, CACHE_PARTS = 180_000, 120_000
 
 
 class _Ids:
@@ -131,6 +131,7 @@ def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: in
                         at += n
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        trim()
 
     pieces = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, OUT)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
