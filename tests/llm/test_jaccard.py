@@ -61,8 +61,9 @@ def test_families_and_common_lines(spark, seed, block, monkeypatch):
     assert run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)) == brute(rows)
 
 
-def test_trees_alone_find_the_links(spark, monkeypatch):
-    """Without hubs every link comes out of a dual traversal, of one block or of many."""
+@pytest.mark.parametrize(("turns", "block"), [(0, 3), (3, 3), (0, 1024)])
+def test_turns_change_no_link(spark, monkeypatch, turns, block):
+    """Links come out of the last traversal alone, or of turns that merge labels ahead of it, of one block or of many."""
     r = random.Random(5)
     base = [[f"f{f}w{i}" for i in range(60)] for f in range(3)]
     rows = []
@@ -72,10 +73,64 @@ def test_trees_alone_find_the_links(spark, monkeypatch):
             text[r.randrange(len(text))] = f"x{r.randrange(99)}"
         rows.append((i, " ".join(text)))
     made = spark.createDataFrame(rows, "doc_id bigint, text string")
-    monkeypatch.setattr(jaccard._Join, "hubs", lambda self, groups, *_: groups.filter("false").selectExpr("cls AS a", "cls AS b"))
-    for block in (3, 1024):
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        assert run(made) == brute(rows)
+    monkeypatch.setattr(jaccard, "TURNS", turns)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    assert run(made) == brute(rows)
+
+
+def test_a_family_gives_few_pairs(spark, monkeypatch):
+    """Each turn gives fewer pairs than the family has members, and the last one next to none."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[: i % 190], f"x{i}", *base[i % 190 + 1 :]])) for i in range(400)]
+    given = []
+    verified = jaccard._Join.verified
+
+    def counted(self, pairs, members):
+        given.append(pairs.count())
+        return verified(self, pairs, members)
+
+    monkeypatch.setattr(jaccard._Join, "verified", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    assert {c for _, _, c in run(spark.createDataFrame(rows, "doc_id bigint, text string"))} == {0}
+    assert given[0] < 400 and sum(given) < 1200
+
+
+def test_forest_connects_what_may_link():
+    """The pairs of a block connect exactly what all pairs of the plain traversal connect, without a ring."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 63, (3, 80)).astype(np.uint64)
+    rows = []
+    for token in (1, 2):
+        for i in range(200):
+            change = r.random(80) < r.choice([0, 0.02, 0.1, 0.6])
+            tokens = np.unique(np.where(change, r.integers(0, 1 << 63, 80).astype(np.uint64), base[i % 3]))
+            rows.append((token, 0, 0, 0, int(r.integers(1 << 60)), len(tokens), jaccard._bits(tokens).tobytes()))
+    names = ["token", "a", "b", "side", "cls", "lo", "bits"]
+    table = pa.table({k: [row[i] for row in rows] for i, k in enumerate(names)})
+    table = table.append_column("hi", table["lo"]).append_column("label", table["cls"]).append_column("loose", pa.nulls(len(rows), pa.int64()))
+
+    def parts(pairs):
+        label = list(range(len(rows)))
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        joined = 0
+        for x, y in zip(*(p.tolist() for p in pairs), strict=True):
+            joined += root(x) != root(y)
+            label[max(root(x), root(y))] = min(root(x), root(y))
+        return [root(x) for x in range(len(rows))], joined
+
+    whole = parts(jaccard._traversed(table, 80))[0]
+    for turn in range(3):
+        x, y = jaccard._forest(table, 80, turn)
+        got, joined = parts((x, y))
+        assert got == whole and joined == len(x) < len(rows)
 
 
 def test_bounds_never_exclude_a_link():

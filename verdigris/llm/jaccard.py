@@ -5,9 +5,13 @@ the first few of each in one global order (prefix filter), so each n-gram is the
 classes that have it there, frequent n-grams last. A tree's nodes hold size ranges and OR-combined bitmaps of
 their members' n-grams. Its members lie by size and by their smallest n-gram, so that near copies share nodes.
 A dual traversal goes down from the pair of the root with itself, and leaves out every pair of nodes whose
-largest possible overlap is too small: between blocks of members by joins of node summaries, within two
-blocks in memory. What is left is verified on the whole sets. Classes already in one component aren't
-compared again: each group's members meet one hub first, so copies don't make all their pairs.
+largest possible overlap is too small, or which lie in one component: between blocks of members by joins of
+node summaries, within two blocks in memory. What is left is verified on the whole sets.
+
+Copies don't make all their pairs. In a few turns before the last, blocks are traversed from the leaves up and
+labels are merged on the way, so that a family of n members gives n - 1 pairs at most; these are verified and
+make components, whose members the next turn doesn't compare. The last turn traverses whatever is still apart and
+merges nothing, so it gives every pair left.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from verdigris.llm.components import components
 from verdigris.llm.scratch import drop, fresh, saved, small
 from verdigris.llm.text import as_bytes, batches, hashed, ngrams, signed, trim
 
-#: Children of a node, as a power of two; members of a block, about; turns of hubs, and the orders they come from after the first.
-FAN_BITS, BLOCK, HUBS, ORDERS = 3, 1024, 3, 8
+#: Children of a node, as a power of two; members of a block, about; turns that merge labels before the last one,
+#: and the members of each component that a group has in such a turn after the first.
+FAN_BITS, BLOCK, TURNS, SPREAD = 3, 1024, 3, 8
 #: Bits of a bitmap, as a power of two, up to which it is made for few tokens; first tokens of a class that tell
 #: in which of its groups a pair is given.
 FEW_BITS, LEADS = 10, 8
@@ -132,7 +137,7 @@ class _Join:
         Of tokens that the same classes have, one stays, as they would give the same pairs; sets of classes are
         told apart by their sizes and by 128 bits. ``least`` is a class's first token.
         """
-        rows = classes.select("cls", F.explode("first").alias("token")).repartition("token")
+        rows = classes.select("cls", F.explode("first").alias("token"))  # no repartition, so that Spark may split a frequent token
         held = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in range(2)]
         sizes = rows.groupBy("token").agg(F.count("*").alias("size"), *held).filter("size > 1")
         kept = sizes.groupBy("size", "h0", "h1").agg(F.min("token").alias("token")).select("token").hint("shuffle_hash")
@@ -141,53 +146,30 @@ class _Join:
         drop(narrow)
         return out
 
-    def hubs(self, groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-        """Pairs ``a, b`` of each member of a group with the group's hub among members of about its size.
-
-        Hubs come from one order for all groups at first, so near copies mostly meet the same hub; later turns try
-        several orders with those that are left. A size is in two bands, one shifted by half, so that no family of
-        one size is parted. Members of the hub's component are left out.
-        """
-        size = F.log("n") / float(2 * np.log(100 / self.percent))
-        bands = F.array(2 * F.floor(size), 2 * F.floor(size + 0.5) + 1)
-        rows = self.labelled(groups, labels).select("token", "cls", "n", "label", F.explode(bands).alias("band"))
-        order = F.pmod(F.xxhash64("token"), F.lit(ORDERS)) if turn else F.lit(0)
-        hub = F.min(F.struct(F.xxhash64("cls", F.lit(turn), order).alias("turn"), "cls", "n", "label")).alias("hub")
-        both = rows.join(rows.groupBy("token", "band").agg(hub), ["token", "band"]).filter("label <> hub.label")
-        near = both.filter(100 * F.least("n", "hub.n") >= self.percent * F.greatest("n", "hub.n"))
-        return near.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
-
     @staticmethod
     def labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """``groups`` with ``label``, the component of each class so far, at first itself."""
+        """``groups`` with ``label``, the component of each class so far, at first itself, and ``linked``, whether it
+        is in one with others."""
         if labels is None:
-            return groups.withColumn("label", F.col("cls"))
-        return groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+            return groups.select("*", F.col("cls").alias("label"), F.lit(False).alias("linked"))
+        named = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        return named.withColumns({"label": F.coalesce("component", "cls"), "linked": F.col("component").isNotNull()}).drop("component")
 
-    def pruned(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs whose members' bitmaps allow a link."""
-        percent = self.percent
-
-        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in rows:
-                good = np.zeros(batch.num_rows, bool)
-                sides = [(batch.column(i).to_numpy(), batch.column(i + 1)) for i in (2, 4)]
-                for at in range(0, batch.num_rows, CHUNK):
-                    bits = [x.slice(at, CHUNK).to_pylist() for _, x in sides]
-                    n = [x[at : at + CHUNK] for x, _ in sides]
-                    widths = np.minimum(*[np.array([len(x) for x in side]) for side in bits])
-                    for w in np.unique(widths):
-                        of = np.flatnonzero(widths == w)
-                        one, two = (np.stack([_folded(np.frombuffer(side[i], np.uint8), w) for i in of]) for side in bits)
-                        common = np.bitwise_count(one & two).sum(axis=1, dtype=np.int64)
-                        loose = [m[of] - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for m, x in zip(n, (one, two), strict=True)]
-                        good[at + of] = np.minimum(*loose) + common >= _needed(n[0][of] + n[1][of], percent)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
-            trim()
+    def chosen(self, groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+        """``token, cls, n, least, label``: what the trees of a turn that merges labels hold.
 
-        sides = [classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
-        wide = pairs.join(sides[0], "a").join(sides[1], "b")
-        return wide.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a bigint, b bigint")
+        At first each class is in one of its groups, by the smallest hash, so near copies mostly meet. Later turns take
+        the groups that hold a component, and of each component SPREAD members at most in each group, others in each turn.
+        """
+        if labels is None:
+            first = F.min(F.struct(F.xxhash64("token").alias("turn"), "token", "n", "least")).alias("first")
+            return groups.groupBy("cls").agg(first).select("first.token", "cls", "first.n", "first.least", F.col("cls").alias("label"))
+        named = self.labelled(groups, labels)
+        some = named.groupBy("token").agg(F.max("linked").alias("linked")).filter("linked").select("token")
+        turned = F.xxhash64("cls", F.lit(turn))
+        one = F.min(F.struct(turned.alias("turn"), "cls", "n", "least")).alias("one")
+        rows = named.join(some, "token", "left_semi").groupBy("token", "label", F.pmod(turned, F.lit(SPREAD)).alias("part")).agg(one)
+        return rows.select("token", "one.cls", "one.n", "one.least", "label")
 
     def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs that link by their whole sets, which are read again from one document of each class."""
@@ -223,14 +205,14 @@ class _Join:
         drop(reps)
         return out
 
-    def placed(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of the trees that hubs left open: groups of several components.
+    @staticmethod
+    def placed(named: DataFrame) -> DataFrame:
+        """Members of trees: of ``named`` (``token, cls, n, least, label``) the groups of several components.
 
         ``token, cls, n, least, label, band, block``: members lie by size band, then by their smallest token, and
         a block is about BLOCK of them. Their places come from counts by band and by the first bits of that
         token, so that no task orders a whole group.
         """
-        named = self.labelled(groups, labels).repartition("token")
         open_ = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))).cast("int")
         held = saved(named.join(open_, "token", "left_semi").withColumns({"band": band, "bin": F.shiftrightunsigned("least", 52)}))
@@ -283,7 +265,7 @@ class _Join:
         return pairs.union(last.filter("last = 0").select("token", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")))
 
     def tree_pairs(self, placed: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of classes of different components that the trees let through."""
+        """All pairs of classes of different components that the trees let through."""
         percent = self.percent
         pairs = self.block_pairs(placed, classes)
         sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
@@ -303,26 +285,45 @@ class _Join:
 
         return rows.mapInArrow(traverse, "a bigint, b bigint").distinct()
 
+    def forest_pairs(self, placed: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+        """Pairs that connect, within each block, all members that its tree lets through: one fewer than members at most."""
+        percent = self.percent
+        rows = placed.join(classes.select("cls", "bits"), "cls").selectExpr("token", "block AS a", "block AS b", "0 AS side", "band", "least", "cls", *_MEMBER)
+        rows = rows.repartition("token", "a").sortWithinPartitions("token", "a", "band", "least", "cls")
+
+        def traverse(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _whole(batches_, 2):
+                x, y = _forest(table, percent, turn)
+                cls = table.column("cls").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y]))], ["a", "b"])
+            trim()
+
+        return rows.mapInArrow(traverse, "a bigint, b bigint").distinct()
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """``doc_id, cls, n`` of all rows, and ``node, component`` of linked classes."""
         members, heavy = self.members()
         classes = self.classes(heavy)
         groups = self.groups(classes)
         found = edges = None
-        for turn in range(HUBS):
-            close = saved(self.pruned(self.hubs(groups, found, turn), classes))
-            more = self.verified(close, members)
-            found = saved(components(more if edges is None else edges.union(more)))
-            edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            drop(close, more)
-        placed = self.placed(groups, found)
-        drop(groups)
-        close = saved(self.tree_pairs(placed, classes))
-        drop(classes)
-        more = self.verified(close, members)
-        found = components(edges.union(more))
-        drop(placed, close)
-        return members, found
+        last = False
+        for turn in range(TURNS + 1):
+            last = last or turn == TURNS
+            placed = self.placed(self.labelled(groups, found) if last else self.chosen(groups, found, turn))
+            close = saved(self.tree_pairs(placed, classes) if last else self.forest_pairs(placed, classes, turn))
+            drop(placed)
+            none = close.isEmpty()
+            if not none:
+                more = self.verified(close, members)
+                found = saved(components(more if edges is None else edges.union(more)))
+                edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                drop(more)
+            drop(close)
+            if last:
+                break
+            last = none  # nothing was let through, so another turn before the last would give nothing either
+        drop(groups, classes)
+        return members, found if found is not None else members.select(F.col("cls").alias("node"), F.col("cls").alias("component")).filter("false")
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
@@ -424,9 +425,9 @@ def _whole(batches_: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _traversed(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``table`` that may link: trees over the rows of each ``token, a, b, side``, and a dual traversal
-    of the tree of side 0 with itself, or with that of side 1 where there is one."""
+def _trees(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[_Nodes], list[np.ndarray]]:
+    """Trees over the rows of each ``token, a, b, side``: where groups and trees start, the levels from the members
+    up, and for each level above the first child of each node."""
     cols = [table.column(c).to_numpy() for c in ("token", "a", "b", "side")]
     n = table.num_rows
     group, tree = np.zeros(n, bool), np.zeros(n, bool)
@@ -443,18 +444,89 @@ def _traversed(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         firsts.append(np.append(first, len(rank)))
         levels.append(levels[-1].merged(first))
         of_tree, rank = of_tree[first], rank[first]
+    return group, tree, levels, firsts
+
+
+def _descended(x: np.ndarray, y: np.ndarray, nodes: _Nodes, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of children, of level ``nodes``, of pairs of nodes, that may link."""
+    found = []
+    for at in range(0, len(x), CHUNK):
+        a, b = _children(x[at : at + CHUNK], y[at : at + CHUNK], first)
+        keep = nodes.possible(a, b, percent)
+        found.append((a[keep], b[keep]))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def _forest(table: pa.Table, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect what may link within each ``token, a``, by a dual traversal from the leaves up.
+
+    The children of each node are paired, level by level. Two of them first meet by one member each, which
+    ``turn`` picks; only if these may not link the traversal goes down from the pair. Labels are merged at
+    once, so that a pair of nodes of one label is never looked into.
+    """
+    _, _, levels, firsts = _trees(table)
+    random = np.random.default_rng(turn)
+    order = np.argsort(table.column("cls").to_numpy().view(np.uint64) * np.uint64(int(random.integers(1 << 62)) * 2 + 1))
+    ranks = [np.argsort(order)]
+    for first in firsts:
+        ranks.append(np.minimum.reduceat(ranks[-1], first[:-1]))
+    label = np.unique(levels[0].label, return_inverse=True)[1]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, first in enumerate(firsts):
+        _relabel(levels[: k + 1], firsts, label)
+        parents = np.arange(len(first) - 1)
+        x, y = _descended(parents, parents, levels[k], first, percent)
+        x, y = x[x != y], y[x != y]
+        one, two = order[ranks[k][x]], order[ranks[k][y]]
+        keep = levels[0].possible(one, two, percent)
+        label = _merged_labels(label, one[keep], two[keep], random, found)
+        _relabel(levels[: k + 1], firsts, label)
+        keep = levels[k].possible(x, y, percent)
+        x, y = x[keep], y[keep]
+        for j in range(k, 0, -1):
+            x, y = _descended(x, y, levels[j - 1], firsts[j - 1], percent)
+        label = _merged_labels(label, x, y, random, found)
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def _relabel(levels: list[_Nodes], firsts: list[np.ndarray], label: np.ndarray) -> None:
+    """Give the members ``label``, and each node above the label of its members or -1."""
+    levels[0].label = label
+    for below, nodes, first in zip(levels, levels[1:], firsts, strict=False):
+        lowest, highest = np.minimum.reduceat(below.label, first[:-1]), np.maximum.reduceat(below.label, first[:-1])
+        nodes.label = np.where(lowest == highest, lowest, -1)
+
+
+def _merged_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray, random: np.random.Generator, found: list) -> np.ndarray:
+    """``label`` after the labels of each pair are merged; the pairs that it takes are added to ``found``."""
+    mixed = random.permutation(len(x))
+    x, y = x[mixed], y[mixed]
+    while True:
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            return label
+        # each label is hung below one smaller label, so there are no rings
+        labels, at = np.unique(np.maximum(label[x], label[y]), return_index=True)
+        found.append((x[at], y[at]))
+        above = np.arange(int(label.max()) + 1)
+        above[labels] = np.minimum(label[x[at]], label[y[at]])
+        while not np.array_equal(above, above[above]):
+            above = above[above]
+        label = above[label]
+
+
+def _traversed(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``table`` that may link: a dual traversal of the tree of side 0 with itself, or with that of side 1
+    where there is one."""
+    group, tree, levels, firsts = _trees(table)
     # roots are trees now, in order; a group has one or two
     starts = np.flatnonzero(group[np.flatnonzero(tree)])
     x, y = starts, np.append(starts[1:], int(tree.sum())) - 1
     keep = levels[-1].possible(x, y, percent)
     x, y = x[keep], y[keep]
     for nodes, first in zip(reversed(levels[:-1]), reversed(firsts), strict=True):
-        found = []
-        for at in range(0, len(x), CHUNK):
-            a, b = _children(x[at : at + CHUNK], y[at : at + CHUNK], first)
-            keep = nodes.possible(a, b, percent)
-            found.append((a[keep], b[keep]))
-        x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        x, y = _descended(x, y, nodes, first, percent)
     keep = x != y
     return x[keep], y[keep]
 
