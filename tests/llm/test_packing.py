@@ -49,3 +49,17 @@ def test_buckets_are_folders(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == pieces.count()
     assert back.filter(F.col("length") != F.expr("shiftleft(1L, bucket)")).count() == 0
+
+
+def test_words_of_all_texts_are_learnt_at_once(monkeypatch):
+    ids = packing._Ids(PATH)
+    calls = []
+    learn = packing._Ids._learn
+    monkeypatch.setattr(packing._Ids, "_learn", lambda self, new: (calls.append(sorted(new)), learn(self, new))[1])
+    got = ids.of(["one two!!", "two!! three", "ß \u0130 x", ""])
+    assert calls == [sorted(["one", "two!!", "three", "ß", "\u0130", "x"])]
+    want = [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in ("one two!!", "two!! three", "ß \u0130 x", "")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert ids.of(["three one"]) and len(calls) == 1
+    ids.forget()
+    assert list(ids.words) == [""] and len(ids.parts) == 1

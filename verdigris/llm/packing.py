@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.text import batches, trim
 
-#: Distinct words, and parts of words, whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS, CACHE_PARTS = 180_000, 120_000
+#: Distinct words, and as many parts of words, whose ids a task remembers; beyond that it starts anew.
+CACHE_WORDS = 350_000
 
 
 class _Ids:
@@ -33,41 +34,48 @@ class _Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": _CLOSED}
         spec = json.loads(self.tokenizer.to_str())
         #: Latin words may go straight to the model where the steps before it are the ones known here.
         self.direct = spec["normalizer"] == _NORMALIZER and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
         if self.direct:
-            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-
-    def of(self, words: list[str]) -> bytes:
-        got = list(map(self.words.get, words))
-        if None in got:
-            self._learn([w for w, ids in zip(words, got, strict=True) if ids is None])
-            got = map(self.words.__getitem__, words)
-        return b"".join(got)
-
-    def forget(self) -> None:
-        if len(self.words) > CACHE_WORDS:
+            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*split).difference(self.words))
+        if new:
+            self._learn(new)
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) for words in split]
+
+    def forget(self, most: int = 0) -> None:
+        """Drop the words, or the parts, if they are more than so many."""
+        if len(self.words) > most:
             self.words = {"": b""}
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
+        if len(self.parts) > most:
+            self.parts = {"\n": _CLOSED}
 
     def _learn(self, new: list[str]) -> None:
-        other = []
-        for w in new:
-            if self.direct and _LATIN.fullmatch(w) and "<|" not in w:
-                self.words[w] = b"".join([self.parts.get(p) or self._part(p) for p in self.split.findall(w.lower())])
-            else:
-                other.append(w)
-        for w, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False) if other else (), strict=True):
+        latin = [w for w in new if _LATIN.fullmatch(w) and "<|" not in w] if self.direct else []
+        if latin:
+            # one string of all words, each closed by a line end, which splits and stands for itself
+            found = self.split.findall("\n".join(latin).lower() + "\n")
+            self._learn_parts(list(set(found).difference(self.parts)))
+            self.words.update(zip(latin, b"".join(map(self.parts.__getitem__, found)).split(_CLOSED)[:-1], strict=True))
+            new = [w for w in new if w not in self.words]
+        for w, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else (), strict=True):
             self.words[w] = np.array(got.ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        ids = self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS))
-        out = self.parts[part] = np.array([t.id for t in ids], "<u4").tobytes()
-        return out
+    def _learn_parts(self, new: list[str]) -> None:
+        tokenize, parts = self.model.tokenize, self.parts
+        for part in new:
+            ids = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            parts[part] = array("I", [t.id for t in ids]).tobytes()
+
 
+#: Ends the ids of a word. No id is so large, and each id's last byte is 0, so it stands nowhere else.
+_CLOSED = b"\xff" * 4
 
 #: Words of visible Latin characters whose lower case is one character wherever they stand.
 _LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
@@ -81,13 +89,12 @@ _BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b n
 _ids: dict[str, _Ids] = {}
 
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
+def token_ids(texts: list[str], path: str, words: int = CACHE_WORDS) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of whole texts, without special tokens."""
     if path not in _ids:
         _ids[path] = _Ids(path)
-    _ids[path].forget()
-    of = _ids[path].of
-    return [of(t.replace("\n", " ").split(" ")) for t in texts]
+    _ids[path].forget(words)
+    return _ids[path].of(texts)
 
 
 def lengths(n: int, longest: int) -> list[int]:
@@ -103,13 +110,14 @@ def lengths(n: int, longest: int) -> list[int]:
 OUT = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int"
 
 
-def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4096) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4096, words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents, one row each: ``doc_id, start, length, ids, doc_tokens, bucket,
     sequence_id, offset``.
 
     ``ids`` are little-endian unsigned 32-bit token ids; each document ends with ``end_id``. A null or
     empty text is the end id alone. Rows are taken as they come: repeated rows, ties and null ids give
     pieces of their own, and other columns of ``docs`` are not read. ``longest`` is a power of two.
+    Tasks remember the ids of ``words`` words, some 200 bytes each, and of as many parts of words.
     ``bucket`` is the length's binary logarithm; ``sequence_id`` is unique and ``offset`` always 0.
     """
     if longest & (longest - 1):
@@ -122,7 +130,7 @@ def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: in
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in batches(texts, 2 << 20):
                 cols: list[list] = [[] for _ in names]
-                for key, ids in zip(keys[lo:hi], token_ids(texts[lo:hi], tokenizer_file), strict=True):
+                for key, ids in zip(keys[lo:hi], token_ids(texts[lo:hi], tokenizer_file, words), strict=True):
                     ids += end
                     total, at = len(ids) // 4, 0
                     for n in lengths(total, longest):
@@ -131,6 +139,8 @@ def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: in
                         at += n
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        if tokenizer_file in _ids:
+            _ids[tokenizer_file].forget()  # the worker may live on for other steps
         trim()
 
     pieces = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, OUT)
