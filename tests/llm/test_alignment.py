@@ -114,3 +114,10 @@ def test_odd_tables(spark, clashing, empty):
     assert alignment.align(clashing, *PATHS).count() == clashing.count()
     none = spark.createDataFrame([(None, None), (None, ""), (3, None)], "doc_id bigint, text string")
     assert sorted(map(str, alignment.align(none, *PATHS, digest=True).collect())) == sorted(str(r) for r in none.selectExpr("doc_id", *[f"0L {c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], "'' groups_sha256").collect())
+
+
+def test_texts_are_aligned_once(spark, rows):
+    """The second pass reads the links that the first one saved, not the texts."""
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plan = alignment.align(texts, *PATHS)._jdf.queryExecution().toString()
+    assert "links" in plan and "text#" not in plan

@@ -2,8 +2,9 @@
 
 Two tokens of one text, one by each tokenizer, overlap where their byte ranges do. Overlapping tokens are the
 edges of a bipartite graph; union-find over it gives components, and these are exactly the smallest groups of
-tokens that cover the same bytes. Within a component the members whose ranges end together are linked, and a
-second pass weighs each link by how often its pair of ids is linked in all documents.
+tokens that cover the same bytes. Within a component the members whose ranges end together are linked. A first
+pass aligns each text and saves its links; a second one reads these alone, and weighs each by how often its pair of
+ids is linked in all documents.
 
 Both tokenizers start anew at a space after anything but white space, so a text falls into chunks there. A
 task tokenizes and aligns each distinct chunk once, many chunks in one string, and puts documents together
@@ -15,7 +16,6 @@ one ends with the other, so there are no more pairs of ids than suffixes of toke
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.packing import _BYTE_LETTERS
+from verdigris.llm.scratch import saved
 from verdigris.llm.search import _ranges
 from verdigris.llm.text import trim
 
@@ -105,7 +106,6 @@ class Aligner:
         self.text: list[str] = []
         self.valid, self.n_a, self.n_b, self.n_groups = (np.zeros(0, np.int64) for _ in range(4))
         self.link_chunk, self.link_pair = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.weighed = None
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """Numbers of chunks; those not seen before are aligned."""
@@ -180,23 +180,6 @@ class Aligner:
         last = np.flatnonzero(np.append(pair[1:] != pair[:-1], True)) if len(pair) else np.zeros(0, np.int64)
         return pair[last], np.diff(n[last], prepend=0)
 
-    def weigh(self, pair: np.ndarray, count: np.ndarray, best: np.ndarray, token: str) -> tuple[np.ndarray, np.ndarray]:
-        """Best links and the sum of links' counts of every chunk, by rising pairs with counts."""
-        if self.weighed is None or self.weighed[0] != token:
-            self.weighed = (token, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        done = len(self.weighed[1])
-        if done < len(self.text):
-            lo = np.searchsorted(self.link_chunk, done)
-            at = np.searchsorted(pair, self.link_pair[lo:])
-            of, more = self.link_chunk[lo:] - done, len(self.text) - done
-            sums = np.zeros(more, np.int64)
-            known = np.clip(at, 0, max(0, len(pair) - 1))
-            there = pair[known] == self.link_pair[lo:] if len(pair) else np.zeros(len(at), bool)
-            np.add.at(sums, of[there], count[known[there]])
-            good = np.bincount(of[there], best[known[there]], more).astype(np.int64)
-            self.weighed = (token, np.concatenate([self.weighed[1], good]), np.concatenate([self.weighed[2], sums]))
-        return self.weighed[1], self.weighed[2]
-
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -230,6 +213,24 @@ def _numbered(of: Aligner, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np
     return at, first, (bad[first[1:]] == bad[first[:-1]]) & (first[1:] > first[:-1])
 
 
+class _Counts:
+    """How often a task's texts have each chunk."""
+
+    def __init__(self, of: Aligner):
+        self.of, self.times = of, np.zeros(0, np.int64)
+
+    def add(self, at: np.ndarray) -> None:
+        more = np.bincount(at, minlength=len(self.of.text))
+        more[: len(self.times)] += self.times
+        self.times = more
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of ids and how often they are linked, since the last time."""
+        got = self.of.pairs(self.times)
+        self.times = np.zeros(0, np.int64)
+        return got
+
+
 def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``a_id, b_id, n``: how often tokens of these ids end together in all texts of ``docs (text)``.
 
@@ -239,29 +240,82 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = aligner(a_path, b_path)
-        times = np.zeros(0, np.int64)
+        counts = _Counts(of)
 
         def out() -> pa.RecordBatch:
-            pair, n = of.pairs(times)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (pair >> 32, pair & 0xFFFFFFFF, n)], ["a_id", "b_id", "n"])
+            pair, n = counts.taken()
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
         for batch in rows:
             for _, texts in _runs(batch.column(0)):
                 if len(of.index) > CACHE_CHUNKS:
                     yield out()
                     of.forget()
-                    times = np.zeros(0, np.int64)
                 at, first, good = _numbered(of, texts)
-                more = np.bincount(at[np.repeat(good, np.diff(first))], minlength=len(of.text))
-                more[: len(times)] += times
-                times = more
+                counts.add(at[np.repeat(good, np.diff(first))])
         yield out()
         trim()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "a_id bigint, b_id bigint, n bigint").groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+    return _summed(docs.select(F.col("text").cast("string")).mapInArrow(count, "pair bigint, n bigint"))
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    """``a_id, b_id, n`` of ``pair, n`` by task."""
+    return pairs.groupBy("pair").agg(F.sum("n").alias("n")).select(F.shiftright("pair", 32).alias("a_id"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b_id"), "n")
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(x)]).astype(np.int64)
 
 
 OUT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, `groups` string"
+#: Rows of the table between the two passes: of a document with its links, or of a task's pairs and how often each is linked.
+_LINKED = "n_a bigint, n_b bigint, n_groups bigint, `groups` string, links array<bigint>, pair array<bigint>, times array<bigint>"
+#: Rows whose links are weighed at once.
+WEIGHED_ROWS = 1000
+
+
+def _linked(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFrame:
+    """``doc_id`` and _LINKED: every text tokenized and aligned, once."""
+    lists = pa.list_(pa.int64())
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = aligner(a_path, b_path)
+        counts = _Counts(of)
+        names = ["doc_id", "n_a", "n_b", "n_groups", "groups", "links", "pair", "times"]
+
+        def counted(kind: pa.DataType) -> pa.RecordBatch:
+            none = [pa.nulls(1, t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), lists)]
+            return pa.RecordBatch.from_arrays([*none, *(pa.array([x], lists) for x in counts.taken())], names)
+
+        kind = None
+        for batch in rows:
+            kind = batch.column(0).type
+            for lo, texts in _runs(batch.column(1)):
+                if len(of.index) > CACHE_CHUNKS:
+                    yield counted(kind)
+                    of.forget()
+                at, first, good = _numbered(of, texts)
+                whole = at[np.repeat(good, np.diff(first))]
+                counts.add(whole)
+                columns = []
+                for x in (of.n_a, of.n_b, of.n_groups):
+                    total = _sums(x[at])
+                    columns.append(np.where(good, total[first[1:]] - total[first[:-1]], 0))
+                starts = _sums(of.n_groups)  # a group has one link, at its end
+                links = of.link_pair[_ranges(starts[whole], starts[whole + 1])[0]]
+                said, bounds, numbers = of.text, first.tolist(), at.tolist()
+                groups = [";".join([said[x] for x in numbers[bounds[i] : bounds[i + 1]]]) if ok else "" for i, ok in enumerate(good.tolist())]
+                if digest:
+                    groups = [sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                links = pa.ListArray.from_arrays(pa.array(_sums(columns[2]), pa.int32()), pa.array(links))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), *map(pa.array, columns), pa.array(groups, pa.string()), links, pa.nulls(len(texts), lists), pa.nulls(len(texts), lists)], names)
+        if kind is not None:
+            yield counted(kind)
+        trim()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(read, f"doc_id {kind}, {_LINKED}")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> DataFrame:
@@ -276,7 +330,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     """
     spark = docs.sparkSession
     most = Aligner(a_path, b_path).most_pairs()
-    table = pair_counts(docs, a_path, b_path).toArrow()
+    linked = saved(_linked(docs, a_path, b_path, digest))
+    table = _summed(linked.filter("times IS NOT NULL").select(F.explode(F.arrays_zip("pair", "times")).alias("x")).select("x.pair", F.col("x.times").alias("n"))).toArrow()
     if table.num_rows > most:
         raise ValueError(f"{table.num_rows} pairs of ids are linked, but the vocabularies allow {most}")
     a, b, n = (table.column(c).to_numpy() for c in ("a_id", "b_id", "n"))
@@ -285,27 +340,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     highest = np.zeros(int(b.max(initial=0)) + 1, np.int64)
     np.maximum.at(highest, b, n)
     sent = spark.sparkContext.broadcast(((a << 32) | b, n, n == highest[b]))
-    name = uuid.uuid4().hex
 
-    def aligned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, (pair, count, best) = aligner(a_path, b_path), sent.value
-        for batch in rows:
-            for lo, texts in _runs(batch.column(1)):
-                if len(of.index) > CACHE_CHUNKS:
-                    of.forget()
-                at, first, good = _numbered(of, texts)
-                n_best, sums = of.weigh(pair, count, best, name)
-                columns = []
-                for x in (of.n_a, of.n_b, of.n_groups, of.n_groups, n_best, sums):
-                    total = np.concatenate([[0], np.cumsum(x[at])])
-                    columns.append(pa.array(np.where(good, total[first[1:]] - total[first[:-1]], 0)))
-                said, bounds, numbers = of.text, first.tolist(), at.tolist()
-                groups = [";".join([said[x] for x in numbers[bounds[i] : bounds[i + 1]]]) if ok else "" for i, ok in enumerate(good.tolist())]
-                if digest:
-                    groups = [sha256(g.encode()).hexdigest() if g else "" for g in groups]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), *columns, pa.array(groups, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+    def weighed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, count, best = sent.value
+        for all_rows in rows:
+            for lo in range(0, all_rows.num_rows, WEIGHED_ROWS):
+                batch = all_rows.slice(lo, WEIGHED_ROWS)
+                links = batch.column(5)
+                first = _sums(links.value_lengths().to_numpy(zero_copy_only=False))
+                at = np.searchsorted(pair, links.flatten().to_numpy())  # each of them was counted
+                numbers = [np.diff(x[first]) for x in (_sums(best[at]), _sums(count[at]))]
+                columns = [*batch.columns[:4], pa.array(np.diff(first)), *map(pa.array, numbers), batch.column(4)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
         trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(aligned, f"doc_id {kind}, {OUT}")
+    out = linked.filter("times IS NULL").drop("pair", "times").mapInArrow(weighed, f"doc_id {kind}, {OUT}")
     return out.withColumnRenamed("groups", "groups_sha256") if digest else out
