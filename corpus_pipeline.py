@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import jaccard, mixing, packing, passages, quality
-from verdigris.llm.scratch import saved
+from verdigris.llm.scratch import saved, short_batches
+
+
+#: Words that tasks of the last stage remember, fewer than alone: executors still hold memory of the stages before.
+PACK_WORDS = 90_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths; a null or empty text gives its end id alone."""
-    return packing.decompose(docs, public_tokenizers.path("word_bpe_49k.json"))
+    short_batches(spark)
+    return packing.decompose(docs, public_tokenizers.path("word_bpe_49k.json"), words=PACK_WORDS)
 
 
 STAGES = [

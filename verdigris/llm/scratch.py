@@ -5,9 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch of a step whose result is saved.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Sessions of the tables written and not dropped yet, by path.
 _written: dict[str, SparkSession] = {}
 
@@ -37,12 +43,33 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; cuts its lineage."""
     spark = df.sparkSession
     path = place(spark)
-    df.write.parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on Python steps get Arrow batches of at most BATCH_BYTES, unless the session has a bound."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Python steps get Arrow batches of at most BATCH_BYTES: the JVM and Python hold each several times."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`saved` that no later step reads."""
     for df in tables:

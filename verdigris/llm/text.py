@@ -104,7 +104,8 @@ def _step(n: int) -> np.uint64:
 
 
 def trim() -> None:
-    """Give freed memory back to the system, where the C library can: workers live on between steps."""
+    """Give freed memory back to the system, Arrow's and, where it can, the C library's: workers live on between steps."""
+    pa.default_memory_pool().release_unused()
     free = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if free:
         free(0)
