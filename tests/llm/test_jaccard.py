@@ -204,3 +204,15 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_tokens_of_one_class_are_only_counted(spark, docs, monkeypatch):
+    """Hashes of classes are shuffled for tokens that several classes have, not for the many others."""
+    saved, tables = jaccard.saved, []
+    monkeypatch.setattr(jaccard, "saved", lambda df: (tables.append((df.columns, df._jdf.queryExecution().toString())), saved(df))[1])
+    join = jaccard._Join(docs, 5, 80)
+    groups = join.groups(join.classes(join.members()[1]))
+    plans = [plan for columns, plan in tables if set(columns) == {"token", "cls"}]
+    assert len(plans) == 2 and "xxhash64" not in plans[0] and "xxhash64" in plans[1]
+    sizes = [r["count"] for r in groups.groupBy("token").count().collect()]
+    assert sizes and min(sizes) > 1

@@ -16,6 +16,7 @@ merges nothing, so it gives every pair left.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ FAN_BITS, BLOCK, TURNS, SPREAD = 3, 1024, 3, 8
 #: Bits of a bitmap, as a power of two, up to which it is made for few tokens; first tokens of a class that tell
 #: in which of its groups a pair is given.
 FEW_BITS, LEADS = 10, 8
-#: Pairs of nodes whose bitmaps are compared at once.
-CHUNK = 4096
+#: Pairs of nodes whose bitmaps are compared at once; bytes of compressed texts whose sets are.
+CHUNK, PACKED = 4096, 1 << 20
 #: N-grams kept as frequent: the most frequent of those in HEAVY_LEAST documents of one batch; they only order
 #: the n-grams, so that no result depends on them. Rows of a table that is broadcast.
 HEAVY, HEAVY_LEAST, BROADCAST_ROWS = 100_000, 16, 1_000_000
@@ -138,10 +139,14 @@ class _Join:
         told apart by their sizes and by 128 bits. ``least`` is a class's first token.
         """
         rows = classes.select("cls", F.explode("first").alias("token"))  # no repartition, so that Spark may split a frequent token
+        # most tokens are in one prefix only: their counts alone are shuffled, hashes for the few others
+        often = rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token").hint("shuffle_hash")
+        shared = saved(rows.join(often, "token"))
         held = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in range(2)]
-        sizes = rows.groupBy("token").agg(F.count("*").alias("size"), *held).filter("size > 1")
+        sizes = shared.groupBy("token").agg(F.count("*").alias("size"), *held)
         kept = sizes.groupBy("size", "h0", "h1").agg(F.min("token").alias("token")).select("token").hint("shuffle_hash")
-        narrow = saved(rows.join(kept, "token"))
+        narrow = saved(shared.join(kept, "token"))
+        drop(shared)
         out = saved(narrow.join(classes.select("cls", "n", F.element_at("first", 1).alias("least")), "cls"))
         drop(narrow)
         return out
@@ -184,17 +189,17 @@ class _Join:
 
         def make(ids: pa.Array, sets: list[np.ndarray], whole: list[bytes]) -> Iterator[pa.RecordBatch]:
             some = [(_class(s), t) for s, t in zip(sets, whole, strict=True) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([t for _, t in some], pa.binary())], ["cls", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([zlib.compress(t, 1) for _, t in some], pa.binary())], ["cls", "whole"])
 
-        # texts, as they are shorter than their hashes, and compress
+        # texts, as they are shorter than their hashes; compressed, as a task holds many pairs of them at once
         sets = _read(texts, n, make, "cls bigint, whole binary", True).join(reps.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("whole").alias("whole"))
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 sides = [batch.column(i).to_pylist() for i in (2, 3)]
                 good = []
-                for lo, hi in batches(sides[0]):
-                    for a, b in zip(*(_sets(side[lo:hi], n) for side in sides), strict=True):
+                for lo, hi in batches([a + b for a, b in zip(*sides, strict=True)], PACKED):
+                    for a, b in zip(*(_sets(list(map(zlib.decompress, side[lo:hi])), n) for side in sides), strict=True):
                         common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                         good.append(100 * common >= percent * (len(a) + len(b) - common))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
