@@ -86,3 +86,57 @@ def test_pruning_keeps_the_best(monkeypatch):
             found, got = shard.top(terms, weights, 5, best.least[0])
             best.add(0, got, np.zeros(len(found), bool), found + 150 * p)
         assert [(-s, i) for s, _, i in zip(*(x.tolist() for x in best.held[0]), strict=True)] == want
+
+
+@pytest.mark.parametrize("matrix", [1 << 24, 900 * 30, 0])
+@pytest.mark.parametrize("step", [1 << 16, 100])
+def test_several_queries_at_once(monkeypatch, matrix, step):
+    """Lists of frequent terms as a matrix, all of them, some or none, and postings in pieces: the best as by plain sums."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(search, "MATRIX", matrix)
+    monkeypatch.setattr(search, "STEP", step)
+    r = random.Random(7)
+    words = [f"w{i}".encode() for i in range(400)]
+    texts = [b" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(400)], k=r.randrange(0, 60))) for _ in range(850)]
+    texts += [texts[3]] * 20 + [b""] * 30
+    queries = [r.choice(texts[:850]) for _ in range(37)] + [texts[3], b"", b"absent"]
+    terms = np.unique(search._terms(queries)[0])
+    weights = np.array([r.uniform(0.1, 6) for _ in terms])
+    weight = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+    asked = [np.unique(search._terms([q])[0]) for q in queries]
+    offsets = np.cumsum([0, *map(len, asked)])
+    numbers = np.searchsorted(terms, np.concatenate(asked))
+    best = search._Best(len(queries), 5)
+    for at in range(0, 900, 300):
+        shard = search.Shard(texts[at : at + 300], 30.0)
+        shard.ask(terms, weights)
+        frequent = sum(1 for a, b in zip(shard.first, shard.last, strict=True) if search.FREQUENT * (b - a) >= 300)
+        assert len(shard.rows) <= matrix // shard.width and (matrix < 1 << 24 or 0 < len(shard.rows) <= frequent)
+        for q in range(0, len(queries), 16):
+            which, found, scores = shard.search(numbers, offsets[q : q + 17], 5, best.least[q : q + 16])
+            best.add(which + q, scores, np.zeros(len(found), bool), found + at)
+    for q, held in enumerate(best.held):
+        want = []
+        for i, text in enumerate(texts):
+            bag = Counter(search._terms([text])[0].tolist())
+            n = sum(bag.values())
+            # in the order of the hashes, as equal scores go by id
+            score = sum(weight[x] * (bag[x] * 2.2 / (bag[x] + 1.2 * (1 - 0.75 + 0.75 * n / 30.0))) for x in asked[q].tolist() if x in bag)
+            if score > 0:
+                want.append((-score, i))
+        want = sorted(want)[:5]
+        assert held[2].tolist() == [i for _, i in want]
+        assert held[0].tolist() == pytest.approx([-x for x, _ in want], rel=1e-12)
+
+
+def test_terms_that_differ_in_lower_bits_alone(monkeypatch):
+    import numpy as np
+
+    hashes = {b"a": 1 << 40, b"b": (1 << 40) + 1, b"c": 5}
+    monkeypatch.setattr(search, "_terms", lambda texts: (np.array([hashes[w] for t in texts for w in t.split()], np.uint64), np.cumsum([0] + [len(t.split()) for t in texts])))
+    term, text, times, lengths = search._pairs([b"b a b", b"c", b"", b"a b"])
+    assert list(zip(term.tolist(), text.tolist(), times.tolist(), strict=True)) == [(5, 1, 1), (1 << 40, 0, 1), (1 << 40, 3, 1), ((1 << 40) + 1, 0, 2), ((1 << 40) + 1, 3, 1)]
+    assert lengths.tolist() == [3, 1, 0, 2]
