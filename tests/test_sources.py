@@ -2,9 +2,11 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris.plans import adapters, render
 from verdigris.sources import coverage, detect, json_tests, keys, xml, xml_tests
 from verdigris.sources.registry import DEFAULT, with_defaults
 from verdigris.sources.reports import events, with_percentages
@@ -228,6 +230,33 @@ def test_keys_of_any_text():
                 assert keys.keys(text.encode(), depth, first) == walked(text, depth, first), (text, depth, first)
 
 
+def test_keys_of_many_texts_at_once():
+    """Texts that are indexed together don't run into each other: open strings, backslashes and braces end with a text."""
+    r = random.Random(6)
+    texts = ["".join(r.choices('"\\{}[],aé', weights=[6, 2, 4, 2, 2, 2, 3, 3, 1], k=r.randrange(0, 30))) for _ in range(2000)]
+    for depth in (1, 2):
+        for first in (False, True):
+            assert keys.Texts([t.encode() for t in texts]).keys(depth, first).to_pylist() == [walked(t, depth, first) for t in texts]
+    small = ['{"a":{"b":[1,2]},"c":"\\"d"}', None, "x"] * 20000
+    began = time.process_time()
+    got = keys.both(pa.array(small), 2).to_pylist()
+    assert time.process_time() - began < 4
+    assert got == [{"top": ["a", "c"], "deep": ["b"]}, {"top": None, "deep": None}, {"top": None, "deep": []}] * 20000
+
+
+def test_a_text_is_scored_once(spark):
+    """The winner is picked from a column of scores, whose expressions are there once in a plan."""
+    files = spark.createDataFrame([("d", "<testsuites/>", "out/a.xml")], "doc string, content string, filename string")
+    found = with_defaults().detect(files)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<testsuite)") == 1 and found.first()["format"].asDict() == {"id": "junit", "name": "JUnit XML", "score": 100, "result_type": "testReport"}
+    fixed = lambda s: lambda text, name: F.lit(s).cast("int")
+    make = lambda id_, priority, score: detect.Format(id_, id_, priority, "testReport", fixed(score))
+    best = lambda *formats: spark.range(1).select(detect.Registry(formats).best(F.lit(""), F.lit("x")).alias("b")).first()["b"]
+    assert best(make("a", -5, 2**31 - 1), make("b", 2**31 - 1, 100))["id"] == "b" and best(make("a", -5, 120), make("b", 9, 70))["score"] == 120
+    assert best(make("a", 9, None), make("b", -1, 50))["id"] == "b" and best(make("a", 9, None)) is None and best(make("a", 1, -7)) is None
+
+
 def test_many_raw_sections_take_linear_time(spark):
     """A section goes to the elements whose text is kept, not to all around it."""
     took = []
@@ -266,3 +295,10 @@ def test_keys(spark):
     assert top('{"long":"' + 'x\\"' * 20000 + '", "b":') == ["long", "b"]
     got = spark.range(1).select(detect.top_keys(F.lit('{"a":{"x":1},"b":[{"c":2}]}')).alias("one"), detect.keys_at_depth(F.lit('{"a":{"x":1},"b":2}'), 2).alias("two"), detect.top_keys(F.lit("[1]")).alias("none"), detect.keys_at_depth(F.lit("{}"), 0).alias("zero")).first()
     assert (got["one"], got["two"], got["none"], got["zero"]) == (["a", "b"], ["x"], [], [])
+
+
+def test_rendering_deals_lines_out_once(spark):
+    """Numbering and grouping by document share one exchange."""
+    for write in (render.junit, render.playwright, render.cobertura):
+        plan = write(adapters.lines(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1

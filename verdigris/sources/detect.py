@@ -12,6 +12,8 @@ from verdigris.sources.keys import scanned
 
 #: The score that wins at once, and the least that counts.
 CERTAIN, LEAST = 100, 50
+#: More than any score.
+_BEYOND = 1 << 40
 
 
 def _has(text: Column, *parts: str) -> Column:
@@ -45,11 +47,7 @@ def _json(text: Column, name: Column) -> Column:
 
 
 def _all_keys(text: Column, *keys: str) -> Column:
-    have = top_keys(text)
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.array_contains(have, k)
-    return out
+    return F.size(F.array_except(F.array(*map(F.lit, keys)), top_keys(text))) == 0
 
 
 def junit(t: Column, name: Column) -> Column:
@@ -135,21 +133,34 @@ class Registry:
     def get(self, id_: str) -> Format:
         return next(f for f in self.formats if f.id == id_)
 
-    def best(self, content: Column, filename: Column) -> Column:
-        """The winning format as ``struct(id, name, score, result_type)``, null if none reaches 50.
+    def scores(self, content: Column, filename: Column) -> Column:
+        """Each format's score, as an array in their order. Only the file's own name counts, not its folder."""
+        base = F.substring_index(filename, "/", -1)
+        return F.array(*[f.score(content, base).cast("int") for f in self.formats])
+
+    def winner(self, scores: Column) -> Column:
+        """Of :meth:`scores`, the winning format as ``struct(id, name, score, result_type)``, null if none reaches 50.
 
-        A score of 100 wins at once, the earliest such; else the highest score, then priority, then the
-        earliest. Only the file's own name counts, not its folder.
+        A score of 100 wins at once, the earliest such; else the highest score, then priority, then the earliest.
         """
-        base = F.substring_index(filename, "/", -1)
-        options = []
-        for i, f in enumerate(self.formats):
-            s = f.score(content, base).cast("int")
-            order = F.when(s == CERTAIN, F.lit(-i)).otherwise(F.lit(None).cast("int"))
-            options.append(F.struct(order.alias("sure"), s.alias("score"), F.lit(f.priority).alias("priority"), F.lit(-i).alias("early"), F.lit(f.id).alias("id"), F.lit(f.name).alias("name"), F.lit(f.result_type).alias("result_type")))
-        top = F.array_max(F.array(*options))
-        return F.when(top["score"] >= LEAST, F.struct(top["id"].alias("id"), top["name"].alias("name"), top["score"].alias("score"), top["result_type"].alias("result_type")))
+        n = len(self.formats)
+        ranked = sorted(range(n), key=lambda i: (self.formats[i].priority, -i))
+        rank = F.array(*[F.lit(ranked.index(i)) for i in range(n)])
+        named = F.array(*[F.struct(*map(F.lit, (f.id, f.name, f.result_type))) for f in (self.formats[i] for i in ranked)])
+        # numbers in the order of the formats: a score, or the place of a certain one beyond all scores, and the rank
+        number = lambda s, i: F.when(s == CERTAIN, F.lit(_BEYOND) - i).otherwise(s.cast("bigint")) * n + rank[i]
+
+        def told(top: Column) -> Column:
+            score, names = F.floor(top / n), named[F.pmod(top, F.lit(n)).cast("int")]
+            score = F.when(score > _BEYOND - n, CERTAIN).otherwise(score).cast("int")
+            return F.when(score >= LEAST, F.struct(names["col1"].alias("id"), names["col2"].alias("name"), score.alias("score"), names["col3"].alias("result_type")))
+
+        return F.transform(F.array(F.array_max(F.transform(scores, number))), told)[0]
+
+    def best(self, content: Column, filename: Column) -> Column:
+        """The winning format of a text and file name, see :meth:`winner`."""
+        return self.winner(self.scores(content, filename))
 
     def detect(self, files: DataFrame) -> DataFrame:
-        """``files (doc, filename, content)`` with ``format``."""
-        return files.withColumn("format", self.best(F.col("content"), F.col("filename")))
+        """``files (doc, filename, content)`` with ``format``. Scores are a column of their own first, so that a text is searched once."""
+        return files.withColumn("format", self.scores(F.col("content"), F.col("filename"))).withColumn("format", self.winner(F.col("format")))
