@@ -297,6 +297,18 @@ def test_keys(spark):
     assert (got["one"], got["two"], got["none"], got["zero"]) == (["a", "b"], ["x"], [], [])
 
 
+def test_cobertura_reads_elements_once(spark):
+    """Files, sums and the root's own counts come from one pass; of several roots the last one counts, as it stands."""
+    whole = '<coverage lines-valid="9" lines-covered="4">'
+    body = '<class filename="f"><methods><method hits="1"/></methods><lines><line hits="1"/><line hits=" 0 "/></lines></class><class filename="g"><methods><method hits="1"/></methods></class>'
+    texts = [f"{whole}{body}</coverage>", f"<coverage>{body}</coverage>", f"{whole}<coverage lines-valid='x'>{body}</coverage></coverage>", f"{whole}<coverage lines-valid='7' lines-covered='2' branches-valid='3'/></coverage>", f"<coverage lines-valid='7'>{body}", "<x/>", None]
+    got = coverage.cobertura(spark.createDataFrame(list(map(list, enumerate(texts))), "doc int, content string"))
+    assert got.reports._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {str(r["doc"]): (r["lines_covered"], r["lines_total"], r["branches_total"], r["functions_total"], r["error"] is None) for r in got.reports.collect()}
+    assert rows == {"0": (4, 9, 0, 0, True), "1": (1, 2, 0, 1, True), "2": (1, 2, 0, 1, True), "3": (2, 7, 3, 0, True), "4": (1, 2, 0, 1, True), "5": (0, 0, 0, 0, False), "6": (0, 0, 0, 0, False)}
+    assert len(got.reports.collect()) == len(texts) and sorted({r["path"] for r in got.files.collect()}) == ["f"]
+
+
 def test_rendering_deals_lines_out_once(spark):
     """Numbering and grouping by document share one exchange."""
     for write in (render.junit, render.playwright, render.cobertura):

@@ -23,11 +23,16 @@ def _reports(docs: DataFrame, name: str, sums: DataFrame, own: DataFrame | None,
     out = docs.select("doc").join(sums, "doc", "left")
     if own is not None:
         out = out.join(own.select("doc", F.struct(*COUNTS).alias("own")), "doc", "left")
-        picked = [F.when(F.col("own").isNotNull(), F.coalesce(F.col(f"own.{c}"), F.lit(0))).otherwise(F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(c) for c in COUNTS]
-    else:
-        picked = [_zero(c) for c in COUNTS]
     out = out.join(has.select("doc").distinct().withColumn("has", F.lit(True)), "doc", "left") if has is not None else out.withColumn("has", F.col("n_files") > 0)
-    return out.select("doc", F.lit(name).alias("format"), *picked, F.when(~F.coalesce("has", F.lit(False)), missing).alias("error"))
+    return _told(out, name, missing)
+
+
+def _told(rows: DataFrame, name: str, missing: str) -> DataFrame:
+    """Report rows of documents with the sums of their files, perhaps counts of their ``own``, and whether each ``has`` a report at all."""
+    picked = [_zero(c) for c in COUNTS]
+    if "own" in rows.columns:
+        picked = [F.when(F.col("own").isNotNull(), F.coalesce(F.col(f"own.{c}"), F.lit(0))).otherwise(F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(c) for c in COUNTS]
+    return rows.select("doc", F.lit(name).alias("format"), *picked, F.when(~F.coalesce("has", F.lit(False)), missing).alias("error"))
 
 
 def lcov(docs: DataFrame) -> CoverageReports:
@@ -46,24 +51,30 @@ def lcov(docs: DataFrame) -> CoverageReports:
 
 def cobertura(docs: DataFrame) -> CoverageReports:
     """Cobertura: classes merged by file name; files without lines outside methods are left out."""
-    rows = elements(docs, "coverage", "line", "method", near=("methods",), carried=("class",))
+    rows = elements(docs, "coverage", "line", "method", near=("methods",), carried=("class",), more=())
     in_methods = within("methods").isNotNull()
     line, method = (F.col("tag") == "line") & ~in_methods, (F.col("tag") == "method") & in_methods
     hits = F.coalesce(number("hits"), F.lit(0)) > 0
     covered, total = condition_counts(attr("condition-coverage"))
     branched = line & (attr("branch") == "true") & covered.isNotNull() & total.isNotNull()
     ran = hits | (F.coalesce(number("line-rate", "double"), F.lit(0.0)) > 0)
-    own_lines = rows.filter(line | method).withColumn("path", attr_within("class", "filename")).filter("path is not null")
-    files = own_lines.groupBy("doc", "path").agg(
+    root, path = F.col("tag") == "coverage", F.when(line | method, attr_within("class", "filename"))
+    written = {"lines_covered": "lines-covered", "lines_total": "lines-valid", "branches_covered": "branches-covered", "branches_total": "branches-valid"}
+    of_root = [F.max_by(number(a), F.when(root, F.col("id"))).alias(f"root_{c}") for c, a in written.items()]
+    # one pass: a row for each file, and one without a path that has the counts of the last root
+    grouped = rows.withColumn("path", path).filter(root | F.col("path").isNotNull()).groupBy("doc", "path").agg(
         F.min(F.when(line, F.col("id"))).alias("pos"), F.count_if(line & hits).alias("lines_covered"), F.count_if(line).alias("lines_total"),
         F.coalesce(F.sum(F.when(branched, covered)), F.lit(0)).alias("branches_covered"), F.coalesce(F.sum(F.when(branched, total)), F.lit(0)).alias("branches_total"),
         F.count_if(method & ran).alias("functions_covered"), F.count_if(method).alias("functions_total"),
-    ).filter("lines_total > 0").select("doc", "pos", "path", *[_zero(c) for c in COUNTS])
-    roots = rows.filter("tag = 'coverage'")
-    whole = roots.filter(number("lines-valid").isNotNull() & number("lines-covered").isNotNull())
-    zero = F.lit(0)
-    own = whole.select("doc", number("lines-covered").alias("lines_covered"), number("lines-valid").alias("lines_total"), F.coalesce(number("branches-covered"), zero).alias("branches_covered"), F.coalesce(number("branches-valid"), zero).alias("branches_total"), zero.alias("functions_covered"), zero.alias("functions_total"))
-    return CoverageReports(files, _reports(docs, "cobertura", totals(files), own, roots, "No coverage element found in Cobertura XML"))
+        *of_root,
+    )
+    files = grouped.filter("path is not null AND lines_total > 0").select("doc", "pos", "path", *[_zero(c) for c in COUNTS])
+    told = F.col("root_lines_covered").isNotNull() & F.col("root_lines_total").isNotNull()
+    own = {c: F.max(F.when(told, F.coalesce(F.col(f"root_{c}"), F.lit(0)))) if c in written else F.lit(0) for c in COUNTS}
+    sums = [F.sum(F.when(F.col("lines_total") > 0, F.col(c))).alias(c) for c in COUNTS]
+    both = grouped.groupBy("doc").agg(*sums, *[c.alias(f"own_{n}") for n, c in own.items()], F.bool_or(F.col("path").isNull()).alias("has"))
+    both = both.withColumn("own", F.when(F.col("own_lines_total").isNotNull(), F.struct(*[F.col(f"own_{c}").alias(c) for c in COUNTS])))
+    return CoverageReports(files, _told(docs.select("doc").join(both, "doc", "left"), "cobertura", "No coverage element found in Cobertura XML"))
 
 
 def _counters(when: Column) -> list[Column]:
@@ -78,7 +89,7 @@ def _counters(when: Column) -> list[Column]:
 
 def jacoco(docs: DataFrame) -> CoverageReports:
     """JaCoCo: source files; without any, classes merged by their source file. The report's own counters win."""
-    rows = elements(docs, "report", "sourcefile", "class", "counter", near=("sourcefile", "class"), carried=("package",))
+    rows = elements(docs, "report", "sourcefile", "class", "counter", near=("sourcefile", "class"), carried=("package",), more=("empty", "parent"))
     counter = F.col("tag") == "counter"
     kind = F.when(owner("sourcefile").isNotNull(), "sourcefile").when(owner("class").isNotNull(), "class")
     owned = rows.filter(counter | F.col("tag").isin("sourcefile", "class")).withColumn("kind", kind).filter("kind is not null").withColumn("owner", F.coalesce(owner("sourcefile"), owner("class")))
@@ -99,7 +110,7 @@ def jacoco(docs: DataFrame) -> CoverageReports:
 
 def clover(docs: DataFrame) -> CoverageReports:
     """Clover: a file's first metrics win over its lines; project metrics ahead of packages and files are the totals."""
-    rows = elements(docs, "coverage", "package", "file", "line", "metrics", near=("file",))
+    rows = elements(docs, "coverage", "package", "file", "line", "metrics", near=("file",), more=("empty", "parent"))
     value = lambda name: F.coalesce(number(name), F.lit(0))
     measures = {
         "lines_covered": value("coveredstatements"), "lines_total": F.coalesce(number("statements"), number("ncloc"), number("loc"), F.lit(0)),

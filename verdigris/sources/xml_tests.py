@@ -12,7 +12,7 @@ from verdigris.sources.xml import attr, attr_within, elements, number, only, own
 
 def junit(docs: DataFrame) -> TestReports:
     """JUnit XML: cases in the order of their ends, with the innermost suite's name and file as defaults."""
-    rows = elements(docs, "testsuites", "testsuite", "testcase", "failure", "error", "skipped", near=("testcase",), carried=("testsuite",), texts=("failure", "error"))
+    rows = elements(docs, "testsuites", "testsuite", "testcase", "failure", "error", "skipped", near=("testcase",), carried=("testsuite",), texts=("failure", "error"), more=("end", "text", "empty", "fault"))
     inner = F.col("tag").isin("failure", "error", "skipped")
     message = F.struct(F.coalesce(attr("message"), F.nullif(strip(F.col("text")), F.lit(""))).alias("message"))
     # a case is the group of its own row and those of its outcomes
@@ -48,7 +48,7 @@ def junit(docs: DataFrame) -> TestReports:
 
 def trx(docs: DataFrame) -> TestReports:
     """TRX: results with namespaces stripped; class and method come from the dotted test name."""
-    rows = elements(docs, "TestRun", "UnitTestResult", "Message", near=("Results", "UnitTestResult", "ErrorInfo"), texts=("Message",), local=True)
+    rows = elements(docs, "TestRun", "UnitTestResult", "Message", near=("Results", "UnitTestResult", "ErrorInfo"), texts=("Message",), local=True, more=("end", "text"))
     results = (F.col("tag") == "UnitTestResult") & within("Results").isNotNull() & F.col("end").isNotNull()
     told = (F.col("tag") == "Message") & within("ErrorInfo").isNotNull()
     message = F.nullif(strip(F.col("text")), F.lit(""))
