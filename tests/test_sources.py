@@ -309,6 +309,19 @@ def test_cobertura_reads_elements_once(spark):
     assert len(got.reports.collect()) == len(texts) and sorted({r["path"] for r in got.files.collect()}) == ["f"]
 
 
+def test_playwright_cases_need_no_exchange(spark):
+    """Cases are numbered where they are walked: own specs first, then child suites, values that are no tests left out."""
+    test = {"projectName": "p", "status": "expected"}
+    spec = lambda title, *tests: {"title": title, "id": title, "tests": list(tests)}
+    inner = {"title": "in", "specs": [spec("d", test), spec("e", 1, test)], "suites": [{"title": "deep", "specs": [spec("f", None, test)]}]}
+    text = json.dumps({"config": {"projects": [{"name": "p"}, {"name": "q"}]}, "suites": [{"title": "s", "suites": [inner, {"specs": [spec("g", test)]}], "specs": [spec("a", test, test), 5, {"title": "b", "tests": {}}, spec("c", test)]}, {"specs": [spec("h", test)]}], "stats": {"expected": 9}})
+    found = json_tests.playwright(spark.createDataFrame([("x", text), ("cut", text[:-3]), ("none", None)], "doc string, content string")).cases
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["doc"], r["pos"], r["full_name"]) for r in found.orderBy("doc", "pos").collect()]
+    names = ["s > a [p]", "s > a [p]", "s > c [p]", "s > in > d [p]", "s > in > deep > f", "s > in > deep > f [p]", "s > g [p]", "h [p]"]
+    assert got == [("x", i + 1, n) for i, n in enumerate(names)]
+
+
 def test_rendering_deals_lines_out_once(spark):
     """Numbering and grouping by document share one exchange."""
     for write in (render.junit, render.playwright, render.cobertura):

@@ -20,12 +20,14 @@ JEST = "struct<numTotalTests: bigint, numPassedTests: bigint, numFailedTests: bi
 SPEC = "struct<title: string, id: string, file: string, line: bigint, tests: array<struct<projectName: string, status: string, results: array<struct<status: string, duration: double, retry: int, error: struct<message: string>, errors: array<struct<message: string>>>>>>>"
 PLAYWRIGHT = "struct<config: struct<projects: array<struct<id: string, name: string>>>, suites: array<string>, errors: array<struct<message: string>>, stats: struct<startTime: string, duration: double, expected: bigint, unexpected: bigint, flaky: bigint, skipped: bigint>>"
 
+_PROJECTS = "struct<config: struct<projects: array<struct<id: string, name: string>>>>"
+
 CTRF = "struct<reportFormat: string, specVersion: string, results: struct<tool: struct<name: string, version: string>, summary: struct<tests: bigint, passed: bigint, failed: bigint, skipped: bigint, pending: bigint, other: bigint, flaky: bigint, start: double, stop: double, duration: double>, tests: array<struct<name: string, status: string, duration: double, id: string, suite: string, message: string, trace: string, filePath: string, line: bigint, retries: int, flaky: boolean>>>>"
 
 
 #: Specs in a record batch, about.
 BATCH = 5_000
-_ARROW_SPECS = pa.schema([("doc", pa.string()), ("path", pa.list_(pa.int32())), ("titles", pa.list_(pa.string())), ("spec", pa.string())])
+_ARROW_SPECS = pa.schema([("doc", pa.string()), ("many", pa.bool_()), ("before", pa.int64()), ("titles", pa.list_(pa.string())), ("spec", pa.string())])
 
 
 def _nothing(text: Column, empty: str = "") -> Column:
@@ -57,22 +59,43 @@ def jest(docs: DataFrame) -> TestReports:
     return TestReports(cases, reports)
 
 
-_SPECS = "doc string, path array<int>, titles array<string>, spec string"
+_SPECS = "doc string, many boolean, before bigint, titles array<string>, spec string"
+
+
+class _Specs:
+    """Specs by column."""
+
+    def __init__(self):
+        self.columns: tuple[list, ...] = tuple([] for _ in _ARROW_SPECS)
+
+    def add(self, *row) -> None:
+        for column, value in zip(self.columns, row, strict=True):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, _ARROW_SPECS, strict=True)], schema=_ARROW_SPECS)
+
+
+def _tests(spec: object) -> int:
+    """How many tests :data:`SPEC` gives a spec: one value that is no object, and it has none."""
+    tests = spec.get("tests") if isinstance(spec, dict) else None
+    return len(tests) if isinstance(tests, list) and all(t is None or isinstance(t, dict) for t in tests) else 0
 
 
 def _walked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Specs of suites at every depth from ``doc, suites``, the latter a list of JSON texts.
+    """Specs of suites at every depth from ``doc, many, suites``, the latter a list of JSON texts.
 
-    Suites have the titles above them and their own, unless it is empty or a path. ``path`` orders the specs of a
-    suite ahead of its child suites.
+    Suites have the titles above them and their own, unless it is empty or a path. The specs of a suite come ahead
+    of its child suites; ``before`` counts the tests of the document's specs before.
     """
     many = lambda x: x if isinstance(x, list) else []
     for batch in rows:
-        found: list[dict] = []
-        for doc, suites in zip(batch.column(0), batch.column(1), strict=True):
-            open_ = [((i,), (), json.loads(text)) for i, text in enumerate(suites.as_py() or ()) if text]
+        found = _Specs()
+        for doc, several, suites in zip(*(batch.column(i) for i in range(3)), strict=True):
+            doc, several, before = doc.as_py(), several.as_py(), 0
+            open_ = [((), json.loads(text)) for text in reversed(suites.as_py() or ()) if text]
             while open_:
-                path, titles, suite = open_.pop()
+                titles, suite = open_.pop()
                 if not isinstance(suite, dict):
                     continue
                 title = suite.get("title")
@@ -80,30 +103,31 @@ def _walked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     title = json.dumps(title)
                 if title and "/" not in title and "\\" not in title:
                     titles = (*titles, title)
-                found += [{"doc": doc.as_py(), "path": [*path, 0, i], "titles": titles, "spec": json.dumps(spec)} for i, spec in enumerate(many(suite.get("specs")))]
-                open_ += [((*path, i + 1), titles, child) for i, child in enumerate(many(suite.get("suites")))]
-            if len(found) >= BATCH:
-                yield pa.RecordBatch.from_pylist(found, schema=_ARROW_SPECS)
-                found = []
-        yield pa.RecordBatch.from_pylist(found, schema=_ARROW_SPECS)
+                for spec in many(suite.get("specs")):
+                    found.add(doc, several, before, titles, json.dumps(spec))
+                    before += _tests(spec)
+                open_ += [(titles, child) for child in reversed(many(suite.get("suites")))]
+                if len(found.columns[0]) >= BATCH:
+                    yield found.batch()
+                    found = _Specs()
+        yield found.batch()
 
 
 def playwright(docs: DataFrame) -> TestReports:
-    """Playwright JSON: one case for each test of a spec, by its last result."""
+    """Playwright JSON: one case for each test of a spec, by its last result. Cases are numbered as they are walked, so nothing is shuffled."""
     parsed = docs.select("doc", F.from_json("content", PLAYWRIGHT).alias("r"))
-    many = parsed.select("doc", (F.size("r.config.projects") > 1).alias("many"))
-    specs = parsed.select(F.col("doc").cast("string"), "r.suites").mapInArrow(_walked, _SPECS).withColumn("spec", F.from_json("spec", SPEC))
-    tests = specs.select("doc", "path", "titles", "spec", F.posexplode("spec.tests").alias("j", "t")).join(many, "doc")
+    # suites are read alone, so that a text cut off behind them has none
+    suites, projects = F.from_json("content", "struct<suites: array<string>>")["suites"], F.from_json("content", _PROJECTS)["config"]["projects"]
+    specs = docs.select(F.col("doc").cast("string"), (F.size(projects) > 1).alias("many"), suites.alias("suites")).mapInArrow(_walked, _SPECS).withColumn("spec", F.from_json("spec", SPEC))
+    tests = specs.select("doc", "many", "before", "titles", "spec", F.posexplode("spec.tests").alias("j", "t"))
     last = F.when(F.size("t.results") > 0, F.element_at("t.results", -1))
-    tests = tests.withColumn("last", last).withColumn("order", F.transform(F.concat("path", F.array("j")), lambda x: F.lpad(x.cast("string"), 10, "0")))
+    tests = tests.withColumn("last", last)
     status = F.when(F.col("t.status") == "expected", "passed").when((F.col("t.status") == "unexpected") & (F.col("last.status") == "timedOut"), "timedOut").when(F.col("t.status") == "unexpected", "failed").when(F.col("t.status") == "flaky", "flaky").otherwise("skipped")
     messages = F.filter(F.transform("last.errors", lambda e: e["message"]), lambda m: m.isNotNull())
     message = F.coalesce(F.when(F.size(messages) > 0, F.array_join(messages, "\n")), F.col("last.error.message"))
     project = F.when(F.col("many"), F.col("t.projectName"))
     full = F.array_join(F.concat("titles", F.array("spec.title")), " > ")
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("doc").orderBy(F.array_join("order", ".")))
+    n = F.col("before") + F.col("j") + 1
     cases = tests.select(*case(doc=F.col("doc"), pos=n, id=F.concat_ws("-", "spec.id", project), name=F.col("spec.title"), full_name=F.when(project.isNotNull(), F.concat(full, F.lit(" ["), project, F.lit("]"))).otherwise(full), status=status, duration_ms=to_millis(F.col("last.duration")), error_message=message, file_path=F.col("spec.file"), line=F.col("spec.line"), retry_attempt=F.col("last.retry")))
     stats = F.col("r.stats")
     names = F.filter(F.transform("r.config.projects", lambda p: p["name"]), lambda p: F.coalesce(p, F.lit("")) != "")
